@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import packing, secrets, tokens
+from fieldweave.llm import minhash, packing, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"), with_text=False).drop("redacted")
 
@@ -26,7 +30,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_secrets, op8_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_minhash, op6_secrets, op8_best_fit_packing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
