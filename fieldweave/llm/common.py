@@ -131,3 +131,20 @@ def crc32_of(column: str):
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that an operator reads, so that others, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def by_cell(batches, column: str = "cell"):
+    """Tables of all rows with one value of `column`, from batches sorted by it; what is held is one cell and one batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(b.schema.get_field_index(column)).to_numpy()
+        at = 0
+        for cut in [*np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]:
+            if held and key[at] != held[0].column(held[0].schema.get_field_index(column))[0].as_py():
+                yield pa.Table.from_batches(held)
+                held = []
+            if cut > at:
+                held.append(b.slice(at, cut - at))
+            at = cut
+    if held:
+        yield pa.Table.from_batches(held)
