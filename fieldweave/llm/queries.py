@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import minhash, multiindex, packing, partitions, secrets, tokens
+from fieldweave.llm import langid, minhash, multiindex, packing, partitions, quality, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitions.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"), with_text=False).drop("redacted")
 
@@ -38,8 +43,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_minhash, op3_learned_partitions, op6_secrets, op8_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_multi_index, op2_minhash, op3_learned_partitions, op4_language, op6_secrets, op8_best_fit_packing, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
