@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import langid, minhash, multiindex, packing, partitions, quality, secrets, tokens
+from fieldweave.llm import langid, lattice, minhash, multiindex, packing, partitions, quality, secrets, suffixes, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids, and the digest of the text that they decode to."""
+    decoded = lattice.decode(lattice.encode(_read(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text after sampling and decoding, which SQL can hold against the text before."""
+    return op5_sampled_pieces(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"), with_text=False).drop("redacted")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -49,8 +65,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_minhash, op3_learned_partitions, op4_language, op6_secrets, op8_best_fit_packing, op9_token_counts, op10_quality)}
+    named = (op1_multi_index, op2_minhash, op3_learned_partitions, op4_language, op5_sampled_pieces, op6_secrets, op7_suffix_repeats, op8_best_fit_packing, op9_token_counts, op10_quality, piece_round_trip)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"piece_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
