@@ -138,7 +138,7 @@ class LearnedPartitions:
         return np.argsort(-self.router.scores(self.query(x)), axis=1, kind="stable")[:, : self.probes]
 
 
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.96, sample: int = 10_240, per_part: int = 2048, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.96, sample: int = 10_240, block: int = 4096) -> DataFrame:
     """The k rows of largest inner product for each query row, itself left out: query_id, rank, id, score.
 
     `queries` is a condition on `id_col` that picks the query rows. Parts and router are fitted on at most `sample` vectors chosen by
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     stats = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("widest")).first()
     if not stats["n"]:
         return empty
-    parts = 1 << max(0, min(8, round(math.log2(max(1, stats["n"] / per_part)))))
+    parts = 1 << max(0, min(8, round(math.log2(max(1, math.sqrt(stats["n"]) / 14)))))  # grows with the root of the rows
     model = LearnedPartitions(sample_matrix(classes, "v", "rep", dim, sample), parts, k, recall, stats["widest"])
 
     def assign(batches):
