@@ -157,3 +157,23 @@ def identify(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: WordModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns unchanged, whose language is identified with a score of at least `least`.
+
+    Rows whose text is null, empty or without letters go. Where nothing was learned, every row with letters stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x in b.column(at):
+                text = x.as_py()
+                lang, score = shared.value.predict(text)
+                keep.append(score >= least if shared.value.langs else any(map(str.isalpha, text or "")))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldweave.llm import langid, lattice, minhash, multiindex, packing, partitions, quality, secrets, suffixes, tokens
 
 
@@ -66,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_multi_index, op2_minhash, op3_learned_partitions, op4_language, op5_sampled_pieces, op6_secrets, op7_suffix_repeats, op8_best_fit_packing, op9_token_counts, op10_quality, piece_round_trip)
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

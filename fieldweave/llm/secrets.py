@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldweave.llm.common import need
 
@@ -137,3 +138,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = src.schema[id_col].dataType.simpleString()
     return src.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of `docs` with secrets in `text_col` replaced by a mark and `length_col`, if there, set to the new length."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = [redact(t, scan(t)) if t else t for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return with_length(docs.mapInArrow(run, docs.schema), text_col, length_col)
+
+
+def with_length(docs: DataFrame, text_col: str, length_col: str) -> DataFrame:
+    if length_col not in docs.columns:
+        return docs
+    kind = docs.schema[length_col].dataType
+    return docs.withColumn(length_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(kind))
