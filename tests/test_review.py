@@ -180,7 +180,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert sorted(json.loads((tmp_path / "registry" / "canonical_fields.json").read_text())) == ["at", "user_name"]
     capsys.readouterr()
     assert cli.main(["review", str(protos / "A.proto"), "--format", "json"], spark) == 0
-    assert json.loads(capsys.readouterr().out)["error_count"] == 0
+    assert json.loads(capsys.readouterr().out)["error_count"] == 1
     assert cli.main(["ingest", "--proto-dir", str(tmp_path / "none")], spark) == 2
     result = ingest(spark, protos, FieldStore(spark, tmp_path / "other"))
     assert (result.total_files, result.total_fields, result.errors) == (2, 4, [])
