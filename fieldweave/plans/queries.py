@@ -1,11 +1,543 @@
-"""Queries over the driver's tables, one for each operator or group of operators."""
+"""Queries over the driver's tables, one for each operator or group of operators, and their SQL equivalents.
+
+A table stands for an event type and a column for a field; small registries are given as values.
+"""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldweave.functions.declarations import parse
+from fieldweave.operators import catalog, concepts, neighbours, quality_checks as checks, review
+from fieldweave.operators.positions import with_positions
+from fieldweave.operators.store import FieldStore
+from fieldweave.schemas import CONCEPT, PROTO_FILE
+from fieldweave.streaming import streams
+
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.records_of_tables(spark, {t: read(spark, sf_dir, t) for t in TABLES})
+
+
+# The same catalog in SQL, and a registry with deliberate conflicts, as both sides see it.
+_COLUMNS = f"""SELECT table_name AS message_name, column_name AS field_name, ordinal_position AS place,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS field_type
+  FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})"""
+REGISTRY = [
+    ("text_body", 0, "what was said", "text", "string", [("tables/documents", "text", "string", ""), ("tables/benchmark", "text", "string", ""), ("tables/pages", "html", "string", "")], ["tables/region"]),
+    ("document_key", 1, "which document", "document_id", "bigint", [("tables/documents", "doc_id", "bigint", ""), ("tables/labels", "doc_id", "bigint", "")], []),
+    ("quantity", 2, "how much", "value", "int", [("tables/events", "value", "double", ""), ("tables/lineitem", "l_quantity", "double", "")], ["tables/nation", "tables/events"]),
+    ("late_text", 3, "never reached by text", "html", "string", [("tables/pages", "text", "string", ""), ("tables/pages", "url", "string", "")], []),
+]
+_MAPPINGS = "SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {c[1]}, '{c[3]}', '{c[4]}', '{m[0]}', '{m[1]}', {i})" for c in REGISTRY for i, m in enumerate(c[5])) + ") t(concept, concept_ord, canonical_name, canonical_type, event_type, field_name, map_ord)"
+_GAPS = "SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', '{g}')" for c in REGISTRY for g in c[6]) + ") t(concept, event_type)"
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REGISTRY, CONCEPT)
+
+
+# --- Sources, parsing and flattening -----------------------------------------------------------------------------------------------
+
+
+@query(_COLUMNS.replace("SELECT table_name", "SELECT 'tables' AS package, table_name || '.parquet' AS file_path, table_name", 1))
+def catalog_fields(spark, sf_dir):
+    r = table_records(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("message_name").orderBy("ord"))
+    return r.select("package", "file_path", "message_name", "field_name", place.alias("place"), "field_type")
+
+
+PROTO_TYPES = {"bigint": "int64", "int": "int32", "string": "string", "double": "double", "timestamp_ntz": "google.protobuf.Timestamp", "array<float>": "float"}
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table's columns as a definition file."""
+    files = []
+    for i, t in enumerate(TABLES):
+        lines = [f"  {'repeated ' if f.dataType.simpleString().startswith('array') else ''}{PROTO_TYPES[f.dataType.simpleString()]} {f.name} = {k};  // column {k}" for k, f in enumerate(read(spark, sf_dir, t).schema.fields, 1)]
+        files.append((i, f"{t}.proto", "\n".join(['syntax = "proto3";', f"package tables.{t[0]};", 'import "google/protobuf/timestamp.proto";', f"message {t} {{", *lines, "  message Key {", "    int64 id = 1;", "  }", "}", "enum State {", "  NEW = 0;", "}", "service Lookup {", f"  rpc Get (Key) returns ({t});", "}"]), None))
+    return spark.createDataFrame(files, PROTO_FILE)
+
+
+_AS_PROTO = "CASE field_type WHEN 'bigint' THEN 'int64' WHEN 'int' THEN 'int32' WHEN 'timestamp_ntz' THEN 'google.protobuf.Timestamp' WHEN 'array<float>' THEN 'float' ELSE field_type END"
+
+
+@query(
+    f"""WITH c AS ({_COLUMNS}) SELECT message_name || '.proto' AS file_path, 'tables.' || message_name[1] AS package, message_name, field_name, {_AS_PROTO} AS field_type, CASE field_type WHEN 'array<float>' THEN 'repeated' ELSE 'optional' END AS label, 'column ' || place AS comment, field_name AS fqn FROM c
+    UNION ALL SELECT DISTINCT message_name || '.proto', 'tables.' || message_name[1], 'Key', 'id', 'int64', 'optional', '', 'Key.id' FROM c"""
+)
+def parsed_definitions(spark, sf_dir):
+    records = catalog.field_records(parse(_definitions(spark, sf_dir)))
+    return records.select("file_path", "package", "message_name", "field_name", "field_type", "label", "comment", catalog.qualified_name().alias("fqn"))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT kind, count(*) AS n FROM (SELECT DISTINCT message_name, unnest(['file', 'message', 'message ', 'enum', 'service']) AS kind_ FROM c) t, LATERAL (SELECT trim(kind_) AS kind) GROUP BY kind UNION ALL SELECT 'field', count(*) + (SELECT count(DISTINCT message_name) FROM c) FROM c")
+def parsed_kinds(spark, sf_dir):
+    return parse(_definitions(spark, sf_dir), "strict").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT DISTINCT message_name || '.proto' AS file_path, 'tables.' || message_name[1] || '/' || message_name AS event_type FROM c")
+def file_event_types(spark, sf_dir):
+    return catalog.file_event_type(parse(_definitions(spark, sf_dir)))
+
+
+@query("SELECT conv_id, turn, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)")
+def line_split(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@query("SELECT page_id, p[1] AS name, p[2] AS value, count(*) AS n FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(url, '[?&]([A-Za-z0-9_]+)=([^&#]*)'), lambda x: [regexp_extract(x, '[?&]([A-Za-z0-9_]+)=', 1), regexp_extract(x, '=(.*)$', 1)])) AS p FROM pages) GROUP BY ALL")
+def line_scan_pairs(spark, sf_dir):
+    pair = r"[?&]([A-Za-z0-9_]+)=([^&#]*)"
+    found = read(spark, sf_dir, "pages").select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("url", F.lit(pair), F.lit(1)).alias("name"), F.regexp_extract_all("url", F.lit(pair), F.lit(2)).alias("value"))).alias("p"))
+    return found.groupBy("page_id", F.col("p.name").alias("name"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, max(depth) AS deepest, arg_max(depth, place) AS at_end, count(*) AS braces FROM (SELECT page_id, place, sum(CASE brace WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY place)::BIGINT AS depth FROM (SELECT page_id, unnest(range(0, len(b))) AS place, unnest(b) AS brace FROM (SELECT page_id, regexp_extract_all(html, '[{}]') AS b FROM pages))) GROUP BY page_id")
+def brace_depth(spark, sf_dir):
+    marks = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("[{}]"), F.lit(0))).alias("place", "brace"))
+    depth = F.sum(F.when(F.col("brace") == "{", 1).otherwise(-1)).over(Window.partitionBy("page_id").orderBy("place"))
+    return marks.withColumn("depth", depth).groupBy("page_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "place").alias("at_end"), F.count("*").alias("braces"))
+
+
+@query("SELECT conv_id, turn, length(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))::INT AS carried FROM conversations")
+def leading_comment_carry(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)).alias("carried"))
+
+
+@query("SELECT 'part.proto:' || p_brand || '.' || p_name AS id, p_name || ' (' || p_type || ') in ' || p_brand || ' from parts' || CASE WHEN p_size > 25 THEN ' — size ' || p_size ELSE '' END AS document, p_name AS fqn FROM part")
+def document_rendering(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_name").alias("field_name"), F.col("p_type").alias("field_type"), F.col("p_brand").alias("message_name"), F.lit("parts").alias("package"), F.lit("part.proto").alias("file_path"), F.when(F.col("p_size") > 25, F.concat(F.lit("size "), F.col("p_size"))).otherwise("").alias("comment"), F.array().cast("array<string>").alias("parent_messages"))
+    return p.select(catalog.document_id().alias("id"), catalog.document_text().alias("document"), catalog.qualified_name().alias("fqn"))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT message_name, string_agg('- ' || field_name || ' (' || field_type || ', optional) in tables/' || message_name || ' [' || message_name || '.parquet]', chr(10) ORDER BY place) AS lines FROM c GROUP BY message_name")
+def prompt_lines(spark, sf_dir):
+    r = table_records(spark, sf_dir)
+    lines = catalog.prompt_lines(r).join(r.select("ord", "message_name"), "ord")
+    return lines.groupBy("message_name").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY ord)").alias("lines"))
+
+
+# --- Summaries ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT field_type, count(*) AS n FROM c GROUP BY 1")
+def type_distribution(spark, sf_dir):
+    return table_records(spark, sf_dir).groupBy("field_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT 'tables/' || message_name AS event_type, count(*) AS n FROM c GROUP BY 1")
+def fields_per_event_type(spark, sf_dir):
+    return table_records(spark, sf_dir).groupBy(catalog.summary_key().alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS ({_COLUMNS}) SELECT 'total_files' AS measure, '' AS key, count(DISTINCT message_name) AS n FROM c UNION ALL SELECT 'total_fields', '', count(*) + count(DISTINCT message_name) FROM c
+    UNION ALL SELECT 'fields_per_event_type', 'tables.' || message_name[1] || '/' || message_name, count(*) FROM c GROUP BY 2 UNION ALL SELECT DISTINCT 'fields_per_event_type', 'tables.' || message_name[1] || '/Key', count(DISTINCT message_name) FROM c GROUP BY 2
+    UNION ALL SELECT 'type_distribution', t, count(*) FROM (SELECT {_AS_PROTO} AS t FROM c UNION ALL SELECT * FROM (SELECT DISTINCT 'int64' AS t, message_name FROM c) k(t, m) WHERE false) GROUP BY 2""".replace("UNION ALL SELECT * FROM (SELECT DISTINCT 'int64' AS t, message_name FROM c) k(t, m) WHERE false", "UNION ALL SELECT 'int64' FROM (SELECT DISTINCT message_name FROM c)"))
+def catalog_summary(spark, sf_dir):
+    declared = parse(_definitions(spark, sf_dir))
+    return catalog.summary(declared, catalog.field_records(declared))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT DISTINCT 'tables/' || message_name AS event_type FROM c")
+def event_types(spark, sf_dir):
+    return catalog.event_types(table_records(spark, sf_dir))
+
+
+@query("SELECT (rn // 100)::BIGINT AS batch, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) GROUP BY 1")
+def batch_windows(spark, sf_dir):
+    placed = with_positions(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return placed.groupBy(F.floor(F.col("position") / 100).alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+# --- Store -------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_latest(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")
+    return e.groupBy("user_id", "event_type").agg(last).select("user_id", "event_type", "x.event_id", "x.value")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN 'region 1: ' || n_name ELSE n_name END AS document FROM nation UNION ALL SELECT r_regionkey + 1000, r_name FROM region")
+def upsert_merge(spark, sf_dir):
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    old = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("document"))
+    new = nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("region 1: "), "n_name").alias("document")).union(region.select(F.col("r_regionkey") + 1000, "r_name"))
+    return old.join(new, "id", "left_anti").unionByName(new)
+
+
+def _scratch_store(spark: SparkSession) -> FieldStore:
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(tempfile.mkdtemp(prefix="fields-", dir=base if base and Path(base).is_dir() else None))
+    import atexit
+
+    atexit.register(shutil.rmtree, folder, True)
+    return FieldStore(spark, folder)
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT message_name || '.parquet:' || message_name || '.' || field_name AS id, field_name || ' (' || field_type || ') in ' || message_name || ' from tables' AS document, field_name AS fqn FROM c")
+def store_round_trip(spark, sf_dir):
+    store = _scratch_store(spark)
+    records = table_records(spark, sf_dir)
+    store.upsert(records)
+    store.upsert(records.where("message_name <> 'region'"))
+    return store.all_fields().select("id", "document", "metadata.fqn")
+
+
+@query()
+def store_similar_fields(spark, sf_dir):
+    """The ten nearest fields of other tables' columns, by the default embedder."""
+    store = _scratch_store(spark)
+    records = table_records(spark, sf_dir)
+    store.upsert(records)
+    from fieldweave.operators.store import query_texts
+
+    return store.similar_to(query_texts(records)).select("query_key", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+# --- Neighbours --------------------------------------------------------------------------------------------------------------------
+
+_KNN = "WITH d AS (SELECT q.vec_id AS query_key, q.label AS query_label, c.vec_id AS id, c.label AS label, round(pow(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2), 9) AS distance FROM embeddings q, embeddings c), r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY distance, id) AS rank FROM d)"
+
+
+def _knn(spark, sf_dir):
+    """All rows as queries against all rows, in blocks; the distance is rounded before ranking so that both engines agree on ties."""
+    e = read(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_key"), "embedding")
+    c = e.select(F.col("vec_id").alias("id"), "embedding", "label")
+    hits = neighbours.top_k(q, c, 10, carry=("label",)).withColumn("distance", F.round("distance", 9))
+    return hits.join(e.select(F.col("vec_id").alias("query_key"), F.col("label").alias("query_label")), "query_key")
+
+
+@query(_KNN + " SELECT query_key, rank::INT AS rank, id, distance FROM r WHERE rank <= 10")
+def knn_topk(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_key", "rank", "id", "distance")
+
+
+@query(_KNN + " SELECT query_key, rank::INT AS rank, id, distance FROM r WHERE rank <= 10 AND label <> query_label")
+def knn_postfilter(spark, sf_dir):
+    return neighbours.drop_own_file(_knn(spark, sf_dir), F.col("query_label"), "label").select("query_key", "rank", "id", "distance")
+
+
+@query(_KNN + ", o AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY rank) AS n FROM r WHERE rank <= 10 AND id <> query_key) SELECT query_key, id, distance FROM o WHERE n = 1 AND distance < 1.2")
+def knn_threshold(spark, sf_dir):
+    return neighbours.close(_knn(spark, sf_dir).where("id <> query_key"), 1.2).select("query_key", "id", "distance")
+
+
+# --- Concepts ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}) SELECT DISTINCT c.message_name, c.field_name, m.concept FROM c JOIN m ON c.field_name = m.field_name")
+def concept_match(spark, sf_dir):
+    maps = concepts.mappings(registry(spark)).select("field_name", F.col("name").alias("concept")).distinct()
+    return table_records(spark, sf_dir).join(F.broadcast(maps), "field_name").select("message_name", "field_name", "concept")
+
+
+_FIRST = f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}), f AS (SELECT c.message_name, c.field_name, c.field_type, min(m.concept_ord) AS o FROM c JOIN m ON c.field_name = m.field_name GROUP BY ALL), k AS (SELECT DISTINCT concept, concept_ord, canonical_name, canonical_type FROM m)"
+
+
+def _no_hits(spark):
+    return spark.createDataFrame([], review.HITS)
+
+
+@query(_FIRST + " SELECT f.message_name, f.field_name, k.concept FROM f JOIN k ON f.o = k.concept_ord")
+def concept_first_match(spark, sf_dir):
+    r = table_records(spark, sf_dir)
+    return review.match_concepts(r, _no_hits(spark), registry(spark)).join(r, "ord").select("message_name", "field_name", "concept")
+
+
+def _issues(spark, sf_dir):
+    return review.find_issues(table_records(spark, sf_dir), _no_hits(spark), registry(spark), "tables/new")
+
+
+@query(_FIRST + " SELECT f.field_name, k.canonical_name, count(*) AS n FROM f JOIN k ON f.o = k.concept_ord WHERE f.field_name <> k.canonical_name GROUP BY ALL")
+def naming_mismatch(spark, sf_dir):
+    return _issues(spark, sf_dir).where("issue_type = 'naming_mismatch'").groupBy("field_name", "canonical_name").agg(F.count("*").alias("n"))
+
+
+@query(_FIRST + " SELECT 'Field ''' || f.field_name || ''' has type ''' || f.field_type || ''' but canonical type for ''' || k.concept || ''' is ''' || k.canonical_type || '''. This may cause downstream query issues.' AS message, count(*) AS n FROM f JOIN k ON f.o = k.concept_ord WHERE f.field_type <> k.canonical_type GROUP BY ALL")
+def type_mismatch(spark, sf_dir):
+    return _issues(spark, sf_dir).where("issue_type = 'type_mismatch'").groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH m AS ({_MAPPINGS}), g AS ({_GAPS}), c AS ({_COLUMNS}), t AS (SELECT DISTINCT message_name, 'tables/' || message_name AS event_type FROM c), k AS (SELECT DISTINCT concept FROM m) SELECT t.event_type, k.concept FROM t, k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.concept = k.concept AND m.event_type = t.event_type) AND NOT EXISTS (SELECT 1 FROM m JOIN c ON c.field_name = m.field_name WHERE m.concept = k.concept AND c.message_name = t.message_name) AND NOT EXISTS (SELECT 1 FROM g WHERE g.concept = k.concept AND g.event_type = t.event_type)")
+def missing_concepts(spark, sf_dir):
+    r, known, out = table_records(spark, sf_dir), registry(spark), None
+    for t in TABLES:
+        rows = review.missing_concepts(r.where(F.col("message_name") == t), known, f"tables/{t}").select(F.lit(f"tables/{t}").alias("event_type"), F.regexp_extract("message", "missing concept '([^']*)'", 1).alias("concept"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}) SELECT k.concept, t.event_type FROM (SELECT DISTINCT concept FROM m) k, (SELECT DISTINCT 'tables/' || message_name AS event_type FROM c) t WHERE (k.concept, t.event_type) NOT IN (SELECT concept, event_type FROM m)")
+def coverage_matrix(spark, sf_dir):
+    return checks.coverage_gaps(concepts.mappings(registry(spark)), catalog.event_types(table_records(spark, sf_dir)))
+
+
+@query("SELECT name, canonical_name, concept_ord FROM (SELECT n_name AS name, CASE WHEN n_nationkey = 3 THEN 'override' ELSE n_name END AS canonical_name, n_nationkey::BIGINT AS concept_ord FROM nation UNION ALL SELECT 'new', 'new', (SELECT max(n_nationkey) FROM nation)::BIGINT + 1 + 1)")
+def override_merge(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    none = F.array().cast("array<struct<event_type:string,field_name:string,field_type:string,file_path:string>>")
+    rest = [F.lit("").alias("description"), F.lit("string").alias("canonical_type"), none.alias("mappings"), F.array().cast("array<string>").alias("gaps")]
+    base = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("bigint").alias("concept_ord"), F.col("n_name").alias("canonical_name"), *rest)
+    over = n.where("n_nationkey = 3").select(F.col("n_name").alias("name"), F.lit(0).cast("bigint").alias("concept_ord"), F.lit("override").alias("canonical_name"), *rest)
+    new = spark.range(1).select(F.lit("new").alias("name"), F.lit(1).cast("bigint").alias("concept_ord"), F.lit("new").alias("canonical_name"), *rest)
+    return concepts.merge_overrides(base, over.unionByName(new)).select("name", "canonical_name", "concept_ord")
+
+
+def _answers(spark, sf_dir):
+    """One fenced or bare answer for each region, of its nations as concepts, and one that is no JSON."""
+    n = read(spark, sf_dir, "nation")
+    item = F.struct(F.concat(F.lit("c"), (F.col("n_nationkey") % 7).cast("string")).alias("name"), F.col("n_name").alias("description"), F.array(F.struct(F.col("n_name").alias("field_name"))).alias("mappings"), F.array(F.concat(F.lit("g"), (F.col("n_nationkey") % 3).cast("string"))).alias("gaps"))
+    text = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"]))
+    fenced = F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("```json\n"), "t", F.lit("\n```"))).otherwise(F.col("t"))
+    bad = spark.range(1).select(F.lit(99).cast("bigint").alias("batch"), F.lit("sorry, no groups").alias("answer"))
+    return n.groupBy("n_regionkey").agg(text.alias("t")).select(F.col("n_regionkey").cast("bigint").alias("batch"), fenced.alias("answer")).union(bad)
+
+
+@query("SELECT n_regionkey::BIGINT AS batch, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS nth, 'c' || (n_nationkey % 7) AS name, n_name AS description, '' AS canonical_type, n_name AS field, '' AS event_type FROM nation")
+def answer_parsing(spark, sf_dir):
+    return concepts.parse_answers(_answers(spark, sf_dir)).select("batch", "nth", "name", "description", "canonical_type", F.col("mappings")[0]["field_name"].alias("field"), F.col("mappings")[0]["event_type"].alias("event_type"))
+
+
+@query("SELECT 'c' || (n_nationkey % 7) AS name, arg_min(n_name, n_regionkey * 1000 + n_nationkey) AS description, string_agg(n_name, ',' ORDER BY n_regionkey, n_nationkey) AS fields, list_aggregate(list_sort(list_distinct(list('g' || (n_nationkey % 3)))), 'string_agg', ',') AS gaps FROM nation GROUP BY 1")
+def concept_batch_merge(spark, sf_dir):
+    merged = concepts.merge_batches(concepts.parse_answers(_answers(spark, sf_dir)))
+    return merged.select("name", "description", F.array_join(F.transform("mappings", lambda m: m["field_name"]), ",").alias("fields"), F.array_join("gaps", ",").alias("gaps"))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT (o // 10)::BIGINT AS batch, count(*)::INT AS n FROM (SELECT row_number() OVER (ORDER BY message_name, place) - 1 AS o FROM c) GROUP BY 1")
+def registry_batches(spark, sf_dir):
+    return concepts.batches(table_records(spark, sf_dir), 10).select("batch", F.size("lines").alias("n"))
+
+
+@query()
+def registry_build(spark, sf_dir):
+    """Concepts that the offline clusterer finds in the tables' columns."""
+    found, _ = concepts.build_registry(table_records(spark, sf_dir))
+    return found.select("name", "canonical_name", "canonical_type", F.size("mappings").alias("n_mappings"), F.size("gaps").alias("n_gaps"))
+
+
+# --- Issues and recommendations ----------------------------------------------------------------------------------------------------
+
+_AS_ISSUES = "SELECT event_id AS ord, CAST(user_id AS VARCHAR) AS field_name, CASE event_id % 4 WHEN 0 THEN 'naming_mismatch' WHEN 1 THEN 'type_mismatch' WHEN 2 THEN 'missing_concept' ELSE 'other' END AS issue_type, CASE WHEN value > 90 THEN 'error' WHEN value > 30 THEN 'warning' ELSE 'info' END AS severity, event_type AS message FROM events"
+
+
+def _event_issues(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("naming_mismatch", "type_mismatch", "missing_concept", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("field_name"), kind.alias("issue_type"), F.when(F.col("value") > 90, "error").when(F.col("value") > 30, "warning").otherwise("info").alias("severity"), F.col("event_type").alias("message"))
+
+
+@query(f"WITH i AS ({_AS_ISSUES}) SELECT count(*) AS issue_count, count_if(severity = 'error')::BIGINT AS error_count, count_if(severity = 'warning')::BIGINT AS warning_count, count_if(severity = 'info')::BIGINT AS info_count FROM i")
+def severity_counts(spark, sf_dir):
+    return review.counts(_event_issues(spark, sf_dir))
+
+
+@query(f"""WITH i AS ({_AS_ISSUES}) SELECT CASE issue_type WHEN 'naming_mismatch' THEN 'Field naming inconsistencies' WHEN 'type_mismatch' THEN 'Field type mismatches' ELSE 'Missing canonical concepts' END AS title,
+    CASE issue_type WHEN 'type_mismatch' THEN 'error' WHEN 'missing_concept' THEN 'warning' ELSE CASE max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END END AS severity,
+    md5(string_agg('- ' || message, chr(10) ORDER BY ord)) AS body_md5, CASE issue_type WHEN 'missing_concept' THEN 0 ELSE count(*) END::INT AS n_fields, (row_number() OVER (ORDER BY min(ord)) - 1)::INT AS ord FROM i WHERE issue_type <> 'other' GROUP BY issue_type""")
+def issue_rollup(spark, sf_dir):
+    return review.recommend(_event_issues(spark, sf_dir)).select("title", "severity", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.size("fields").alias("n_fields"), "ord")
+
+
+@query(f"WITH i AS ({_AS_ISSUES}) SELECT ord, '- [' || upper(severity) || '] ' || issue_type || ': ' || message AS line FROM i")
+def issue_lines(spark, sf_dir):
+    return review.issue_lines(_event_issues(spark, sf_dir))
+
+
+@query("SELECT n_nationkey AS nation, n_name AS title, '' AS body, CASE WHEN n_nationkey % 2 = 0 THEN 'error' ELSE 'info' END AS severity, 0 AS n_fields FROM nation")
+def advice_parsing(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    item = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.array(F.struct(F.col("n_name").alias("title"), F.lit("error").alias("severity"))))).otherwise(F.to_json(F.array(F.struct(F.col("n_name").alias("title")))))
+    found = review.parse_advice(n.select(F.concat(F.lit("```\n"), item, F.lit("\n```")).alias("answer")))
+    return found.join(n, n["n_name"] == found["title"]).select(F.col("n_nationkey").alias("nation"), "title", "body", "severity", F.size("fields").alias("n_fields"))
+
+
+@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}), a AS (SELECT DISTINCT field_name FROM m), b AS (SELECT DISTINCT field_name FROM c) SELECT 'both' AS part, field_name FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'registry only', field_name FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'either', field_name FROM (FROM a UNION FROM b)".replace("FROM a INTERSECT FROM b", "SELECT field_name FROM a INTERSECT SELECT field_name FROM b").replace("FROM a EXCEPT FROM b", "SELECT field_name FROM a EXCEPT SELECT field_name FROM b").replace("FROM a UNION FROM b", "SELECT field_name FROM a UNION SELECT field_name FROM b"))
+def name_sets(spark, sf_dir):
+    a, b = concepts.mappings(registry(spark)).select("field_name"), table_records(spark, sf_dir).select("field_name")
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "field_name")
+    return part("both", a.intersect(b)).union(part("registry only", a.exceptAll(b).distinct().join(b, "field_name", "left_anti"))).union(part("either", a.union(b).distinct()))
+
+
+# --- Data quality ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.absent'), 'none') AS absent FROM events")
+def json_defaults(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k string, absent string"))
+    return e.select("event_id", F.coalesce("p.k", F.lit("")).alias("k"), F.coalesce("p.absent", F.lit("none")).alias("absent"))
+
+
+@query("SELECT source, c AS \"column\", count(*) AS n, count_if(v IS NULL)::BIGINT AS nulls, round(count_if(v IS NULL) / count(*), 9) AS rate FROM (SELECT source, unnest(['quality', 'toxic', 'lang']) AS c, unnest([quality::VARCHAR, toxic::VARCHAR, lang]) AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL")
+def null_rates(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return checks.null_rates(d, [F.col("source")], ["quality", "toxic", "lang"]).select(F.col("_g0").alias("source"), "column", "n", "nulls", F.round("rate", 9).alias("rate"))
+
+
+@query("WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, count_if(o_orderstatus = 'O') / count(*) AS rate FROM orders GROUP BY 1), b AS (SELECT *, lag(rate) OVER (ORDER BY period) AS before FROM r) SELECT period, round(rate, 9) AS rate, round(before, 9) AS before FROM b WHERE rate - before > 0.02")
+def null_rate_spikes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("closed", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")))
+    rates = checks.null_rates(o, [F.date_format("o_orderdate", "yyyy-MM")], ["closed"])
+    return checks.rate_spikes(rates, "_g0", 0.02).select(F.col("_g0").alias("period"), F.round("rate", 9).alias("rate"), F.round("before", 9).alias("before"))
+
+
+@query("SELECT event_type, k AS field_name, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) WHERE (event_type, k) NOT IN (VALUES ('click', 'k'), ('view', 'other')) GROUP BY ALL")
+def unknown_fields(spark, sf_dir):
+    known = spark.createDataFrame([("click", "k"), ("view", "other")], "event_type string, field_name string")
+    return checks.unknown_fields(read(spark, sf_dir, "events"), "props", known, "event_type")
+
+
+_SHARES = "SELECT period, bucket, n, n / sum(n) OVER (PARTITION BY period) AS share FROM (SELECT strftime(ts, '%Y-%m-%d') AS period, (CASE WHEN value >= 100 THEN 4 WHEN value >= 50 THEN 3 WHEN value >= 20 THEN 2 WHEN value >= 5 THEN 1 ELSE 0 END)::INT AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)"
+_EDGES = [5.0, 20.0, 50.0, 100.0]
+
+
+@query(f"SELECT period, bucket, n, round(share, 9) AS share FROM ({_SHARES})")
+def distribution_shares(spark, sf_dir):
+    return checks.distribution(read(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), "value", _EDGES).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH s AS ({_SHARES}), p AS (SELECT period, lag(period) OVER (ORDER BY period) AS before FROM (SELECT DISTINCT period FROM s)), g AS (SELECT DISTINCT p.period, p.before, s.bucket FROM p JOIN s ON s.period IN (p.period, p.before) WHERE p.before IS NOT NULL), v AS (SELECT g.period, coalesce(x.share, 0.0001) AS a, coalesce(y.share, 0.0001) AS b FROM g LEFT JOIN s x ON x.period = g.period AND x.bucket = g.bucket LEFT JOIN s y ON y.period = g.before AND y.bucket = g.bucket) SELECT period, round(sum((a - b) * ln(a / b)), 6) AS psi FROM v GROUP BY period")
+def distribution_shift(spark, sf_dir):
+    shares = checks.distribution(read(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), "value", _EDGES)
+    return checks.stability_index(shares).withColumn("psi", F.round("psi", 6))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'ms' WHEN 2 THEN 'us' ELSE 'ns' END AS precision, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000 ELSE epoch_us(ts) // 1000 END AS millis FROM events")
+def time_normalization(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    raw = F.when(F.col("event_id") % 4 == 0, F.floor(F.col("t") / 1_000_000)).when(F.col("event_id") % 4 == 1, F.floor(F.col("t") / 1000)).when(F.col("event_id") % 4 == 2, F.col("t")).otherwise(F.col("t") * 1000).cast("bigint")
+    return e.select("event_id", checks.time_precision(raw).alias("precision"), checks.epoch_millis(raw).alias("millis"))
+
+
+@query("SELECT doc_id, coalesce(text, html, url) AS body FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS text, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE source END AS html, 'u' || doc_id AS url FROM documents)")
+def name_reconciliation(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("text"), F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("html"), F.concat(F.lit("u"), "doc_id").alias("url"))
+    return checks.reconcile_names(d, {"body": ["text", "html", "absent", "url"]})
+
+
+_TYPED = "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'x' || user_id ELSE CAST(user_id AS VARCHAR) END AS BIGINT) AS user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type FROM events"
+
+
+def _untyped(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), "user_id")).otherwise(F.col("user_id").cast("string")).alias("user_id"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("event_type"))
+
+
+@query(f"SELECT event_id, user_id, event_type, user_id IS NULL AS rejected FROM ({_TYPED})")
+def type_reconciliation(spark, sf_dir):
+    return checks.reconcile_types(_untyped(spark, sf_dir), {"user_id": "bigint"}).select("event_id", "user_id", "event_type", (F.size("rejects") > 0).alias("rejected"))
+
+
+@query(f"SELECT event_id, user_id, event_type FROM ({_TYPED}) WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
+def validated_rows(spark, sf_dir):
+    return checks.validate(_untyped(spark, sf_dir), ["event_type"], {"user_id": "bigint"})[0]
+
+
+@query(f"SELECT event_id, concat_ws(';', CASE WHEN user_id IS NULL THEN 'type of user_id' END, CASE WHEN event_type IS NULL THEN 'missing event_type' END) AS reasons FROM ({_TYPED}) WHERE user_id IS NULL OR event_type IS NULL")
+def dead_letters(spark, sf_dir):
+    return checks.validate(_untyped(spark, sf_dir), ["event_type"], {"user_id": "bigint"})[1].select("event_id", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("WITH s AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS period, count(*) AS n, avg(((value > 10)::INT + (user_id % 2 = 0)::INT) / 2.0) AS score FROM events GROUP BY ALL) SELECT event_type, period, n, round(score, 6) AS score, round(avg(score) OVER (PARTITION BY event_type ORDER BY period ROWS 6 PRECEDING), 6) AS trend FROM s")
+def quality_score_trend(spark, sf_dir):
+    scores = checks.quality_scores(read(spark, sf_dir, "events"), ["event_type"], F.date_format("ts", "yyyy-MM-dd"), {"value": F.col("value") > 10, "user": F.col("user_id") % 2 == 0})
+    return scores.withColumn("score", F.round("score", 6)).withColumn("trend", F.round("trend", 6))
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT message_name, field_name, 'optional' AS label, 'required' AS expected_label FROM c WHERE field_name = 'doc_id'")
+def label_mismatches(spark, sf_dir):
+    expected = spark.createDataFrame([("doc_id", "required"), ("text", "optional")], "field_name string, expected_label string")
+    return checks.label_mismatches(table_records(spark, sf_dir), expected).select("message_name", "field_name", "label", "expected_label")
+
+
+@query("SELECT 'documents' AS event_type, doc_id::VARCHAR AS key, text AS body FROM documents UNION ALL SELECT 'benchmark', item_id::VARCHAR, text FROM benchmark UNION ALL SELECT 'labels', doc_id::VARCHAR, NULL FROM labels")
+def across_events(spark, sf_dir):
+    tables = {t: read(spark, sf_dir, t) for t in ("documents", "benchmark", "labels")}
+    return checks.across_events(tables, {"key": ["doc_id", "item_id"], "body": ["text", "html"]}, ["key", "body"])
+
+
+@query("SELECT c_custkey, tier FROM customer LEFT JOIN (VALUES (-1000, 0, 'owing'), (1, 2500, 'small'), (5001, 20000, 'large')) t(low, high, tier) ON floor(c_acctbal)::BIGINT BETWEEN low AND high")
+def range_enrichment(spark, sf_dir):
+    tiers = spark.createDataFrame([(-1000, 0, "owing"), (1, 2500, "small"), (5001, 20000, "large")], "low bigint, high bigint, tier string")
+    c = read(spark, sf_dir, "customer").withColumn("balance", F.floor("c_acctbal"))
+    return checks.enrich_by_range(c, "balance", tiers, "low", "high", 1000).select("c_custkey", "tier")
+
+
+# --- Streams -----------------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir):
+    batch = read(spark, sf_dir, "events")
+    return streams.timed(streams.read_events(spark, sf_dir, batch.schema, "events.parquet"))
+
+
+def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    import uuid
+
+    return streams.run_to_end(stream, f"{name}_{uuid.uuid4().hex[:8]}", mode)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_counts(spark, sf_dir):
+    out = _drained(streams.counts(_stream(spark, sf_dir), ["event_type"], "value"), "counts", "complete")
+    return out.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n, round(avg((value IS NULL)::INT), 9) AS value_null_rate FROM events GROUP BY 1")
+def stream_null_rates(spark, sf_dir):
+    out = _drained(streams.null_rates(_stream(spark, sf_dir), ["value"]), "rates", "complete")
+    return out.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n", F.round("value_null_rate", 9).alias("value_null_rate"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g) SELECT user_id, count(*) AS n, epoch_us(min(ts)) // 1000 AS start_ms FROM s GROUP BY user_id, nr")
+def stream_sessions(spark, sf_dir):
+    out = _drained(streams.sessions(_stream(spark, sf_dir), "user_id"), "sessions", "complete")
+    return out.select("user_id", "n", F.unix_millis("start").alias("start_ms"))
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct(spark, sf_dir):
+    return _drained(streams.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"]), "distinct", "append").select("user_id", "event_type")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def stream_drift(spark, sf_dir):
+    """Outliers by event type against a running baseline."""
+    return _drained(streams.drift(_stream(spark, sf_dir), "event_type", "value"), "drift", "append").select("event_type", "rows", "outliers")
