@@ -105,7 +105,7 @@ class PrefixHash:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) <= n:
-            size = 1 << int(n).bit_length()
+            size = n + n // 4 + 1024
             for name, base in (("powers", self.base), ("inverse", pow(self.base, -1, 2**64))):
                 a = np.full(size, base % 2**64, U64)
                 a[0] = 1

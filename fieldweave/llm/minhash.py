@@ -13,7 +13,8 @@ from fieldweave.llm.common import U64, Workspace, mix64, need
 from fieldweave.llm.components import connected_components
 from fieldweave.llm.shingles import shingle_sets
 
-SAMPLES, BANDS, BITS = 128, 32, 512
+SAMPLES, BANDS = 128, 32
+BINS, BITS = 4096, 2048  # samples that an odd sketch folds, and its width
 _rng = np.random.default_rng(5_125_120)
 _a = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _b = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -24,20 +25,23 @@ def minhash(s: np.ndarray) -> np.ndarray:
     """The least value of each of the sample functions over a set of 64-bit values."""
     x = (s >> U64(32)).astype(np.uint32)
     out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 4096):
-        h = np.multiply.outer(_a, x[i : i + 4096])
+    for i in range(0, len(x), 2048):
+        h = np.multiply.outer(_a, x[i : i + 2048])
         h += _b[:, None]
         np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of rows of samples: each (function, value) flips one of BITS bits; as 64-bit words."""
-    n = len(samples)
-    value = samples.astype(U64) + (np.arange(SAMPLES, dtype=U64) << U64(32))
-    bit = (mix64(value) >> U64(64 - int(math.log2(BITS)))).astype(np.int64)
-    flips = np.bincount((bit + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(n, BITS), axis=1, bitorder="little").view(U64)
+def odd_sketch(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parity bitmap of a set as 64-bit words, and how many samples it folds.
+
+    One permutation gives all samples: the set, already even 64-bit values in order, falls into BINS by leading bits, and the least value
+    of each bin that isn't empty is its sample. Each flips one of BITS bits. Small sets are kept nearly whole this way.
+    """
+    top = s >> U64(52)
+    least = s[np.r_[True, top[1:] != top[:-1]]] if len(s) else s
+    flips = np.bincount((mix64(least) >> U64(53)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(U64), len(least)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -46,43 +50,61 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix64((mix64(rows + U64(1)) * _row).sum(axis=2, dtype=U64) + np.arange(BANDS, dtype=U64))
 
 
-def most_flips(similarity: float, sigmas: float = 6.0) -> int:
-    """The population count of two XORed sketches that a pair of the similarity exceeds only beyond `sigmas` deviations."""
-    p = 1 - similarity
-    toggles = 2 * SAMPLES * p
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** toggles)
-    slope = (1 - 2 / BITS) ** toggles  # of the count, by toggles
-    spread = math.sqrt((2 * slope) ** 2 * SAMPLES * p * similarity + max(0.0, BITS / 4 * (1 - slope * slope) - toggles * slope * slope))
-    return math.ceil(mean + sigmas * spread)
-
+def most_odd(j: float, na, nb, sa, sb, sigmas: float = 5.0, m=np):
+    """The population count of two XORed sketches that a pair of similarity j exceeds only beyond `sigmas` deviations.
 
-def similarity_of(flips: float) -> float:
-    """The similarity that a population count of two XORed sketches speaks for."""
-    rest = max(1e-9, 1 - 2 * flips / BITS)
-    return 1 - min(1.0, math.log(rest) / math.log(1 - 2 / BITS) / (2 * SAMPLES))
+    na, nb: set sizes; sa, sb: samples folded. `m` is numpy, or pyspark.sql.functions for columns.
+    """
+    union = (na + nb) / (1 + j)
+    fill = m.exp(-union / BINS)
+    # Bins used by the union: as many as expected, by the factor by which both sets fill more or fewer than expected.
+    used = BINS * (1 - fill) * (sa + sb) / (BINS * (2 - m.exp(-na / BINS) - m.exp(-nb / BINS)))
+    differ = sa + sb - 2 * j * used
+    differ = m.greatest(differ, m.lit(0.0)) if m is F else np.maximum(differ, 0)
+    spread = 4 * used * j * (1 - j) * (1 - BINS * (1 - fill) / union) + 4 * j * j * BINS * fill * (1 - (1 + union / BINS) * fill)
+    # In bins that few share, only what differs can stray, and only where it shares a bin.
+    light = 2 * (na + nb) * ((1 - j) / (1 + j)) * (1 - fill)
+    spread = m.least(spread, light) if m is F else np.minimum(spread, light)
+    q = m.exp(-2.0 / BITS * differ)
+    noise = BITS / 4 * (1 - q * q) - differ * q * q
+    both = q * q * spread + noise
+    both = m.greatest(both, m.lit(0.0)) if m is F else np.maximum(both, 0)
+    return BITS / 2 * (1 - q) + sigmas * m.sqrt(both) + 1
+
+
+def similarity_of(odd: int, sa: int, sb: int, na: int, nb: int) -> float:
+    """The similarity that the population count of two XORed sketches speaks for."""
+    differ = -BITS / 2 * math.log(max(1e-9, 1 - 2 * odd / BITS))
+    same = max(0.0, (sa + sb - differ) / 2)
+    j = same / max(1.0, sa + sb - same)
+    for _ in range(30):
+        j = min(1.0, same / (BINS * (1 - math.exp(-(na + nb) / (1 + j) / BINS))))
+    return j
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            n, keys, samples = [], [], []
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            n, keys, samples, odd, used = [], [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 keys.append((int(mix64(s).sum(dtype=U64)), int(mix64(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64))))
                 samples.append(minhash(s))
+                sketch, m = odd_sketch(s)
+                odd.append(sketch)
+                used.append(m)
             if not n:
                 continue
             m = np.array(samples, np.uint32)
-            sketch = np.concatenate([odd_sketches(m[i : i + 1024]) for i in range(0, len(m), 1024)]).astype(np.int64)
-            bands = np.concatenate([band_keys(m[i : i + 1024]) for i in range(0, len(m), 1024)]).astype(np.int64)
+            bands = band_keys(m).astype(np.int64)
             key = np.array(keys, U64).astype(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (bands, sketch)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=["id", "n", "k1", "k2", "bands", "sketch"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (bands, np.array(odd, U64).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(used, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=["id", "n", "used", "k1", "k2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, used int, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
-def _flips(x: str, y: str) -> Column:
+def _odd(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
 
@@ -122,11 +144,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole:
     return two.where(both * whole >= (F.size("sa") + F.size("sb") - both) * parts).select("a", "b")
 
 
-def _block_pairs(rows: DataFrame, limit: int, parts: int, whole: int, block: int) -> DataFrame:
-    """Pairs of different components in the same bucket whose sketches are near, from rows (cell, id, c, n, left, right, sketch).
+def _block_pairs(rows: DataFrame, parts: int, whole: int, block: int) -> DataFrame:
+    """Pairs of different components in the same bucket whose sketches are near, from rows (cell, pos, id, c, n, used, l, r, sketch, tags).
 
     Rows come sorted by cell; each is compared with those after it in its cell. A cell has two blocks at most, so what is held is
-    bounded; only pairs that pass leave the task.
+    bounded; only pairs that pass leave the task, and only from the first band (`pos`) whose keys, here their tags, they share.
     """
 
     def run(batches):
@@ -145,9 +167,12 @@ def _block_pairs(rows: DataFrame, limit: int, parts: int, whole: int, block: int
             held = t if t.num_rows else None
 
     def compare(t):
-        cell, ids, c, n, left, right = (t.column(k).to_numpy() for k in ("cell", "id", "c", "n", "l", "r"))
+        cell, ids, c, n, used, left, right = (t.column(k).to_numpy() for k in ("cell", "id", "c", "n", "used", "l", "r"))
         sketch = t.column("sketch").combine_chunks()
         sketch = (sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten().to_numpy().view(U64).reshape(len(ids), -1)
+        band = t.column("pos").to_numpy()
+        tags = t.column("tags").combine_chunks()
+        tags = (tags.chunk(0) if isinstance(tags, pa.ChunkedArray) else tags).flatten().to_numpy().reshape(len(ids), -1)
         found = set()
         for lag in range(1, len(ids)):
             i = np.flatnonzero(cell[lag:] == cell[:-lag])
@@ -157,7 +182,9 @@ def _block_pairs(rows: DataFrame, limit: int, parts: int, whole: int, block: int
             ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * whole >= np.maximum(n[i], n[j]) * parts) & ((left[i] & right[j]) | (left[j] & right[i])).astype(bool)
             i, j = i[ok], j[ok]
             d = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
-            ok = d <= limit
+            ok = d <= most_odd(parts / whole, n[i], n[j], used[i], used[j])
+            i, j = i[ok], j[ok]
+            ok = ~((tags[i] == tags[j]) & (np.arange(BANDS) < band[i][:, None])).any(axis=1)
             found.update(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist(), strict=True))
             if len(found) > 65536:
                 yield batch(found)
@@ -197,27 +224,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n", "k1", "k2"]
     classes = sig.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
     classes = work.save(classes, "classes")
-    reps = work.save(sig.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"]).select("id", "n", "bands", "sketch").distinct(), "representatives")
-    light = reps.select("id", "n", "sketch")
-    limit = most_flips(parts / whole)
+    reps = work.save(sig.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"]).select("id", "n", "used", "bands", "sketch").distinct(), "representatives")
+    light = reps.select("id", "n", "used", "sketch")
+    tagged = reps.select("id", "n", "used", "sketch", F.transform("bands", lambda x: (x % (1 << 31)).cast("int")).alias("tags"))
 
     rows = reps.select("id", F.explode("bands").alias("key"))
     low = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     stars = rows.join(low, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = stars.join(light.toDF("a", "na", "ka"), "a").join(light.toDF("b", "nb", "kb"), "b").where(_near(F.col("na"), F.col("nb"), parts, whole)).withColumn("d", _flips("ka", "kb")).where(F.col("d") <= limit)
+    near = stars.join(light.toDF("a", "na", "sa", "ka"), "a").join(light.toDF("b", "nb", "sb", "kb"), "b").where(_near(F.col("na"), F.col("nb"), parts, whole))
+    near = near.withColumn("d", _odd("ka", "kb")).where(F.col("d") <= most_odd(parts / whole, *(F.col(c) for c in ("na", "nb", "sa", "sb")), m=F))
     best = work.save(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "best")
     links = work.save(_confirmed(best, src, words, parts, whole), "links")
     comp = work.save(connected_components(links, work), "components")
 
-    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.explode("bands").alias("key"))
+    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.posexplode("bands").alias("pos", "key"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = rows.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Block pairs of a bucket: a row goes to those of its block, as the left or the right side or both.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = rows.select(cell.alias("cell"), "id", "c", (F.col("mine") <= F.col("other")).cast("int").alias("l"), (F.col("mine") >= F.col("other")).cast("int").alias("r"))
-    rows = rows.join(light, "id").select("cell", "id", "c", "n", "l", "r", "sketch")
-    more = work.save(_block_pairs(rows, limit, parts, whole, block).distinct(), "more")
+    rows = rows.select(cell.alias("cell"), "pos", "id", "c", (F.col("mine") <= F.col("other")).cast("int").alias("l"), (F.col("mine") >= F.col("other")).cast("int").alias("r"))
+    rows = rows.join(tagged, "id").select("cell", "pos", "id", "c", "n", "used", "l", "r", "sketch", "tags")
+    more = work.save(_block_pairs(rows, parts, whole, block).distinct(), "more")
     links2 = work.save(_confirmed(more, src, words, parts, whole).union(comp.select("node", "component")), "links")
     comp = work.save(connected_components(links2, work), "components")
 

@@ -15,7 +15,7 @@ _hash = PrefixHash(20_240_501)
 _place = np.random.default_rng(77).integers(0, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 
 
-def shingle_sets(texts, words: int = 5, step: int = 4 << 20):
+def shingle_sets(texts, words: int = 5, step: int = 1 << 20):
     """Yield for each row the sorted distinct shingles; a row with fewer words has its whole sequence as one."""
     data, off = utf8_view(texts)
     for i, j in runs_of(off, step):
