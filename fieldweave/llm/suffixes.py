@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     work = Workspace(spark, "suffixes")
-    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in carry if c not in (id_col, text_col)]
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in extra])
     own = src.where("_id is not null")
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Of equal texts, all but the smallest id: they need no comparison.
     sums = own.where(F.octet_length("_text") >= length).select("_id", F.unhex(F.sha2("_text", 256)).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").select("sum", "first")
-    copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id").distinct(), "copies")
+    copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies")
 
     def as_copies(batches):
         for b in batches:
@@ -328,55 +328,89 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone, refs_, text_blocks = kinds(t)
             if not refs_ or not text_blocks:
                 continue
-            ids, place, least, most, h, busy = unpack_all(refs_)
-            keep = ~np.isin(ids, unpack_all(gone)[0]) if gone else np.ones(len(ids), bool)
-            if not keep.any():
-                continue
-            t = texts_of(text_blocks)
-            own_ids, pick = np.unique(t.column(0).to_numpy(), return_index=True)
-            ids, place, least, most, h, busy = ids[keep], place[keep].astype(np.int64), least[keep].astype(np.int64), most[keep].astype(np.int64), h[keep], busy[keep]
-            data, off = utf8_view(t.column(1))
-            start = off[pick[np.searchsorted(own_ids, ids)]] + place - most
-            size = most - least + length
-            found = []
-            cold = np.flatnonzero(~busy)
-            cell = (h % U64(cells)).astype(np.int64)
-            by = cold[np.argsort(cell[cold], kind="stable")]
-            for a, b in _stretches(cell[by]):
-                w = by[a:b]
-                n = size[w]
-                bytes_ = data[np.arange(n.sum()) + np.repeat(start[w] - (np.cumsum(n) - n), n)]
-                found.append((int(cell[w[0]]), AROUND, pack(h[w], ids[w], place[w].astype(np.uint32), least[w].astype(np.uint16), most[w].astype(np.uint16), bytes_)))
-            warm = np.flatnonzero(busy)
-            if len(warm):
-                n = (most - least + 1)[warm]
-                who = np.repeat(warm, n)
-                begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[who]
-                at = begin - start[who] + place[who] - most[who]
-                one, two = (mix64(x.span(x.prefix(data), begin, begin + length)) for x in (_hash, _second))
-                by = np.lexsort((at, ids[who], two, one))
-                again = np.r_[False, (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])]
-                f, d = by[~again], by[again]
-                found += [(c, STRINGS, x) for c, x in _blocks((one[f] % U64(cells)).astype(np.int64), one[f], two[f], ids[who[f]], at[f].astype(np.uint32))]
-                found += [(c, DONE, x) for c, x in _intervals(ids[who[d]], at[d], at[d] + length, cells)]
-            yield from _rows(found)
+            columns = unpack_all(refs_)
+            if gone:
+                keep = ~np.isin(columns[0], unpack_all(gone)[0])
+                columns = [c[keep] for c in columns]
+            by = np.argsort(columns[0], kind="stable")
+            columns = [c[by] for c in columns]
+            lone = []  # strings at busy anchors that no earlier block of this cell has shown to be equal
+            for block in text_blocks:
+                texts_ = texts_of([block])
+                for i in range(0, texts_.num_rows, 256):
+                    yield from surroundings(texts_.slice(i, 256), columns, lone)
+            if lone:
+                one, two, ids, at = (np.concatenate(c) for c in zip(*lone, strict=True))
+                f, d = first_of(one, two, ids, at)
+                found = [(c, STRINGS, x) for c, x in _blocks((one[f] % U64(cells)).astype(np.int64), one[f], two[f], ids[f], at[f].astype(np.uint32))]
+                yield from _rows(found + [(c, DONE, x) for c, x in _intervals(ids[d], at[d], at[d] + length, cells)])
+
+    def first_of(one, two, ids, at):
+        """The rows with the smallest (id, place) of each pair of hashes, and the others."""
+        by = np.lexsort((at, ids, two, one))
+        again = np.r_[False, (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])] if len(by) else np.zeros(0, bool)
+        return by[~again], by[again]
+
+    def surroundings(t, columns, lone):
+        own_ids, pick = np.unique(t.column(0).to_numpy(), return_index=True)
+        a, b = np.searchsorted(columns[0], own_ids), np.searchsorted(columns[0], own_ids, side="right")
+        w = np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+        if not len(w):
+            return
+        ids, place, least, most, h, busy = (c[w] for c in columns)
+        place, least, most = place.astype(np.int64), least.astype(np.int64), most.astype(np.int64)
+        data, off = utf8_view(t.column(1))
+        start = off[pick[np.searchsorted(own_ids, ids)]] + place - most
+        size = most - least + length
+        found = []
+        cold = np.flatnonzero(~busy)
+        cell = (h % U64(cells)).astype(np.int64)
+        by = cold[np.argsort(cell[cold], kind="stable")]
+        for i, j in _stretches(cell[by]):
+            w = by[i:j]
+            n = size[w]
+            bytes_ = data[np.arange(n.sum()) + np.repeat(start[w] - (np.cumsum(n) - n), n)]
+            found.append((int(cell[w[0]]), AROUND, pack(h[w], ids[w], place[w].astype(np.uint32), least[w].astype(np.uint16), most[w].astype(np.uint16), bytes_)))
+        warm = np.flatnonzero(busy)
+        if len(warm):
+            n = (most - least + 1)[warm]
+            who = np.repeat(warm, n)
+            begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[who]
+            at = begin - start[who] + place[who] - most[who]
+            one, two = (mix64(x.span(x.prefix(data), begin, begin + length)) for x in (_hash, _second))
+            f, d = first_of(one, two, ids[who], at)
+            lone.append((one[f], two[f], ids[who[f]], at[f]))
+            found += [(c, DONE, x) for c, x in _intervals(ids[who[d]], at[d], at[d] + length, cells)]
+        yield from _rows(found)
 
     def settle(batches):
         for t in by_cell(batches):
             near, strings, done = kinds(t)
             found = [(int(_home(unpack(x)[0][:1], cells)[0]), REFS, x) for x in done]
-            parts = [unpack(x) for x in near]
-            if parts:
+            if near:
+                parts = [unpack(x) for x in near]
                 group, ids, place, least, most, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+                del parts
                 place, least, most = (c.astype(np.int64) for c in (place, least, most))
                 size = most - least + length
-                row, frm, to = repeated_strings(group, ids, place, least, most, data, np.cumsum(size) - size, size, length)
-                found += [(c, REFS, x) for c, x in _intervals(ids[row], place[row] - to, place[row] - frm + length, cells)]
+                start = np.cumsum(size) - size
+                order = np.argsort(group, kind="stable")
+                ends = np.flatnonzero(np.r_[group[order][1:] != group[order][:-1], True]) + 1
+                filled, a = np.cumsum(size[order]), 0
+                while a < len(order):  # whole groups, a few megabytes at a time
+                    k_ = np.searchsorted(filled[ends - 1], (filled[a - 1] if a else 0) + (2 << 20), side="right")
+                    b = int(ends[min(max(k_, np.searchsorted(ends, a, side="right") + 1) - 1, len(ends) - 1)])
+                    w = order[a:b]
+                    n = size[w]
+                    bytes_ = data[np.arange(n.sum()) + np.repeat(start[w] - (np.cumsum(n) - n), n)]
+                    row, frm, to = repeated_strings(group[w], ids[w], place[w], least[w], most[w], bytes_, np.cumsum(n) - n, n, length)
+                    row = w[row]
+                    found += [(c, REFS, x) for c, x in _intervals(ids[row], place[row] - to, place[row] - frm + length, cells)]
+                    a = b
             if strings:
                 one, two, ids, at = unpack_all(strings)
                 at = at.astype(np.int64)
-                by = np.lexsort((at, ids, two, one))
-                d = by[np.r_[False, (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])]]
+                _, d = first_of(one, two, ids, at)
                 found += [(c, REFS, x) for c, x in _intervals(ids[d], at[d], at[d] + length, cells)]
             yield from _rows(found)
 
@@ -393,8 +427,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, frm, to = unpack_all(blocks) if blocks else (np.zeros(0, np.int64),) * 3
             by = np.lexsort((frm, ids))
             ids, frm, to = ids[by], frm[by].astype(np.int64), to[by].astype(np.int64)
-            if text_blocks:
-                yield from results(texts_of(text_blocks), dropped, ids, frm, to)
+            for block in text_blocks:
+                yield from results(texts_of([block]), dropped, ids, frm, to)
 
     def results(t, dropped, ids, frm, to):
         data, off = utf8_view(t.column(1))
