@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -146,7 +147,7 @@ def _lattice(data: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces, a
     return base + size, base, source, ids, end + np.minimum(running, 1.0), final
 
 
-def encode_texts(texts, keys: np.ndarray, p: Pieces, alpha: float = 0.7, seed: int = 0, step: int = 4 << 20):
+def encode_texts(texts, keys: np.ndarray, p: Pieces, alpha: float = 0.7, seed: int = 0, step: int = 1 << 20):
     """Piece ids of a column of texts: (offsets, ids). keys: one 64-bit value for each row."""
     data, off = utf8_view(texts)
     counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -212,7 +213,8 @@ def decode_ids(off: np.ndarray, ids: np.ndarray, p: Pieces) -> tuple[np.ndarray,
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, alpha: float = 0.7, seed: int = 0) -> DataFrame:
-    """One row for each row of `docs`: id, pieces (ids of a segmentation drawn from the lattice).
+    """One row for each row of `docs`: id, pieces (ids of a segmentation drawn from the lattice), decoded_sha256 (of the text that these
+    ids decode to, so that a round trip can be checked without a second pass).
 
     The probability of a segmentation is the product of its pieces' to the power `alpha`: 0 draws evenly, a large value gives the best
     one. The draw depends on the row's id, `seed`, the chunk's place and the step alone, so it is the same in every run and layout;
@@ -225,12 +227,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         p = load(path)
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
                 off, ids = encode_texts(part.column(1), part.column(2).to_numpy(), p, alpha, seed)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=[id_col, "pieces"])
+                text, ends = decode_ids(off, ids, p)
+                digests = [hashlib.sha256(text[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(digests, pa.string())], names=[id_col, "pieces", "decoded_sha256"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, pieces array<int>")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, pieces array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str | None = None) -> DataFrame:
@@ -240,7 +244,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
 
     def run(batches):
         p = load(path)
-        for b in batches:
+        for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
             col = b.column(1)
             off = np.r_[0, np.cumsum([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()])]
             data, ends = decode_ids(off, col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), p)

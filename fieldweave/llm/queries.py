@@ -34,13 +34,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled piece ids, and the digest of the text that they decode to."""
-    decoded = lattice.decode(lattice.encode(_read(spark, sf_dir, "documents")))
-    return decoded.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.sha2("text", 256).alias("decoded_sha256"))
+    return lattice.encode(_read(spark, sf_dir, "documents")).select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", "decoded_sha256")
 
 
 def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text after sampling and decoding, which SQL can hold against the text before."""
-    return op5_sampled_pieces(spark, sf_dir).select("doc_id", "decoded_sha256")
+    decoded = lattice.decode(lattice.encode(_read(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
