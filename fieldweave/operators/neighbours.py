@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The query side is sent to all executors, in blocks of at most so many rows.
 BLOCK = 2_000
@@ -17,22 +20,46 @@ def squared_distance(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, catalog: DataFrame, k: int = 10, query_key: str = "query_key", id_col: str = "id", vector: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
     """The k catalog rows nearest to each query: query_key, rank (from 1), id, distance and the columns in `carry`; ties by id.
 
-    A query set against all rows: queries go out in blocks of bounded size, each block's k best are kept in each task before the
-    shuffle (WindowGroupLimit), and no other pair leaves it.
+    A query set against all rows: queries reach the tasks in blocks of at most BLOCK rows, are compared with one batch of the catalog
+    at a time by matrix product, and only each batch's k best, with distances computed anew from the parts, go on to the shuffle;
+    no pair beside them is made. Rows without a vector take no part.
     """
-    q = queries.select(F.col(query_key).alias("query_key"), F.col(vector).alias("_qv"))
+    q = queries.select(F.col(query_key).alias("query_key"), F.col(vector).alias("_qv")).where("_qv is not null")
+    rows = catalog.select(id_col, F.col(vector).alias("_cv"), *carry).where("_cv is not null")
     blocks = max(1, -(-q.count() // BLOCK))
-    parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64("query_key"), F.lit(blocks)) == i) for i in range(blocks)]
     order = Window.partitionBy("query_key").orderBy("distance", id_col)
     out = None
-    for part in parts:
-        pairs = catalog.select(id_col, F.col(vector).alias("_cv"), *carry).crossJoin(F.broadcast(part))
-        found = pairs.withColumn("distance", squared_distance(F.col("_cv"), F.col("_qv"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = found.select("query_key", "rank", id_col, "distance", *carry)
+    for i in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_key"), F.lit(blocks)) == i)
+        found = _nearest(block, rows, k, id_col)
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_key", "rank", id_col, "distance", *carry)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _nearest(block: DataFrame, rows: DataFrame, k: int, id_col: str) -> DataFrame:
+    table = block.toArrow()  # BLOCK rows, or about as many
+    keys = table.column("query_key").combine_chunks()
+    width = len(table.column("_qv")[0]) if table.num_rows else 0
+    q = np.array(table.column("_qv").combine_chunks().flatten(), np.float64).reshape(-1, width) if width else np.zeros((0, 0))
+    schema = T.StructType([T.StructField("query_key", block.schema["query_key"].dataType), T.StructField("distance", T.DoubleType()), *[f for f in rows.schema.fields if f.name != "_cv"]])
+    at = rows.columns.index("_cv")
+
+    def run(batches):
+        for b in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
+            if not len(q) or not b.num_rows:
+                continue
+            x = np.array(b.column(at).flatten(), np.float64).reshape(-1, width)
+            rough = (x * x).sum(axis=1)[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ x.T
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else rough.max(axis=1)
+            i, j = np.nonzero(rough <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None])
+            d = ((x[j] - q[i]) ** 2).sum(axis=1)
+            rest = [c.take(pa.array(j)) for n, c in enumerate(b.columns) if n != at]
+            yield pa.RecordBatch.from_arrays([(keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).take(pa.array(i)), pa.array(d), *rest], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def drop_own_file(hits: DataFrame, path: str, column: str = "metadata.file_path") -> DataFrame:
     """Hits from other files. After the ranking, so that fewer than k may be left."""
     return hits.where(F.col(column) != path)
