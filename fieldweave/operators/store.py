@@ -16,35 +16,32 @@ from fieldweave.errors import DataAccessError
 from fieldweave.operators import catalog, neighbours
 from fieldweave.operators.embedding import Embedder, hashed_ngrams, with_embeddings
 from fieldweave.schemas import FIELD_DOC
+from fieldweave.sources.folders import Folder
+
+POINTER = "CURRENT"
 
 
 class FieldStore:
-    """Field documents at a folder that driver and executors share; opened or made."""
+    """Field documents at a folder, by path or URI, that driver and executors share; opened or made."""
 
     def __init__(self, spark: SparkSession, folder: str | Path, embedder: Embedder = hashed_ngrams):
-        self.spark, self.folder, self.embedder = spark, Path(folder), embedder
+        self.spark, self.embedder = spark, embedder
         try:
-            self.folder.mkdir(parents=True, exist_ok=True)
-        except OSError as e:
+            self.folder = Folder(spark, str(folder))
+            self.folder.make()
+        except Exception as e:
             raise DataAccessError("STORE_INIT_ERROR", f"can't open the store: {e}", {"folder": str(folder)}, e) from e
 
-    @property
-    def _pointer(self) -> Path:
-        return self.folder / "CURRENT"
-
     def documents(self) -> DataFrame:
         """id, document, metadata, embedding of all records."""
-        reader = self.spark.read.schema(FIELD_DOC)
-        if not self._pointer.exists():
+        if not self.folder.exists(POINTER):
             return self.spark.createDataFrame([], FIELD_DOC)
-        return reader.parquet(str(self.folder / self._pointer.read_text().strip()))
+        return self.spark.read.schema(FIELD_DOC).parquet(f"{self.folder.uri}/{self.folder.read(POINTER).strip()}")
 
     def _replace(self, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        df.select("id", "document", "metadata", "embedding").write.parquet(str(self.folder / version))
-        pointer = self._pointer.with_suffix(".new")
-        pointer.write_text(version)
-        pointer.replace(self._pointer)
+        df.select("id", "document", "metadata", "embedding").write.parquet(f"{self.folder.uri}/{version}")
+        self.folder.replace(POINTER, version)
 
     def upsert(self, records: DataFrame, prune: bool = False) -> int:
         """Insert or replace by id; returns the number of records given, ids that occur twice included.

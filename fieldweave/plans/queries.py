@@ -5,10 +5,10 @@ A table stands for an event type and a column for a field; small registries are
 
 from __future__ import annotations
 
-import shutil
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from fieldweave.operators import catalog, concepts, neighbours, quality_checks a
 from fieldweave.operators.positions import with_positions
 from fieldweave.operators.store import FieldStore
 from fieldweave.schemas import CONCEPT, PROTO_FILE
+from fieldweave.sources.folders import Folder
 from fieldweave.streaming import streams
 
 TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
@@ -204,12 +205,22 @@ def upsert_merge(spark, sf_dir):
 
 
 def _scratch_store(spark: SparkSession) -> FieldStore:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    folder = Path(tempfile.mkdtemp(prefix="fields-", dir=base if base and Path(base).is_dir() else None))
-    import atexit
+    """A store in the cluster's shared folder, or a temporary one where none is set; gone when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{tempfile.gettempdir()}"
+    name = f"fields-{uuid.uuid4().hex}"
+    store, parent = FieldStore(spark, f"{base}/{name}"), Folder(spark, base)
+    atexit.register(_forget, parent, name)
+    return store
 
-    atexit.register(shutil.rmtree, folder, True)
-    return FieldStore(spark, folder)
+
+def _forget(parent: Folder, name: str) -> None:
+    try:
+        parent.delete(name)
+    except Exception:  # the session may have ended; the folder is scratch space
+        pass
 
 
 @query(f"WITH c AS ({_COLUMNS}) SELECT message_name || '.parquet:' || message_name || '.' || field_name AS id, field_name || ' (' || field_type || ') in ' || message_name || ' from tables' AS document, field_name AS fqn FROM c")
@@ -509,8 +520,6 @@ def _stream(spark, sf_dir):
 
 
 def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    import uuid
-
     return streams.run_to_end(stream, f"{name}_{uuid.uuid4().hex[:8]}", mode)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fieldweave.errors import DataAccessError, NotFoundError
@@ -53,13 +54,28 @@ class ProtoFileSource(DataSource):
 
 
 def scan_folder(spark: SparkSession, path: str | Path) -> DataFrame:
-    """All definition files below a folder; files that can't be read keep a row with `error`."""
+    """All definition files below a folder; files that can't be read keep a row with `error`.
+
+    A folder given as URI is listed and read by Spark's own file source, which passes over empty files and hidden folders.
+    """
+    if "://" in str(path):
+        return _scan_remote(spark, str(path))
     if not Path(path).exists():
         raise NotFoundError("DIR_NOT_FOUND", f"no such folder: {path}", {"path": str(path)})
     spark.dataSource.register(ProtoFileSource)
     return spark.read.format("protofiles").load(str(path))
 
 
+def _scan_remote(spark: SparkSession, uri: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.proto").load(uri)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.when(text.isNull(), F.lit("UnicodeDecodeError: not UTF-8"))
+    # The driver lists, as it does for local folders.
+    names = sorted(r["path"] for r in found.select("path").collect())
+    order = spark.createDataFrame([(i, p) for i, p in enumerate(names)], "file_ord bigint, path string")
+    return found.join(order, "path").select("file_ord", F.col("path").alias("file_path"), text.alias("content"), error.alias("error"))
+
+
 def scan_file(spark: SparkSession, path: str | Path) -> DataFrame:
     """One definition file; here one that can't be read is an error."""
     path = Path(path)

@@ -147,3 +147,13 @@ def test_missing_paths(spark, tmp_path):
         scan_folder(spark, tmp_path / "no")
     (tmp_path / "none").mkdir()
     assert parse(scan_folder(spark, tmp_path / "none")).count() == 0
+
+
+def test_remote_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.proto").write_text("message B {\n  string y = 1;\n}")
+    (tmp_path / "a.proto").write_text(PROTO3)
+    (tmp_path / "c.proto").write_bytes(b"\xff")
+    declared = parse(scan_folder(spark, f"file://{tmp_path}"))
+    assert catalog.parse_errors(declared).count() == 1
+    assert [r["field_name"] for r in catalog.field_records(declared).orderBy("ord").collect()][-1] == "y"
