@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -24,6 +25,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -56,7 +58,9 @@ class Workspace:
 
 @lru_cache(maxsize=1)
 def _local_base() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="fieldweave-")
+    folder = tempfile.mkdtemp(prefix="fieldweave-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
 
 
 def utf8_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +132,17 @@ def crc32_of(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def bounded(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's Arrow batches to `rows` rows and 8 MB, so that a worker holds a few megabytes of texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that an operator reads, so that others, whatever their names, can't clash."""
+    bounded(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

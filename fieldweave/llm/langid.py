@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import crc32_of, need
+from fieldweave.llm.common import bounded, crc32_of, need
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -26,14 +26,17 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class WordModel:
-    """Log frequencies by language of the commonest words and n-grams; orders[0] holds words, orders[n] n-grams."""
+    """Log frequencies by language of the commonest words and n-grams.
 
-    def __init__(self, langs: list[str], orders: list[dict[str, np.ndarray]]):
-        self.langs, self.orders = langs, orders
+    orders[0] gives the row in `logs` of words, orders[n] that of n-grams.
+    """
+
+    def __init__(self, langs: list[str], orders: list[dict[str, int]], logs: np.ndarray):
+        self.langs, self.orders, self.logs = langs, orders, logs
         self.reset()
 
     def __getstate__(self):
-        return self.langs, self.orders
+        return self.langs, self.orders, self.logs
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -46,24 +49,29 @@ class WordModel:
     def from_counts(cls, langs: list[str], counts):
         """counts: (order, lang, gram, n) of what is kept, with n over the whole sample."""
         at = {x: i for i, x in enumerate(langs)}
-        orders: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        orders: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        cells, size = [], 0
         for order, lang, gram, n in counts:
-            orders[order].setdefault(gram, np.zeros(len(langs)))[at[lang]] += n
+            row = orders[order].setdefault(gram, size)
+            size += row == size
+            cells.append((row, at[lang], n))
+        logs = np.zeros((size, len(langs)))
+        for row, lang, n in cells:
+            logs[row, lang] += n
         for table in orders:
-            total = sum(table.values(), np.zeros(len(langs)))
-            for gram, c in table.items():
-                table[gram] = np.log((c + 0.5) / (total + 0.5 * len(table) + 1))
-        return cls(langs, orders)
+            rows = np.fromiter(table.values(), np.int64, len(table))
+            logs[rows] = np.log((logs[rows] + 0.5) / (logs[rows].sum(axis=0) + 0.5 * len(table) + 1))
+        return cls(langs, orders, logs)
 
     def score(self, word: str) -> np.ndarray:
         """Log frequency by language: of the word if it is known, else the mean over its known n-grams of the longest order that has any."""
         if (known := self.orders[0].get(word)) is not None:
-            return known
+            return self.logs[known]
         for n in range(LONGEST, 0, -1):
             table = self.orders[n]
             found = [table[g] for g in grams_of(word, n) if g in table]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def rows(self, words: list[str]) -> list[int]:
@@ -85,19 +93,33 @@ class WordModel:
 
     def predict(self, text: str | None, evidence: int = 30) -> tuple[str, float]:
         """The likeliest language and its share. Scores of long texts are scaled down to those of `evidence` words."""
-        words = words_of(text) if text else []
-        if len(self.row) > 400_000:
-            self.reset()
-        rows = [r for r in self.rows(words) if r]
-        if not rows or not self.langs:
+        z, n = np.zeros(len(self.langs)), 0
+        for part in parts_of(text or ""):
+            if len(self.row) > 100_000:
+                self.reset()
+            rows = [r for r in self.rows(words_of(part)) if r]
+            z += self.table[rows].sum(axis=0) if rows else 0
+            n += len(rows)
+        if not n or not self.langs:
             return "und", 0.0
-        z = self.table[rows].sum(axis=0) * min(1.0, evidence / len(rows))
+        z *= min(1.0, evidence / n)
         p = np.exp(z - z.max())
         best = int(z.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 5_000, words: int = 200_000, grams: int = 120_000) -> WordModel:
+def parts_of(text: str, size: int = 1 << 18):
+    """The text in parts that end outside words, so that a huge one isn't held as words at once."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and (text[end].isalnum() or text[end] == "_"):
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 5_000, words: int = 60_000, grams: int = 30_000) -> WordModel:
     """Learn from texts and non-null languages of rows whose crc32(id) mod 5 is not 0.
 
     At most about `per_lang` rows of each language are used, chosen by a hash of the id. Their words and n-grams are counted where
@@ -108,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return WordModel([], [{} for _ in range(LONGEST + 1)])
+        return WordModel([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     chosen = src.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -164,6 +186,7 @@ def keep_identified(docs: DataFrame, model: WordModel, text_col: str = "text", l
 
     Rows whose text is null, empty or without letters go. Where nothing was learned, every row with letters stays.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

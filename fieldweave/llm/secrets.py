@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import need
+from fieldweave.llm.common import bounded, need
 
 # Kinds in their order, the keywords that announce them, and their patterns.
 KINDS = ("assign", "access", "hex", "github", "npm", "slack", "google", "stripe", "pem")
@@ -142,6 +142,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows of `docs` with secrets in `text_col` replaced by a mark and `length_col`, if there, set to the new length."""
+    bounded(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

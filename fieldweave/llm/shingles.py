@@ -15,42 +15,59 @@ _hash = PrefixHash(20_240_501)
 _place = np.random.default_rng(77).integers(0, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 
 
-def shingle_sets(texts, words: int = 5, step: int = 1 << 20):
-    """Yield for each row the sorted distinct shingles; a row with fewer words has its whole sequence as one."""
+def shingle_sets(texts, words: int = 5, step: int = 1 << 18):
+    """Yield for each row the sorted distinct shingles; a row with fewer words has its whole sequence as one.
+
+    Bytes are taken in runs of about `step`; a row longer than that is cut at white space and its words put together again.
+    """
     data, off = utf8_view(texts)
     for i, j in runs_of(off, step):
-        yield from _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
+        if j == i + 1 and off[j] - off[i] > step:
+            yield _set(np.concatenate(list(_long_row(data[off[i] : off[j]], step))), words)
+        else:
+            part = data[off[i] : off[j]]
+            start, value = _words(part, off[i : j + 1] - off[i])
+            at = np.searchsorted(start, off[i : j + 1] - off[i])
+            full = _shingles(value, words)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                yield _set(value[a:b], words, full[a : max(a, b - words + 1)])
+
 
+def _long_row(data, step):
+    a = 0
+    while a < len(data):
+        b = a + step
+        while b < len(data) and not SPACE[data[b]]:
+            b += 1
+        yield _words(data[a:b], np.array([0, len(data[a:b])]))[1]
+        a = b
 
-def _sets(data, off, words):
-    n = len(off) - 1
+
+def _words(data, off):
+    """Where each word starts, and its value; words end at white space and at the ends of rows."""
     prefix = _hash.prefix(LOWER[data])
     solid = np.r_[False, ~SPACE[data], False]
-    edge = solid[1:] != solid[:-1]
-    edge[off[1:-1]] |= solid[off[1:-1]] & solid[off[1:-1] + 1] if n > 1 else False
-    # A word that ends where the next row's first word begins is one edge for both: it counts twice.
-    at = np.flatnonzero(edge)
-    if n > 1:
-        joint = np.unique(off[1:-1])
-        joint = joint[solid[joint] & solid[joint + 1]]
-        if len(joint):
-            at = np.sort(np.r_[at, joint])
+    at = np.flatnonzero(solid[1:] != solid[:-1])
+    inner = np.unique(off[1:-1])
+    joint = inner[solid[inner] & solid[inner + 1]]  # one row's last word touches the next one's first
+    if len(joint):
+        at = np.sort(np.r_[at, joint, joint])
     start, end = at[::2], at[1::2]
-    value = mix64(_hash.span(prefix, start, end) + (end - start).astype(U64))
-    first = np.searchsorted(start, off[:-1])
-    last = np.searchsorted(start, off[1:])
-    m = len(value)
-    full = np.zeros(max(0, m - words + 1), U64)
+    return start, mix64(_hash.span(prefix, start, end) + (end - start).astype(U64))
+
+
+def _shingles(value, words):
+    n = max(0, len(value) - words + 1)
+    out = np.zeros(n, U64)
     for k in range(words):
-        full += value[k : m - words + 1 + k] * _place[k] if m >= words else 0
-    full = mix64(full)
-    for r in range(n):
-        a, b = first[r], last[r]
-        if b - a >= words:
-            s = np.sort(full[a : b - words + 1])
-            yield s[np.r_[True, s[1:] != s[:-1]]]
-        elif b > a:
-            short = np.cumsum(value[a:b] * _place[8 : 8 + b - a], dtype=U64)[-1:] + U64(b - a)
-            yield mix64(short)
-        else:
-            yield np.zeros(0, U64)
+        out += value[k : n + k] * _place[k]
+    return mix64(out)
+
+
+def _set(value, words, full=None):
+    if len(value) >= words:
+        s = np.sort(_shingles(value, words) if full is None else full)
+        return s[np.r_[True, s[1:] != s[:-1]]]
+    if not len(value):
+        return np.zeros(0, U64)
+    return mix64(np.cumsum(value * _place[8 : 8 + len(value)], dtype=U64)[-1:] + U64(len(value)))

@@ -65,7 +65,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int):
     An anchor serves the strings that start `offset` bytes before it, for all offsets in its range.
     """
     out = []
-    for i, j in runs_of(off, 1 << 20):
+    for i, j in runs_of(off, 1 << 18):
         for a in range(off[i], max(off[i] + 1, off[j] - length + 1), 4 << 20):  # more than once only for a huge row
             b = min(off[j], a + (4 << 20) + length - 1) if j == i + 1 else off[j]
             out.append(_anchors(data[a:b], np.maximum(off[i : j + 1] - a, 0) if j > i + 1 else np.array([0, b - a]), length, k, i, a - off[i] if j == i + 1 else 0))
@@ -158,8 +158,8 @@ class Surroundings:
         """The common extension of each suffix with the one before it in the order, verified on the bytes; 0 across groups."""
         x, y = order[:-1], order[1:]
         n = np.where(group[x] == group[y], self.common(x, y, forward), 0)
-        for i in range(0, len(n), 1 << 16):
-            m = n[i : i + (1 << 16)]
+        for i in range(0, len(n), 1 << 13):
+            m = n[i : i + (1 << 13)]
             k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             a, b = np.repeat(self.anchor[x[i : i + len(m)]], m), np.repeat(self.anchor[y[i : i + len(m)]], m)
             a, b = (a + k, b + k) if forward else (a - 1 - k, b - 1 - k)
@@ -185,8 +185,8 @@ def repeated_strings(group, ids, place, least, most, data, start, size, length):
     first = np.empty(len(by), np.int64)
     first[order] = head
     copy = np.flatnonzero(first != np.arange(len(by)))
-    for i in range(0, len(copy), 1 << 15):
-        c = copy[i : i + (1 << 15)]
+    for i in range(0, len(copy), 1 << 13):
+        c = copy[i : i + (1 << 13)]
         n = np.minimum(size[c], size[first[c]])
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         equal = data[np.repeat(start[c], n) + k] == data[np.repeat(start[first[c]], n) + k]
@@ -242,6 +242,13 @@ def _home(ids: np.ndarray, cells: int) -> np.ndarray:
     return (mix64(ids.view(U64) + U64(99)) % U64(cells)).astype(np.int64)
 
 
+def small(batches, rows: int = 2048):
+    """The same rows in batches of at most so many."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 ROW = "cell bigint, kind int, block binary"
 COPY, REFS, TEXT = 0, 1, 2
 AROUND, STRINGS, DONE = 0, 1, 2
@@ -266,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = src.where("_id is not null")
 
     def find(batches):
-        for b in batches:
+        for b in small(batches):
             data, off = utf8_view(b.column(1))
             row, place, least, most, h = anchors(data, off, length, k)
             ids = b.column(0).to_numpy()
@@ -285,6 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Of equal texts, all but the smallest id: they need no comparison.
     sums = own.where(F.octet_length("_text") >= length).select("_id", F.unhex(F.sha2("_text", 256)).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").select("sum", "first")
+    firsts = work.save(firsts, "firsts")  # so that the join has shuffles of its own, whose hot keys Spark can split
     copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies")
 
     def as_copies(batches):
@@ -295,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ship(columns: int):
         def run(batches):
             options = pa.ipc.IpcWriteOptions(compression="zstd")
-            for b in batches:
+            for b in small(batches):
                 home, found = _home(b.column(0).to_numpy(), cells), []
                 by = np.argsort(home, kind="stable")
                 b, home = b.take(pa.array(by)), home[by]
@@ -398,7 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ends = np.flatnonzero(np.r_[group[order][1:] != group[order][:-1], True]) + 1
                 filled, a = np.cumsum(size[order]), 0
                 while a < len(order):  # whole groups, a few megabytes at a time
-                    k_ = np.searchsorted(filled[ends - 1], (filled[a - 1] if a else 0) + (2 << 20), side="right")
+                    k_ = np.searchsorted(filled[ends - 1], (filled[a - 1] if a else 0) + (1 << 20), side="right")
                     b = int(ends[min(max(k_, np.searchsorted(ends, a, side="right") + 1) - 1, len(ends) - 1)])
                     w = order[a:b]
                     n = size[w]
