@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -146,6 +148,21 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def lean(run):
+    """A function over batches that gives back the memory it no longer needs when its partition ends; workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return wrapped
+
+
 def by_cell(batches, column: str = "cell"):
     """Tables of all rows with one value of `column`, from batches sorted by it; what is held is one cell and one batch."""
     held: list[pa.RecordBatch] = []

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace
+from fieldweave.llm.common import Workspace, lean
 
 
 def _local_forest(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
     Union-find over one partition's distinct nodes; memory follows the partition's size, not the table's.
     """
 
+    @lean
     def run(batches):
         parent: dict[int, int] = {}
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import U64, PrefixHash, mix64, need, runs_of, utf8_view
+from fieldweave.llm.common import U64, PrefixHash, lean, mix64, need, runs_of, utf8_view
 
 MODEL = "piece_bpe_32k"
 _hash = PrefixHash(5)
@@ -224,6 +224,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or model_path()
     src = need(docs, id_col, text_col).withColumn("key", F.xxhash64(id_col))
 
+    @lean
     def run(batches):
         p = load(path)
         for b in batches:
@@ -242,6 +243,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
     path = path or model_path()
     src = need(encoded, id_col, pieces_col)
 
+    @lean
     def run(batches):
         p = load(path)
         for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import U64, Workspace, mix64, need
+from fieldweave.llm.common import U64, Workspace, lean, mix64, need
 from fieldweave.llm.components import connected_components
 from fieldweave.llm.shingles import shingle_sets
 
@@ -83,6 +83,7 @@ def similarity_of(odd: int, sa: int, sb: int, na: int, nb: int) -> float:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    @lean
     def run(batches):
         for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             n, keys, samples, odd, used = [], [], [], [], []
@@ -127,6 +128,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole:
         bitmap[r["w"]] = r["m"]
     bits = bitmap.view(np.uint8)
 
+    @lean
     def run(batches):
         for b in batches:
             x = b.column(2).to_numpy()
@@ -151,6 +153,7 @@ def _block_pairs(rows: DataFrame, parts: int, whole: int, block: int) -> DataFra
     bounded; only pairs that pass leave the task, and only from the first band (`pos`) whose keys, here their tags, they share.
     """
 
+    @lean
     def run(batches):
         held = None
         for b in _with_end(batches):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, by_cell, need
+from fieldweave.llm.common import Workspace, by_cell, lean, need
 from fieldweave.llm.components import connected_components
 from fieldweave.llm.vectors import kmeans, lists, matrix, sample_matrix, squares, usable, width_of
 
@@ -100,6 +100,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     size = max(2, min(512, len(fit) // 8 or 1, round(math.sqrt(n / per_cell))))
     index = MultiIndex(fit, threshold, recall, size)
 
+    @lean
     def assign(batches):
         for b in batches:
             x = matrix(b.column(0), dim)
@@ -120,6 +121,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cells = as_member.unionByName(as_query).withColumn("cell", F.xxhash64("row", "mine", "other"))
     cells = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "row", "side", "rep", "w", "v", "i", "j")
 
+    @lean
     def compare(batches):
         for t in by_cell(batches):
             side, rep, w, i, j = (t.column(k).to_numpy() for k in ("side", "rep", "w", "i", "j"))

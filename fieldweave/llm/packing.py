@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, need
+from fieldweave.llm.common import Workspace, lean, need
 from fieldweave.llm.tokens import token_ids, vocabulary_path
 
 
@@ -70,6 +70,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
     """One row for each piece; `part` and `nth` give its rank among the pieces of its length."""
     src = need(docs, id_col, text_col)
 
+    @lean
     def run(batches):
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
@@ -110,6 +111,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["length", "part"]).select(F.col(f"`{id_col}`"), "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
+    @lean
     def place(batches):
         key = plan[:, 0] * (1 << 48) + plan[:, 1]
         by = np.argsort(key, kind="stable")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, by_cell, need
+from fieldweave.llm.common import Workspace, by_cell, lean, need
 from fieldweave.llm.vectors import lists, matrix, sample_matrix, usable, width_of
 
 
@@ -162,6 +162,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     parts = 1 << max(0, min(8, round(math.log2(max(1, math.sqrt(stats["n"]) / 14)))))  # grows with the root of the rows
     model = LearnedPartitions(sample_matrix(classes, "v", "rep", dim, sample), parts, k, recall, stats["widest"])
 
+    @lean
     def assign(batches):
         for b in batches:
             x = matrix(b.column(0), dim)
@@ -176,6 +177,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     as_query = placed.where("asks").withColumn("part", F.explode("routes")).join(F.broadcast(shape), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mine"), F.pmod(F.xxhash64("rep"), "qb").cast("int").alias("other"), F.lit(1).alias("side"), "rep", "v")
     cells = as_member.unionByName(as_query).withColumn("cell", F.xxhash64("part", "mine", "other")).repartition("cell").sortWithinPartitions("cell").select("cell", "side", "rep", "v")
 
+    @lean
     def rank(batches):
         for t in by_cell(batches):
             side, rep, x = t.column("side").to_numpy(), t.column("rep").to_numpy(), matrix(t.column("v"), dim)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import PrefixHash, crc32_of, mix64, need, runs_of, utf8_view
+from fieldweave.llm.common import PrefixHash, crc32_of, lean, mix64, need, runs_of, utf8_view
 
 # Classes of bytes that the features count.
 LOWER, UPPER, HIGH, DIGIT, SPACE, STOP, BANG, BAR, SYMBOL = range(9)
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = spark.createDataFrame([(r["id"], int(r["label"])) for r in chosen], "id bigint, label int")
     src = need(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id").select("text", "label")
 
+    @lean
     def run(batches):
         for b in batches:
             data, off = utf8_view(b.column(0))
@@ -183,6 +184,7 @@ def score(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: s
     """
     src = need(docs, id_col, text_col).withColumn("held_out", F.coalesce(crc32_of(id_col) % 5 == 0, F.lit(False)))
 
+    @lean
     def run(batches):
         for b in batches:
             data, off = utf8_view(b.column(1))

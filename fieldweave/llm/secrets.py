@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import bounded, need
+from fieldweave.llm.common import bounded, lean, need
 
 # Kinds in their order, the keywords that announce them, and their patterns.
 KINDS = ("assign", "access", "hex", "github", "npm", "slack", "google", "stripe", "pem")
@@ -122,6 +122,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     src = need(docs, id_col, text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -145,6 +146,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
     bounded(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             texts = [redact(t, scan(t)) if t else t for t in b.column(at).to_pylist()]

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, mix64, runs_of, utf8_view
+from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mix64, runs_of, utf8_view
 
 _hash, _second = PrefixHash(71), PrefixHash(72)
 _LOW = U64((1 << 24) - 1)
@@ -272,6 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in extra])
     own = src.where("_id is not null")
 
+    @lean
     def find(batches):
         for b in small(batches):
             data, off = utf8_view(b.column(1))
@@ -279,6 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = b.column(0).to_numpy()
             yield from _rows([(c, 0, x) for c, x in _blocks((h % U64(cells)).astype(np.int64), h, ids[row], place.astype(np.uint32), least.astype(np.uint16), most.astype(np.uint16))])
 
+    @lean
     def shared(batches):
         for t in by_cell(batches):
             h, ids, place, least, most = unpack_all(t.column("block").to_pylist())
@@ -295,12 +297,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = work.save(firsts, "firsts")  # so that the join has shuffles of its own, whose hot keys Spark can split
     copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies")
 
+    @lean
     def as_copies(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             yield from _rows([(c, COPY, x) for c, x in _blocks(_home(ids, cells), ids)])
 
     def ship(columns: int):
+        @lean
         def run(batches):
             options = pa.ipc.IpcWriteOptions(compression="zstd")
             for b in small(batches):
@@ -331,6 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kind, blocks = t.column("kind").to_numpy(), t.column("block").to_pylist()
         return [[x for x, k_ in zip(blocks, kind, strict=True) if k_ == want] for want in (0, 1, 2)]
 
+    @lean
     def around(batches):
         for t in by_cell(batches):
             gone, refs_, text_blocks = kinds(t)
@@ -391,6 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found += [(c, DONE, x) for c, x in _intervals(ids[who[d]], at[d], at[d] + length, cells)]
         yield from _rows(found)
 
+    @lean
     def settle(batches):
         for t in by_cell(batches):
             near, strings, done = kinds(t)
@@ -428,6 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     intervals = work.save(met, "intervals")
     whole = own.mapInArrow(ship(2 + len(extra)), ROW)
 
+    @lean
     def cut(batches):
         for t in by_cell(batches):
             gone_, blocks, text_blocks = kinds(t)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldweave.llm.common import need, utf8_view
+from fieldweave.llm.common import lean, need, utf8_view
 
 VOCABULARY = "byte_bpe_50k"
 # Fixed values of the vocabulary file: its added token and that token's id.
@@ -128,6 +128,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or vocabulary_path()
     src = need(docs, id_col, text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             _, off = utf8_view(b.column(1))
