@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import bounded, crc32_of, need
+from fieldweave.llm.common import bounded, crc32_of, lean, need
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -63,39 +63,50 @@ class WordModel:
             logs[rows] = np.log((logs[rows] + 0.5) / (logs[rows].sum(axis=0) + 0.5 * len(table) + 1))
         return cls(langs, orders, logs)
 
-    def score(self, word: str) -> np.ndarray:
-        """Log frequency by language: of the word if it is known, else the mean over its known n-grams of the longest order that has any."""
-        if (known := self.orders[0].get(word)) is not None:
-            return self.logs[known]
+    def known(self, word: str) -> list[int]:
+        """Rows of `logs` that stand for a word: its own if it is known, else those of its known n-grams of the longest order that has any."""
+        if (row := self.orders[0].get(word)) is not None:
+            return [row]
         for n in range(LONGEST, 0, -1):
-            table = self.orders[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
+            get = self.orders[n].get
+            found = [r for g in grams_of(word, n) if (r := get(g)) is not None]
             if found:
-                return self.logs[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return found
+        return []
+
+    def score(self, word: str) -> np.ndarray:
+        """Log frequency by language: the mean over the rows that stand for the word."""
+        found = self.known(word)
+        return self.logs[found].mean(axis=0) if found else np.zeros(len(self.langs))
 
     def rows(self, words: list[str]) -> list[int]:
         """Rows of `table` with the words' scores. Row 0 is zero: of what has no letter."""
-        get, out = self.row.get, []
+        get, out, new = self.row.get, [], []
+        first = len(self.row)
         for w in words:
             r = get(w)
             if r is None:
-                if not any(map(str.isalpha, w)):
-                    r = 0
+                if w[0].isalpha() or any(map(str.isalpha, w)):
+                    r = self.row[w] = len(self.row)
+                    new.append(self.known(w))
                 else:
-                    r = len(self.row)
-                    if r == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[r] = self.score(w)
-                    self.row[w] = r
+                    r = 0
             out.append(r)
+        if new:
+            while len(self.table) < len(self.row):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            size = np.array([len(x) for x in new])
+            where = np.repeat(np.arange(first, first + len(new)), size)
+            scores = self.logs[[r for x in new for r in x]] / np.repeat(size, size)[:, None]
+            self.table[first : first + len(new)] = 0
+            np.add.at(self.table, where, scores)
         return out
 
     def predict(self, text: str | None, evidence: int = 30) -> tuple[str, float]:
         """The likeliest language and its share. Scores of long texts are scaled down to those of `evidence` words."""
         z, n = np.zeros(len(self.langs)), 0
         for part in parts_of(text or ""):
-            if len(self.row) > 100_000:
+            if len(self.row) > 150_000:
                 self.reset()
             rows = [r for r in self.rows(words_of(part)) if r]
             z += self.table[rows].sum(axis=0) if rows else 0
@@ -119,7 +130,7 @@ def parts_of(text: str, size: int = 1 << 18):
         at = end
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 5_000, words: int = 60_000, grams: int = 30_000) -> WordModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 5_000, words: int = 120_000, grams: int = 30_000) -> WordModel:
     """Learn from texts and non-null languages of rows whose crc32(id) mod 5 is not 0.
 
     At most about `per_lang` rows of each language are used, chosen by a hash of the id. Their words and n-grams are counted where
@@ -134,6 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     chosen = src.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
+    @lean
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
@@ -173,6 +185,7 @@ def identify(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = need(docs, id_col, text_col).withColumn("held_out", F.coalesce(crc32_of(id_col) % 5 == 0, F.lit(False)))
 
+    @lean
     def run(batches):
         for b in batches:
             found = [shared.value.predict(x.as_py()) for x in b.column(1)]
@@ -190,6 +203,7 @@ def keep_identified(docs: DataFrame, model: WordModel, text_col: str = "text", l
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             keep = []
