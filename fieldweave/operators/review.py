@@ -44,7 +44,7 @@ def _hits_by_field(hits: DataFrame) -> DataFrame:
 
 
 def find_issues(records: DataFrame, hits: DataFrame, concepts: DataFrame, event_type: str, cut: float = 0.5) -> DataFrame:
-    """Issues in order: for each field naming, then type; then a row for each concept that the event type lacks.
+    """Issues in order: for each field naming, then type; then a row for each concept that the event type lacks. Their texts are fixed values.
 
     Columns: ord, field_name, issue_type, severity, message, canonical_name, canonical_type, similar_fields.
     """
