@@ -72,7 +72,7 @@ def token_ids(text: str, path: str) -> np.ndarray:
 
 
 def token_ends(text: str, path: str) -> np.ndarray:
-    """Where each token of the text ends, in UTF-8 bytes."""
+    """Where each token of the text ends, in UTF-8 bytes; tokens that share a rare text's character end where it does."""
     if not text.isascii() and RARE.search(text):
         spans = _library(path).encode(text, add_special_tokens=False).offsets
         width = np.r_[0, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])]
@@ -113,9 +113,9 @@ def _common_boundary(text, left, ends, start, end, over, path):
     for m in reversed(list(STABLE.finditer(text, begin + guard, max(begin + guard, end - guard)))):
         p = m.start()
         here = len(text[begin:p].encode("utf-8", "surrogatepass"))
-        i, j = np.searchsorted(ends, at + here), np.searchsorted(right_ends, here)
-        if i < len(ends) and ends[i] == at + here and j < len(right_ends) and right_ends[j] == here:
-            return int(i) + 1, p
+        i, j = np.searchsorted(ends, at + here, side="right"), np.searchsorted(right_ends, here, side="right")  # after all tokens of a character
+        if i and ends[i - 1] == at + here and j and right_ends[j - 1] == here:
+            return int(i), p
     return None
 
 

@@ -405,6 +405,16 @@ def test_resynchronised_counts(library, chunk, overlap):
         assert tokens.count_resynchronised(t, path, chunk, overlap) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("word, rare", [("się są", "語"), ("più però lunedì", "😀"), ("où", "😀"), ("ș ț și", "語")])
+@pytest.mark.parametrize("chunk, overlap", [(97, 20), (300, 40), (32_768, 1_024)])
+def test_splices_after_split_characters_lose_no_token(library, word, rare, chunk, overlap):
+    path = tokens.vocabulary_path()
+    for gap in (1, 7, 10**6):  # a rare character in each chunk, in some, only at the start
+        one = [f"{word} {rare if k % gap == 0 else 'x'}" for k in range(chunk // 4)]
+        t = " ".join(one)
+        assert tokens.count_resynchronised(t, path, chunk, overlap) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark, library):
     rows = [*enumerate([None, *TEXTS]), (50, long_text()), (50, long_text()), (None, "a b")]
     got = tokens.count_tokens(table(spark, rows), chunk=20_000).collect()
