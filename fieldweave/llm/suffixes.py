@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mix64, runs_of, utf8_view
+from fieldweave.operators.positions import with_positions
 
 _hash, _second = PrefixHash(71), PrefixHash(72)
 _LOW = U64((1 << 24) - 1)
@@ -263,14 +264,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts, and texts shorter than `length`, lose nothing; a null text counts as empty and its kept text is null. Of equal
     texts the smallest id loses only what the rest of the table makes it lose, the others everything. Rows without id are compared
-    with nothing. Rows with equal ids and equal texts count as one. An empty table gives an empty result. Ids are bigints.
+    with nothing. Rows with equal ids and equal texts count as one. Different texts of one id are compared like those of different ids,
+    in the order of their SHA-256. An empty table gives an empty result. Ids are bigints.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "suffixes")
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in carry if c not in (id_col, text_col)]
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in extra])
-    own = src.where("_id is not null")
+    own = once = src.where("_id is not null")
+    text_sum = F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256))
+    sums = work.save(own.select("_id", text_sum.alias("_sum"), F.octet_length("_text").alias("size")), "sums")
+    given = F.col("_id")
+    if not sums.groupBy("_id").count().where("count > 1").isEmpty():
+        # Ids repeat: below, the place of (id, text) in their order stands for the id, which goes along as a column, and rows that
+        # are equal in both are compared once.
+        numbers = work.save(with_positions(sums.select("_id", "_sum").distinct(), "_id", ("_sum",), "_nr"), "numbers")
+        src = src.withColumn("_sum", text_sum).join(numbers, ["_id", "_sum"], "left")
+        src = work.save(src.select(F.col("_nr").alias("_id"), "_text", *[F.col(f"`{c}`") for c in extra], F.col("_id").alias("_given")), "numbered")
+        own = src.where("_id is not null")
+        once = work.save(own.select("_id", "_text").dropDuplicates(["_id"]), "once")
+        sums = sums.join(numbers, ["_id", "_sum"]).select(F.col("_nr").alias("_id"), "_sum", "size")
+        given, extra = F.col(f"_{len(extra)}"), [*extra, "_given"]
 
     @lean
     def find(batches):
@@ -290,9 +305,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             by, count = by[count > 1], count[count > 1]
             yield from _rows([(c, REFS, x) for c, x in _blocks(_home(ids[by], cells), ids[by], place[by], least[by], most[by], h[by], count > hot)])
 
-    refs = own.select("_id", "_text").mapInArrow(find, ROW).repartition("cell").sortWithinPartitions("cell").mapInArrow(shared, ROW)
+    refs = once.select("_id", "_text").mapInArrow(find, ROW).repartition("cell").sortWithinPartitions("cell").mapInArrow(shared, ROW)
     # Of equal texts, all but the smallest id: they need no comparison.
-    sums = own.where(F.octet_length("_text") >= length).select("_id", F.unhex(F.sha2("_text", 256)).alias("sum"))
+    sums = sums.where(F.col("size") >= length).select("_id", F.col("_sum").alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").select("sum", "first")
     firsts = work.save(firsts, "firsts")  # so that the join has shuffles of its own, whose hot keys Spark can split
     copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies")
@@ -326,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             union = union.union(p)
         return union.repartition("cell").sortWithinPartitions("cell", "kind")
 
-    texts = own.select("_id", "_text").where(F.octet_length("_text") >= length).mapInArrow(ship(2), ROW)
+    texts = once.select("_id", "_text").where(F.octet_length("_text") >= length).mapInArrow(ship(2), ROW)
 
     def texts_of(blocks):
         return pa.Table.from_batches([x for b in blocks for x in pa.ipc.open_stream(b)])
@@ -467,7 +482,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = by_home(gone, intervals, whole).mapInArrow(cut, schema)
     lone = src.where("_id is null").withColumn("_t", F.coalesce("_text", F.lit(""))).select("_id", F.octet_length("_t").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("_t", 256).alias("kept_sha256"), F.col("_text").alias("kept_text") if with_text else F.lit(None).cast("string").alias("kept_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(extra)])
     out = out.union(lone)
-    return out.select(F.col("_id").alias(id_col), *names[1:6], *[F.col(f"_{i}").alias(c) for i, c in enumerate(extra)])
+    return out.select(given.alias(id_col), *names[1:6], *[F.col(f"_{i}").alias(c) for i, c in enumerate(extra) if c != "_given"])
 
 
 def merge(frm, to) -> list[tuple[int, int]]:

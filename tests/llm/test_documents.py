@@ -360,6 +360,21 @@ def test_repeats_edges(spark):
     assert suffixes.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_repeats_of_ids_with_several_texts(spark, hot):
+    a, b, c, d, e = (" ".join(words(80, 40 + k, 5000)) for k in range(5))
+    # Under id 5: a copy of a smaller id's text, a text of its own, one that shares a passage with id 1 and with itself, and short ones.
+    rows = [(1, a + " " + d), (5, a + " " + d), (5, b), (5, c + a[:150] + c), (5, "short"), (5, None), (5, b), (-7, e), (9, b), (9, e + b), (9, c), (6, d[50:]), (None, a)]
+    key = lambda i, t: (i, hashlib.sha256((t or "").encode()).digest())
+    want = brute_repeats([(k, t) for k, t in {key(i, t): t for i, t in rows if i is not None}.items()])
+    wanted = [(i, t, *(want[key(i, t)][:3] if i is not None else (len(t), 0, 0))) for i, t in rows]
+    df = table(spark, rows).withColumn("start", F.col("text"))
+    got = suffixes.remove_repeats(df.repartition(5), hot=hot, carry=("doc_id", "start", "cell")).collect()
+    assert sorted(((r["doc_id"], r["start"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == sorted(wanted, key=str)
+    assert all(r["kept_sha256"] == want[key(r["doc_id"], r["start"])][3] for r in got if r["doc_id"] is not None)
+    assert all(r["kept_text"] == r["start"] for r in got if not r["n_removed"])
+
+
 def test_suffix_sort_matches_plain_sort():
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list("ab"), int(rng.integers(5, 40)))) for _ in range(200)]
