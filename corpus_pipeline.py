@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import langid, minhash, packing, secrets, suffixes
 from fieldweave.llm.common import Workspace
+from fieldweave.operators.positions import with_positions
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +16,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows that repeat an id, one. Rows without id stay."""
-    found = minhash.near_duplicates(docs)
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates the document with the smallest id; of rows equal in id and text, one. Rows without id stay.
+
+    Different texts of one id are documents of their own, in the order of their SHA-256.
+    """
+    own = docs.where("doc_id is not null")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = minhash.near_duplicates(docs)
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    work, text_sum = Workspace(spark, "near_duplicates"), F.coalesce(F.sha2("text", 256), F.lit(""))
+    # The place of (id, text) in their order stands for the id.
+    numbers = work.save(with_positions(own.select("doc_id", text_sum.alias("_sum")).distinct(), "doc_id", ("_sum",), "_nr"), "numbers")
+    numbered = work.save(docs.withColumn("_sum", text_sum).join(numbers, ["doc_id", "_sum"], "left").select("_nr", *docs.columns), "numbered")
+    found = minhash.near_duplicates(numbered, "_nr")
+    kept = numbered.where("_nr is not null").dropDuplicates(["_nr"]).join(found.where("not kept").select("_nr").distinct(), "_nr", "left_anti")
+    return kept.select(*docs.columns).union(numbered.where("_nr is null").select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,18 @@ def test_one_of_each_group_stays(stages):
     assert all(r in before for r in rows(stages[1][1]))
 
 
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = (spoken(lang, 70 + k, 80) for k, lang in enumerate(SOUNDS))
+    texts = [(1, a), (5, a + " und"), (5, b), (5, c), (5, c), (6, b + " und"), (7, a), (7, a), (None, a), (None, a), (8, None), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts], SCHEMA)
+    want = sorted([(1, a), (5, b), (5, c), (None, a), (None, a), (8, None), (8, "")], key=key)
+    for layout in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(layout), "")
+        assert sorted([r[:2] for r in rows(got)], key=key) == want
+    after = corpus_pipeline.repeats(spark, docs.where("doc_id < 6"), "")
+    assert {(i, t) for i, t in texts if i in (1, 5) and not (t or "").startswith(a + " ")} <= {r[:2] for r in rows(after)}
+
+
 def test_repeats_go_and_characters_stay_whole(stages):
     before = {r[0]: r for r in rows(stages[1][1])}
     want = brute_repeats([(i, r[1]) for i, r in before.items() if i is not None])
