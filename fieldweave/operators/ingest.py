@@ -15,7 +15,7 @@ from fieldweave.sources.protofiles import scan_folder
 
 @dataclass
 class Ingested:
-    """Files parsed, fields given to the store, and the files that couldn't be read."""
+    """Files parsed, fields given to the store, and all files that couldn't be read, by path: one entry for each reaches the driver."""
 
     total_files: int = 0
     total_fields: int = 0
@@ -26,7 +26,7 @@ def ingest(spark: SparkSession, folder: str | Path, store: FieldStore, mode: str
     """Parse all files and upsert their fields; a second run changes nothing."""
     declared = parse(scan_folder(spark, folder), mode).cache()
     given = store.upsert(catalog.field_records(declared), prune)
-    errors = [r.asDict() for r in catalog.parse_errors(declared).limit(1000).collect()]
+    errors = [r.asDict() for r in catalog.parse_errors(declared).orderBy("file_path").collect()]
     out = Ingested(catalog.parsed_files(declared).count(), given, errors)
     declared.unpersist()
     return out

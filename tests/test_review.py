@@ -184,3 +184,14 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["ingest", "--proto-dir", str(tmp_path / "none")], spark) == 2
     result = ingest(spark, protos, FieldStore(spark, tmp_path / "other"))
     assert (result.total_files, result.total_fields, result.errors) == (2, 4, [])
+
+
+def test_ingest_reports_all_unreadable_files(spark, tmp_path):
+    protos = tmp_path / "protos"
+    protos.mkdir()
+    (protos / "A.proto").write_text('syntax = "proto3";\npackage p;\nmessage A {\n  string user_name = 1;\n}\n')
+    for k in range(1010):
+        (protos / f"bad{k:04}.proto").write_bytes(b"message \xff\xfe {")
+    result = ingest(spark, protos, FieldStore(spark, tmp_path / "store"))
+    assert (result.total_files, result.total_fields) == (1, 1)
+    assert [e["file_path"].rsplit("/", 1)[-1] for e in result.errors] == [f"bad{k:04}.proto" for k in range(1010)]
