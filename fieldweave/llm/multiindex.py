@@ -29,11 +29,12 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray):
 
 
 class MultiIndex:
-    """Two codebooks, one for each half of a unit vector, and how far the traversal goes.
+    """Two codebooks, one for each half of a unit vector, and how far a vector's visits go.
 
-    The traversal visits cells in multi-sequence order as long as their distance is at most that of the vector's own cell plus
-    `reach`. `reach` is calibrated on vectors turned by exactly the linking angle in random directions, the hardest links there are:
-    the share `recall` of them lies in visited cells. A pair counts as found if either end visits the other's cell.
+    A vector visits all cells whose distance is at most that of its own cell plus `reach`. They are taken by masks over the distances
+    to all codewords, not one by one; the set equals a beginning of the traversal by `multi_sequence`, which only tests run. `reach` is
+    calibrated on vectors turned by exactly the linking angle in random directions, the hardest links there are: the share `recall` of
+    them lies in visited cells. A pair counts as found if either end visits the other's cell.
     """
 
     def __init__(self, sample: np.ndarray, threshold: float, recall: float, size: int, seed: int = 11):
