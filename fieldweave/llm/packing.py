@@ -1,11 +1,12 @@
-"""Best-fit packing of tokenized documents into fixed-length sequences, as bulk-synchronous sweeps.
+"""Best-fit packing of tokenized documents into fixed-length sequences, by sweeps over length classes that the driver plans.
 
 Lengths are whole numbers up to `capacity`, so the sorted order of documents is their length class and the rank in it, and
-the sorted order of gaps likewise. One superstep takes all documents of one length, wherever they lie: a successor sweep
-over the sorted gap classes finds the smallest that is wide enough, conflicts are resolved by rank (the r-th document
-takes the r-th place), and the gaps are updated before the next length, from the longest to the shortest. This gives the
-packing of sequential best-fit decreasing. Only the counts of the at most `capacity` classes reach the driver;
-what it sends back is as bounded. Ranks and places are computed and applied where the rows are.
+the sorted order of gaps likewise. One step takes all documents of one length, wherever they lie: a successor sweep over
+the sorted gap classes finds the smallest that is wide enough, conflicts are resolved by rank (the r-th document takes the
+r-th place), and the gaps are updated before the next length, from the longest to the shortest. The steps run one after
+the other on the driver, not as jobs. This gives the packing of sequential best-fit decreasing. Only the counts of the at
+most `capacity` classes reach the driver; what it sends back is as bounded. Ranks and places are computed and applied
+where the rows are.
 """
 
 from __future__ import annotations
