@@ -8,7 +8,9 @@ same rows for files in the usual layout.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -23,7 +25,6 @@ RPC = re.compile(r"rpc\s+(\w+)\s*\(\s*([\w.]+)\s*\)\s*returns\s*\(\s*([\w.]+)\s*
 VALUE = re.compile(r"(\w+)\s*=\s*(-?\d+)")
 FIELD = re.compile(r"(required|optional|repeated)?\s*([\w.]+)\s+(\w+)\s*=\s*(\d+)")
 MAP = re.compile(r"(required|optional|repeated)?\s*map\s*<\s*([\w.]+)\s*,\s*([\w.]+)\s*>\s+(\w+)\s*=\s*(\d+)")
-NOTE = re.compile(r"//\s*(.*)")
 OPTION = re.compile(r"option\s+")
 LARGEST = 2**63 - 1
 
@@ -52,101 +53,98 @@ class _Rows:
         self.found.append({"kind": "service", "parents": [], "name": name, "rpcs": rpcs, "ord": len(self.found)})
 
 
-def _note(line: str) -> str:
-    m = NOTE.search(line)
-    return m[1].strip() if m else ""
-
-
 def _number(text: str) -> int | None:
     return n if abs(n := int(text)) <= LARGEST else None
 
 
-def _closes(lines: list[str], top: int, end: int) -> int:
-    """The line that brings the brace depth back to zero, counted from line `top`; the last one if none does."""
-    depth = 0
-    for at in range(top, end):
-        depth += lines[at].count("{") - lines[at].count("}")
-        if not depth:
-            return at
-    return end - 1
+class _Layout:
+    """The lines of a file and how deep in braces each stands, summed up once."""
 
+    def __init__(self, text: str):
+        self.raw = text.splitlines()
+        self.bare = [x.strip() for x in self.raw]
+        self.depth = list(accumulate((x.count("{") - x.count("}") for x in self.raw), initial=0))
+        self.reaching: dict[int, list[int]] = {}  # depth -> the lines after which it holds
+        for line, depth in enumerate(self.depth[1:]):
+            self.reaching.setdefault(depth, []).append(line)
 
-def _values(lines):
-    texts = (x.strip() for x in lines)
-    found = (VALUE.match(x) for x in texts if x and not x.startswith("//") and not OPTION.match(x))
-    return [(m[1], _number(m[2])) for m in found if m]
+    def last_of(self, head: int, end: int) -> int:
+        """The line that ends the block whose header is line `head`: the first one from there after which the depth is what it was before.
 
+        A block that stays open takes all lines before `end` but the last.
+        """
+        ends = self.reaching.get(self.depth[head], [])
+        i = bisect_left(ends, head)
+        return ends[i] if i < len(ends) and ends[i] < end else end - 1
 
-def read_lines(text: str) -> tuple[str, str, list[str], list[dict]]:
-    """Compat mode: (syntax, package, imports, rows)."""
-    lines = text.splitlines()
-    first = lambda pattern, default: next((m[1] for x in lines if (m := pattern.search(x))), default)
-    rows = _Rows()
-    # A frame is a block being read: its next line, its end, its message (none at the top), the comment that waits for a declaration.
-    frames: list[list] = [[0, len(lines), None, ""]]
-    while frames:
-        frame = frames[-1]
-        at, end, owner, waiting = frame
-        if at >= end:
-            frames.pop()
-            continue
-        line = lines[at].strip()
-        frame[0] = at + 1
-        (_body_line if owner else _top_line)(rows, lines, frames, line, at, end, owner, waiting)
-    return first(SYNTAX, "proto2"), first(PACKAGE, ""), [m[1] for x in lines if (m := IMPORT.search(x))], rows.found
+    def first(self, pattern: re.Pattern, default: str) -> str:
+        return next((m[1] for x in self.raw if (m := pattern.search(x))), default)
 
 
-def _top_line(rows, lines, frames, line, at, end, owner, waiting):
-    frame = frames[-1]
-    headers = {kind: HEADER[kind].search(line) for kind in ("message", "enum", "service")}
+# What a line can be, tried in this order; at the top of a file, and inside a message.
+AT_TOP = [(kind, HEADER[kind]) for kind in ("message", "enum", "service")]
+IN_MESSAGE = [*((kind, HEADER[kind]) for kind in ("message", "enum", "oneof")), ("map", MAP), ("field", FIELD)]
+
+
+def _kind_of(line: str, inside: bool) -> tuple[str, re.Match | None]:
+    """What a line is, with its match. `note`: a comment on what follows; `void`: cuts a comment off; `pass`: leaves it waiting."""
+    if inside and (not line or line == "}" or OPTION.match(line)):
+        return "pass", None
     if line.startswith("//"):
-        frame[3] = "" if headers["message"] else line.lstrip("/ ").strip()
-        return
-    frame[3] = ""
-    kind = next((k for k, m in headers.items() if m), None)
-    if not kind:
-        return
-    close = _closes(lines, at, end)
-    frame[0] = close + 1
-    name, inside = headers[kind][1], range(at + 1, close)
-    if kind == "message":
-        frames.append([at + 1, close, rows.message(name, [], waiting), ""])
-    elif kind == "enum":
-        rows.enum(None, name, _values(lines[i] for i in inside), waiting)
-    else:
-        rows.service(name, [m.groups() for i in inside if (m := RPC.search(lines[i]))])
+        if not inside:
+            return ("void" if HEADER["message"].search(line) else "note"), None
+        if "=" not in line:
+            return "note", None
+    found = ((kind, m) for kind, pattern in (IN_MESSAGE if inside else AT_TOP) if (m := pattern.search(line)))
+    return next(found, ("pass" if inside else "void", None))
 
 
-def _body_line(rows, lines, frames, line, at, end, owner, waiting):
-    frame = frames[-1]
-    if not line or line == "}" or OPTION.match(line):
-        return
-    if line.startswith("//") and "=" not in line:
-        frame[3] = line.lstrip("/ ").strip()
-        return
-    for kind in ("message", "enum", "oneof"):
-        if m := HEADER[kind].search(line):
-            close = _closes(lines, at, end)
-            frame[0] = close + 1
-            if kind == "message":
-                frame[3] = ""
-                frames.append([at + 1, close, rows.message(m[1], [*owner["parents"], m[1]], waiting), ""])
-            elif kind == "enum":
-                frame[3] = ""
-                rows.enum(owner, m[1], _values(lines[at + 1 : close]))
-            else:
-                for x in (lines[i].strip() for i in range(at + 1, close)):
-                    if f := FIELD.search(x):
-                        rows.field(owner, f[3], f[2], f[4], "optional", _note(x) or frame[3])
-                        frame[3] = ""
-            return
-    if m := MAP.search(line):
-        rows.field(owner, m[4], f"map<{m[2]}, {m[3]}>", m[5], m[1] or "optional", _note(line) or waiting)
-    elif m := FIELD.search(line):
-        rows.field(owner, m[3], m[2], m[4], m[1] or "optional", _note(line) or waiting)
-    else:
-        return
-    frame[3] = ""
+def _as_field(kind: str, m: re.Match) -> tuple[str, str, str, str]:
+    """name, type, number, label."""
+    return (m[4], f"map<{m[2]}, {m[3]}>", m[5], m[1] or "optional") if kind == "map" else (m[3], m[2], m[4], m[1] or "optional")
+
+
+def read_lines(text: str) -> tuple[str, str, list[str], list[dict]]:
+    """Compat mode: (syntax, package, imports, rows).
+
+    One walk down the lines. `open_` holds the last line and the message of every message the walk is in; other blocks are read where
+    they begin, and the walk goes on after them.
+    """
+    file, rows = _Layout(text), _Rows()
+    open_: list[tuple[int, dict | None]] = [(len(file.bare), None)]
+    at, waiting = 0, ""
+    while at < len(file.bare):
+        end, owner = open_[-1]
+        if at >= end:
+            open_.pop()
+            at, waiting = end + 1, ""
+            continue
+        line = file.bare[at]
+        kind, m = _kind_of(line, owner is not None)
+        last = file.last_of(at, end) if kind in HEADER else at
+        block = file.bare[at + 1 : last] if kind != "message" else []
+        behind = line.partition("//")[2].strip()
+        if kind == "note":
+            waiting = line.lstrip("/ ").strip()
+        elif kind == "message":
+            open_.append((last, rows.message(m[1], [*owner["parents"], m[1]] if owner else [], waiting)))
+            last = at
+        elif kind == "enum":
+            said = (VALUE.match(x) for x in block if not x.startswith("//") and not OPTION.match(x))
+            rows.enum(owner, m[1], [(v[1], _number(v[2])) for v in said if v], "" if owner else waiting)
+        elif kind == "service":
+            rows.service(m[1], [v.groups() for v in map(RPC.search, block) if v])
+        elif kind == "oneof":
+            for choice in block:
+                if v := FIELD.search(choice):
+                    rows.field(owner, *_as_field("field", v)[:3], "optional", choice.partition("//")[2].strip() or waiting)
+                    waiting = ""
+        elif kind in ("map", "field"):
+            rows.field(owner, *_as_field(kind, m), behind or waiting)
+        if kind not in ("note", "pass", "oneof"):
+            waiting = ""
+        at = last + 1
+    return file.first(SYNTAX, "proto2"), file.first(PACKAGE, ""), [m[1] for x in file.raw if (m := IMPORT.search(x))], rows.found
 
 
 TOKEN = re.compile(r'(?P<note>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<text>"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')|(?P<word>[.\w]+)|(?P<mark>[^\s\w])', re.S)
@@ -158,8 +156,8 @@ class _Tokens:
     def __init__(self, text: str):
         self.items: list[tuple[str, int]] = []
         self.notes: dict[int, str] = {}  # by line
-        self.ends: list[int] = []
         line, at = 1, 0
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
         for m in TOKEN.finditer(text):
             line += text.count("\n", at, m.start())
             at = m.start()
@@ -168,6 +166,8 @@ class _Tokens:
                 self.notes[line + m[0].count("\n")] = body.strip()
             else:
                 self.items.append((m[0], line))
+        self.code = {n for _, n in self.items}
+        self.found: dict[int, str] = {}
         self.at = 0
 
     def peek(self, n=0):
@@ -195,15 +195,14 @@ class _Tokens:
             if depth == 0:
                 return
 
-    def before(self, line, floor):
+    def before(self, line):
         """The comment on the nearest line above that holds one, with only comments and blank lines between."""
-        code = {n for _, n in self.items if floor <= n < line}
-        for n in range(line - 1, floor - 1, -1):
-            if n in code:
-                return ""
-            if n in self.notes:
-                return self.notes[n]
-        return ""
+        if line not in self.found:
+            n = line - 1
+            while n > 0 and n not in self.code and n not in self.notes:
+                n -= 1
+            self.found[line] = self.notes.get(n, "") if n not in self.code else ""
+        return self.found[line]
 
 
 def read_tokens(text: str) -> tuple[str, str, list[str], list[dict]]:
@@ -223,11 +222,11 @@ def read_tokens(text: str) -> tuple[str, str, list[str], list[dict]]:
         said = t.statement()
         opens = t.peek() == "{"
         note = t.notes.get(t.line(), "") if not opens and t.line() else ""
-        note = note or t.before(start, max(1, start - 50))
+        note = note or t.before(start)
         if opens and said[:1] in (["message"], ["oneof"], ["extend"], ["service"], ["enum"]) and len(said) > 1:
             name = said[1]
             if said[0] == "enum":
-                rows.enum(owner, name, _enum_block(t), t.before(start, max(1, start - 50)))
+                rows.enum(owner, name, _enum_block(t), t.before(start))
             elif said[0] == "service":
                 rows.service(name, _service_block(t))
             elif said[0] == "extend":
@@ -235,7 +234,7 @@ def read_tokens(text: str) -> tuple[str, str, list[str], list[dict]]:
             else:
                 t.next()
                 if said[0] == "message":
-                    frames.append((rows.message(name, [*owner["parents"], name] if owner else [], t.before(start, max(1, start - 50))), "message"))
+                    frames.append((rows.message(name, [*owner["parents"], name] if owner else [], t.before(start)), "message"))
                 else:
                     frames.append((owner, "oneof"))
         elif opens:

@@ -157,3 +157,22 @@ def test_remote_folder(spark, tmp_path):
     declared = parse(scan_folder(spark, f"file://{tmp_path}"))
     assert catalog.parse_errors(declared).count() == 1
     assert [r["field_name"] for r in catalog.field_records(declared).orderBy("ord").collect()][-1] == "y"
+
+
+def test_comment_far_above(spark):
+    text = "message A {\n// note" + "\n" * 200 + "int32 f = 1;\n}\n"
+    for read in (read_lines, read_tokens):
+        assert [r["comment"] for r in read(text)[3] if r["kind"] == "field"] == ["note"]
+
+
+def test_long_files_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "message A {\n" + "\n".join(f"  // c{i}\n  int32 f{i} = {i};" for i in range(n)) + "\n}\n"
+        start = time.process_time()
+        assert len(read_tokens(text)[3]) == n + 1 and len(read_lines(text)[3]) == n + 1
+        return time.process_time() - start
+
+    took(500)
+    assert took(16_000) < 24 * max(took(1000), 0.01) * 3
