@@ -42,32 +42,43 @@ def without_duplicates(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def drift(events: DataFrame, by: str, value: str, weight: float = 0.1, limit: float = 4.0) -> DataFrame:
-    """Running mean and spread of a value by key; each batch gives its number of rows and of outliers beyond `limit` deviations.
-
-    The state of a key is four numbers, whatever it has seen.
+def drift(events: DataFrame, by: str, value: str, column: str = "ts", window: str = "1 day", limit: float = 4.0) -> DataFrame:
+    """Each key's closed windows against all windows before: period, the key, rows, mean, seen (the rows
+    before), baseline (their mean; null for the first), strays.
+
+    A window strays if its mean is more than `limit` standard errors from the baseline, by the spread of the values before. `events` needs
+    a watermark on `column`. A window is closed when the watermark has passed its end, and windows are compared in the order of time,
+    so the result doesn't depend on batches of any kind. Nulls are left out. The state of a key is the sums of what is closed and of each
+    open window.
     """
 
     def step(key, frames, state):
         import pandas as pd
 
-        n, mean, var, seen = state.get if state.exists else (0, 0.0, 0.0, 0)
-        rows = outliers = 0
+        n, total, squares, *kept = state.get if state.exists else (0, 0.0, 0.0, [], [], [], [], [])
+        open_ = {(a, b): [c, t, q] for a, b, c, t, q in zip(*kept, strict=True)}
         for frame in frames:
-            for x in frame[value].dropna().sort_values():
-                rows += 1
-                if n > 30 and var > 0 and abs(x - mean) > limit * var**0.5:
-                    outliers += 1
-                d = x - mean
-                w = max(weight, 1 / (n + 1))
-                mean += w * d
-                var = (1 - w) * (var + w * d * d)
-                n += 1
-        state.update((n, mean, var, seen + outliers))
-        yield pd.DataFrame({by: [key[0]], "rows": [rows], "outliers": [outliers], "mean": [mean]})
-
+            sums = frame.assign(c=1, q=frame["x"] ** 2).groupby(["a", "b"])[["c", "x", "q"]].sum()
+            for at, row in zip(sums.index, sums.itertuples(index=False), strict=True):
+                open_[at] = [u + v for u, v in zip(open_.get(at, (0, 0.0, 0.0)), row, strict=True)]
+        out, closed = [], state.getCurrentWatermarkMs()
+        for a, b in sorted(at for at in open_ if at[1] <= closed):
+            c, t, q = open_.pop((a, b))
+            before = total / n if n else None
+            error = (max(squares / n - before * before, 0.0) / c) ** 0.5 if n else 0.0
+            out.append((pd.Timestamp(a, unit="ms"), key[0], int(c), t / c, int(n), before, bool(n and abs(t / c - before) > limit * error)))
+            n, total, squares = n + c, total + t, squares + q
+        left = sorted(open_)
+        state.update((int(n), float(total), float(squares), [int(a) for a, _ in left], [int(b) for _, b in left], *([kind(open_[at][i]) for at in left] for i, kind in enumerate((int, float, float)))))
+        if left:
+            state.setTimeoutTimestamp(left[0][1])
+        yield pd.DataFrame(out, columns=["period", by, "rows", "mean", "seen", "baseline", "strays"])
+
+    at = F.window(column, window)
+    rows = events.select(column, by, F.col(value).cast("double").alias("x"), at.alias("w")).where("x is not null").select(column, by, F.unix_millis("w.start").alias("a"), F.unix_millis("w.end").alias("b"), "x")
     kind = events.schema[by].dataType.simpleString()
-    return events.select(by, value).groupBy(by).applyInPandasWithState(step, f"{by} {kind}, rows bigint, outliers bigint, mean double", "n bigint, mean double, var double, seen bigint", "append", "NoTimeout")
+    result = f"period timestamp, `{by}` {kind}, rows bigint, mean double, seen bigint, baseline double, strays boolean"
+    return rows.groupBy(by).applyInPandasWithState(step, result, "n bigint, total double, squares double, a array<bigint>, b array<bigint>, c array<bigint>, t array<double>, q array<double>", "append", "EventTimeTimeout")
 
 
 def route(events: DataFrame, folder: str | Path, checkpoint: str, required: list[str], types: dict[str, str], partition: str, alert: Callable[[int, float], None] | None = None, alert_rate: float = 0.05):
@@ -92,10 +103,15 @@ def route(events: DataFrame, folder: str | Path, checkpoint: str, required: list
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that a bounded stream gives, as a table; for tests and back-fills."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a bounded stream gives, as a table of Parquet files in `folder`, a place that all executors share; for back-fills and tests.
+
+    `complete` results replace each other; the last one stays.
+    """
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/rows").outputMode(mode).start()
+    else:
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows")).outputMode(mode).start()
     query.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

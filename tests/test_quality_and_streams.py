@@ -80,18 +80,37 @@ def events(spark, tmp_path):
     return df, str(tmp_path / "in" / "events.parquet")
 
 
-def test_streams_equal_batches(spark, events):
+def test_streams_equal_batches(spark, events, tmp_path):
     df, folder = events
     stream = lambda: streams.timed(streams.read_events(spark, folder, df.schema))
-    counted = streams.run_to_end(streams.counts(stream(), ["event_type"], "value"), "t_counts", "complete")
+    counted = streams.run_to_end(streams.counts(stream(), ["event_type"], "value"), f"{tmp_path}/counts", "complete")
     assert counted.agg(F.sum("n")).first()[0] == 500
-    rates = streams.run_to_end(streams.null_rates(stream(), ["value"]), "t_rates", "complete")
+    rates = streams.run_to_end(streams.null_rates(stream(), ["value"]), f"{tmp_path}/rates", "complete")
     assert rates.count() == 3
-    runs = streams.run_to_end(streams.sessions(stream(), "user_id", gap="10 minutes"), "t_sessions", "complete")
+    runs = streams.run_to_end(streams.sessions(stream(), "user_id", gap="10 minutes"), f"{tmp_path}/sessions", "complete")
     assert runs.count() == 500
-    assert streams.run_to_end(streams.without_duplicates(stream(), ["event_type"]), "t_dup").count() == 2
-    drifted = streams.run_to_end(streams.drift(stream(), "event_type", "value"), "t_drift")
-    assert drifted.agg(F.sum("rows")).first()[0] == df.where("value is not null").count()
+    assert streams.run_to_end(streams.without_duplicates(stream(), ["event_type"]), f"{tmp_path}/dup").count() == 2
+
+
+def test_drift_is_the_same_in_any_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=20 * k), "ab"[k % 2], (float(k % 10) if k // 72 != 6 else 30.0) if k % 11 else None) for k in range(900)]
+    schema = "ts timestamp_ntz, event_type string, value double"
+    for k in range(5):  # files in the order of time
+        spark.createDataFrame(rows[180 * k : 180 * k + 180], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "events.parquet"))
+    seen = []
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, (per_trigger, arrow) in enumerate(((None, 10_000), (None, 3), (1, 500), (2, 1))):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+        try:
+            stream = streams.timed(streams.read_events(spark, str(tmp_path / "in" / "events.parquet"), spark.createDataFrame([], schema).schema, per_trigger=per_trigger))
+            seen.append(sorted((tuple(r) for r in streams.run_to_end(streams.drift(stream, "event_type", "value"), f"{tmp_path}/out{k}").collect()), key=str))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+    first, strays = [r for r in seen[0] if r[5] is None], [r for r in seen[0] if r[6]]
+    assert len(first) == 2 and {r[0] for r in strays} >= {start + dt.timedelta(days=6)} and all(r[0] >= start + dt.timedelta(days=6) for r in strays)
+    assert {r[0] for r in seen[0]} == {start + dt.timedelta(days=k) for k in range(12)}  # the last day is still open
 
 
 def test_routing(spark, events, tmp_path):
