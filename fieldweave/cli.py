@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from fieldweave import config
 from fieldweave.errors import FieldweaveError
 from fieldweave.functions.declarations import parse
-from fieldweave.operators import catalog, concepts, review
+from fieldweave.operators import catalog, concepts, models, review
 from fieldweave.operators.ingest import ingest
 from fieldweave.operators.store import FieldStore
 from fieldweave.sources import protofiles, registry_files
@@ -28,12 +28,12 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--mode", choices=("compat", "strict"), default="compat")
         if name == "build-registry":
             c.add_argument("--output", type=Path)
-            c.add_argument("--model", help="name of a registered clusterer")
+            c.add_argument("--model", help="name of a registered clusterer or of a hosted model")
             c.add_argument("--overrides", type=Path)
     c = sub.add_parser("review")
     c.add_argument("proto_path", type=Path)
     c.add_argument("--format", choices=("terminal", "markdown", "json"), default="terminal")
-    c.add_argument("--model", help="name of a registered adviser; without it, rules recommend")
+    c.add_argument("--model", help="name of a registered adviser or of a hosted model; without it, rules recommend")
     c.add_argument("--mode", choices=("compat", "strict"), default="compat")
     c.add_argument("--fail-on", choices=("error", "warning", "info"))
     c = sub.add_parser("export-registry")
@@ -42,17 +42,18 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-#: Models by name: clusterers (lines, event types) -> JSON, and advisers text -> JSON.
+#: Models by name: clusterers (lines, event types) -> JSON, and advisers text -> JSON. Other names are those of hosted models.
 CLUSTERERS = {"rules": concepts.rule_clusterer}
 ADVISERS: dict[str, review.Adviser] = {}
 
 
-def _named(table: dict, name: str):
-    from fieldweave.errors import ValidationError
+def _named(table: dict, name: str, hosted):
+    return table[name] if name in table else hosted(models.ChatModel(config.model_url(), name, config.api_key()))
 
-    if name not in table:
-        raise ValidationError("UNKNOWN_MODEL", f"no model is registered as {name}", {"known": sorted(table)})
-    return table[name]
+
+def _store(spark: SparkSession) -> FieldStore:
+    folder = config.embedder_dir()
+    return FieldStore(spark, config.store_dir(), models.SentenceEmbedder(str(folder))) if folder else FieldStore(spark, config.store_dir())
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _ingest(spark, args) -> int:
-    r = ingest(spark, args.proto_dir or config.proto_dir(), FieldStore(spark, config.store_dir()), args.mode)
+    r = ingest(spark, args.proto_dir or config.proto_dir(), _store(spark), args.mode)
     print(f"Ingested {r.total_fields} fields from {r.total_files} files")
     return 0
 
@@ -76,15 +77,16 @@ def _build(spark, args) -> int:
     declared = parse(protofiles.scan_folder(spark, folder), args.mode).cache()  # read and parsed once
     records = catalog.field_records(declared).cache()
     print(f"Parsed {catalog.parsed_files(declared).count()} proto files, {records.count()} fields")
-    store = FieldStore(spark, config.store_dir())
+    store = _store(spark)
     store.upsert(records)
-    found, _ = concepts.build_registry(records, _named(CLUSTERERS, args.model or config.default_model()))
+    built, _ = concepts.build_registry(records, _named(CLUSTERERS, args.model or config.default_model(), models.ChatClusterer))
     overrides = registry_files.read_overrides(spark, args.overrides) if args.overrides else None
-    if overrides is not None:
-        found = concepts.merge_overrides(found, overrides)
+    found = built if overrides is None else concepts.merge_overrides(built, overrides)
     n = registry_files.write_registry(found, output)
     store.upsert(concepts.as_records(found))
     print(f"Registry built: {n} concepts -> {output}")
+    for used in (built, records, declared):
+        used.unpersist()
     return 0
 
 
@@ -97,8 +99,9 @@ def _review(spark, args) -> int:
 
         print("Warning: no canonical registry found; run build-registry first.")
         known = spark.createDataFrame([], CONCEPT)
-    r = review.run_review(spark, FieldStore(spark, config.store_dir()), known, args.proto_path, _named(ADVISERS, args.model) if args.model else None, args.mode)
+    r = review.run_review(spark, _store(spark), known, args.proto_path, _named(ADVISERS, args.model, models.ChatAdviser) if args.model else None, args.mode)
     print({"terminal": lambda x: review.as_text(x, sys.stdout.isatty()), "markdown": review.as_markdown, "json": review.as_json}[args.format](r))
+    r.release()
     bad = {"error": r.error_count, "warning": r.error_count + r.warning_count, "info": r.issue_count}
     return 1 if args.fail_on and bad[args.fail_on] else 0
 

@@ -28,6 +28,18 @@ def default_model() -> str:
     return os.environ.get("FIELDWEAVE_MODEL") or "rules"
 
 
+def embedder_dir() -> Path | None:
+    """Folder of a sentence model; None for the built-in embedder."""
+    return Path(folder) if (folder := os.environ.get("FIELDWEAVE_EMBEDDER_DIR")) else None
+
+
+def model_url() -> str:
+    url = os.environ.get("FIELDWEAVE_MODEL_URL")
+    if not url:
+        raise ValidationError("MISSING_MODEL_URL", "set FIELDWEAVE_MODEL_URL to the endpoint of a hosted model")
+    return url
+
+
 def api_key() -> str:
     key = os.environ.get("FIELDWEAVE_API_KEY")
     if not key:

@@ -80,13 +80,10 @@ def summary(declarations: DataFrame, records: DataFrame) -> DataFrame:
     """Rows (measure, key, n): total_files, total_fields, fields_per_event_type, type_distribution, from one pass over the records."""
     files = declarations.where("kind = 'file' and error is null").agg(F.count("*").alias("n")).select(F.lit("total_files").alias("measure"), F.lit("").alias("key"), "n")
     keyed = records.select(summary_key().alias("event_type"), "field_type")
-    keyed.createOrReplaceTempView("_summary_records")
-    sets = keyed.sparkSession.sql(
-        """SELECT CASE grouping_id(event_type, field_type) WHEN 1 THEN 'fields_per_event_type' WHEN 2 THEN 'type_distribution' ELSE 'total_fields' END AS measure,
-                  coalesce(event_type, field_type, '') AS key, count(*) AS n
-           FROM _summary_records GROUP BY GROUPING SETS ((event_type), (field_type), ())"""
-    )
-    return files.unionByName(sets)
+    measure = F.when(F.grouping_id() == 1, "fields_per_event_type").when(F.grouping_id() == 2, "type_distribution").otherwise("total_fields")
+    sets = keyed.groupingSets([[F.col("event_type")], [F.col("field_type")], []], F.col("event_type"), F.col("field_type"))
+    counted = sets.agg(measure.alias("measure"), F.count("*").alias("n")).select("measure", F.coalesce("event_type", "field_type", F.lit("")).alias("key"), "n")
+    return files.unionByName(counted)
 
 
 def event_types(records: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from fieldweave.operators import catalog
 from fieldweave.schemas import ANSWER, CONCEPT
 
+log = logging.getLogger(__name__)
+
 #: (lines of fields, event types) -> an answer in JSON, perhaps fenced.
 Clusterer = Callable[[list[str], list[str]], str]
 
@@ -96,9 +99,15 @@ def merge_batches(parsed: DataFrame) -> DataFrame:
 
 
 def build_registry(records: DataFrame, clusterer: Clusterer = rule_clusterer, size: int = 100) -> tuple[DataFrame, dict]:
-    """Concepts of all records, and what is known about the build."""
-    concepts = merge_batches(parse_answers(answers(records, clusterer, size))).cache()
+    """Concepts of all records (cached; the caller releases them), and what is known about the build."""
+    answered = answers(records, clusterer, size).cache()  # a model is asked once for each batch
+    parsed = F.from_json(without_fence(F.col("answer")), ANSWER)
+    for r in answered.where(parsed.isNull()).select("batch", F.substring("answer", 1, 200).alias("start")).orderBy("batch").take(20):
+        log.warning("batch %d: the answer is no JSON array and gives no concepts: %s", r["batch"], r["start"])
+    concepts = merge_batches(parse_answers(answered)).cache()
     meta = {"build_date": datetime.now(timezone.utc).isoformat(), "total_fields": records.count(), "total_event_types": catalog.event_types(records).count(), "total_concepts": concepts.count()}
+    answered.unpersist()
+    log.info("registry of %d concepts from %d fields", meta["total_concepts"], meta["total_fields"])
     return concepts, meta
 
 

@@ -71,16 +71,28 @@ def find_issues(records: DataFrame, hits: DataFrame, concepts: DataFrame, event_
 
 def missing_concepts(records: DataFrame, concepts: DataFrame, event_type: str) -> DataFrame:
     """Concepts that don't map the event type, share no field name with the records and don't list it as a gap."""
-    fields = [r["field_name"] for r in records.select("field_name").distinct().collect()]  # of one reviewed file
-    names = F.array(*map(F.lit, fields)).cast("array<string>")
+    there = registry_ops.mappings(concepts).join(records.select("field_name").distinct(), "field_name", "left_semi").select("name").distinct()
     types = F.array_distinct(F.transform("mappings", lambda m: m["event_type"]))
-    rows = concepts.where(~F.array_contains(types, event_type) & ~F.arrays_overlap(F.transform("mappings", lambda m: m["field_name"]), names) & ~F.array_contains("gaps", event_type))
+    rows = concepts.where(~F.array_contains(types, event_type) & ~F.array_contains("gaps", event_type)).join(there, "name", "left_anti")
     message = F.format_string("Event type '%s' is missing concept '%s' (%s). Other event types have: %s", F.lit(event_type), "name", "description", F.array_join(F.slice(types, 1, 3), ", "))
     similar = "array<struct<rank:int,id:string,distance:double,document:string,metadata:struct<field_name:string,field_type:string,message_name:string,package:string,file_path:string,label:string,fqn:string>>>"
     last = F.lit(2**62).cast("bigint")
     return rows.select(last.alias("ord"), F.col("concept_ord").cast("int").alias("check"), F.lit("").alias("field_name"), F.lit("missing_concept").alias("issue_type"), F.lit("warning").alias("severity"), message.alias("message"), "canonical_name", "canonical_type", F.array().cast(similar).alias("similar_fields"))
 
 
+def missing_by_event_type(records: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(event_type, name): the concepts that missing_concepts() finds for each event type of the records, all at once.
+
+    The grid of concepts and event types is what a registry and a catalog are there to compare; what covers a cell goes by equi-joins.
+    """
+    typed = records.select(catalog.event_type_key().alias("event_type"), "field_name").distinct()
+    every = typed.select("event_type").distinct().agg(F.collect_list("event_type").alias("types"))  # one row; a catalog has few event types
+    grid = concepts.select("name").crossJoin(F.broadcast(every)).select("name", F.explode("types").alias("event_type"))
+    maps = registry_ops.mappings(concepts)
+    covered = maps.select("name", "event_type").union(maps.select("name", "field_name").distinct().join(typed, "field_name").select("name", "event_type")).union(concepts.select("name", F.explode("gaps").alias("event_type")))
+    return grid.join(covered.distinct(), ["name", "event_type"], "left_anti").select("event_type", "name")
+
+
 def severity_rank(column="severity"):
     return F.coalesce(F.create_map(*[x for k, v in SEVERITY_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col(column)], F.lit(0))
 
@@ -138,6 +150,12 @@ class Review:
     error_count: int
     warning_count: int
     info_count: int
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what the review keeps in memory; its tables can still be read, at the price of a new run."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def run_review(spark: SparkSession, store: FieldStore, concepts: DataFrame, path: str | Path, adviser: Adviser | None = None, mode: str = "compat", k: int = 10, max_retries: int = 0, broaden: int = 2) -> Review:
@@ -156,8 +174,10 @@ def run_review(spark: SparkSession, store: FieldStore, concepts: DataFrame, path
         if not should_retry(issues, tries, max_retries):
             break
         tries, k = tries + 1, k * broaden
+        issues.unpersist()
+        hits.unpersist()
     recommendations = (advise(issues, adviser, str(path)) if adviser else recommend(issues)).orderBy("ord").cache()
-    return Review(str(path), issues, recommendations, **counts(issues).first().asDict())
+    return Review(str(path), issues, recommendations, **counts(issues).first().asDict(), cached=(recommendations, issues, hits, records, declared))
 
 
 def as_json(review: Review) -> str:

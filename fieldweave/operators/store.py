@@ -1,11 +1,13 @@
 """The field store: versioned Parquet with upserts by id and nearest-neighbour queries.
 
 A write makes a new version folder and then moves the pointer file, so readers of the old version go on and a failed write leaves nothing
-half done. Documents whose text is unchanged keep their vectors.
+half done. The version before the current one stays, for readers that are under way; older ones are deleted. A write that finds
+another one done since it began is refused. Documents whose text is unchanged keep their vectors.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from pathlib import Path
 
@@ -19,6 +21,7 @@ from fieldweave.schemas import FIELD_DOC
 from fieldweave.sources.folders import Folder
 
 POINTER = "CURRENT"
+log = logging.getLogger(__name__)
 
 
 class FieldStore:
@@ -34,36 +37,52 @@ class FieldStore:
 
     def documents(self) -> DataFrame:
         """id, document, metadata, embedding of all records."""
-        if not self.folder.exists(POINTER):
+        return self._read(self._versions())
+
+    def _versions(self) -> list[str]:
+        """The current version, and the one before it."""
+        return self.folder.read(POINTER).split() if self.folder.exists(POINTER) else []
+
+    def _read(self, versions: list[str]) -> DataFrame:
+        if not versions:
             return self.spark.createDataFrame([], FIELD_DOC)
-        return self.spark.read.schema(FIELD_DOC).parquet(f"{self.folder.uri}/{self.folder.read(POINTER).strip()}")
+        return self.spark.read.schema(FIELD_DOC).parquet(f"{self.folder.uri}/{versions[0]}")
 
-    def _replace(self, df: DataFrame) -> None:
+    def _replace(self, df: DataFrame, since: list[str]) -> None:
+        """Make `df` the current version, if the versions still are those in `since`."""
         version = f"v-{uuid.uuid4().hex}"
         df.select("id", "document", "metadata", "embedding").write.parquet(f"{self.folder.uri}/{version}")
-        self.folder.replace(POINTER, version)
+        if self._versions() != since:
+            self.folder.delete(version)
+            raise DataAccessError("STORE_CONFLICT", "another write was done meanwhile; try again", {"folder": self.folder.uri})
+        self.folder.replace(POINTER, "\n".join([version, *since[:1]]))
+        for old in since[1:]:
+            self.folder.delete(old)
 
     def upsert(self, records: DataFrame, prune: bool = False) -> int:
         """Insert or replace by id; returns the number of records given, ids that occur twice included.
 
         Of equal ids the last by `ord` wins. Stored ids that aren't given stay, unless `prune`.
         """
-        given = records.count()
+        given, distinct = records.select(F.count("*"), F.count_distinct(catalog.document_id())).first()
         if not given:
             return 0
+        if given > distinct:
+            log.warning("%d of %d records share an id with another; the last of each stays", given - distinct, given)
         new = catalog.field_documents(records).groupBy("id").agg(F.max_by(F.struct("document", "metadata"), "ord").alias("x")).select("id", "x.document", "x.metadata")
-        old = self.documents()
+        since = self._versions()
+        old = self._read(since)
         same = old.select("id", "document", "embedding")
         known = new.join(same, ["id", "document"]).select("id", "document", "metadata", "embedding")
         fresh = with_embeddings(new.join(same, ["id", "document"], "left_anti").select("id", "document", "metadata"), "document", self.embedder)
         out = known.unionByName(fresh)
         if not prune:
             out = out.unionByName(old.join(new, "id", "left_anti"))
-        self._replace(out)
+        self._replace(out, since)
         return given
 
     def clear(self) -> None:
-        self._replace(self.spark.createDataFrame([], FIELD_DOC))
+        self._replace(self.spark.createDataFrame([], FIELD_DOC), self._versions())
 
     def count(self) -> int:
         return self.documents().count()

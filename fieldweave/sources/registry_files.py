@@ -26,20 +26,25 @@ def read_registry(spark: SparkSession, path: str | Path) -> DataFrame:
     path = Path(path)
     if not path.exists():
         raise DataAccessError("REGISTRY_NOT_FOUND", f"no registry at {path}", {"path": str(path)})
+    return _concepts(spark, _entries(path))
+
+
+def _entries(path: Path) -> dict:
     try:
         entries = yaml.safe_load(path.read_text(encoding="utf-8"))  # JSON is YAML too
-    except yaml.YAMLError as e:
+    except (yaml.YAMLError, UnicodeDecodeError) as e:
         raise ValidationError("INVALID_YAML", f"can't parse {path}", {"path": str(path)}, e) from e
-    if not isinstance(entries, dict):
+    if not isinstance(entries, dict) or not all(isinstance(e or {}, dict) for e in entries.values()):
         raise ValidationError("INVALID_REGISTRY_FORMAT", "a registry maps concept names to definitions", {"path": str(path)})
-    return _concepts(spark, entries)
+    return entries
 
 
 def read_overrides(spark: SparkSession, path: str | Path) -> DataFrame | None:
     """Concepts of an override file; None if there is none or it is empty."""
     path = Path(path)
-    entries = yaml.safe_load(path.read_text(encoding="utf-8")) if path.exists() else None
-    return _concepts(spark, entries) if entries else None
+    if not path.exists() or not path.read_bytes().strip():
+        return None
+    return _concepts(spark, entries) if (entries := _entries(path)) else None
 
 
 def write_registry(concepts: DataFrame, path: str | Path, format: str = "yaml") -> int:

@@ -1,10 +1,13 @@
+import http.server
 import json
+import threading
 
+import numpy as np
 import pytest
 
 from fieldweave import cli
-from fieldweave.errors import DataAccessError, ValidationError
-from fieldweave.operators import catalog, concepts, neighbours, review
+from fieldweave.errors import DataAccessError, ProcessingError, ValidationError
+from fieldweave.operators import catalog, concepts, models, neighbours, review
 from fieldweave.operators.embedding import hashed_ngrams
 from fieldweave.operators.ingest import ingest
 from fieldweave.operators.store import FieldStore
@@ -120,6 +123,120 @@ def test_top_k_keeps_filter_above_rank(spark):
     assert "WindowGroupLimit" in hits._jdf.queryExecution().toString()
 
 
+def test_top_k_in_cells_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    vectors = [(k, rng.integers(0, 4, 3 if k % 5 else 2).astype(float).tolist() if k % 17 else None, f"f{k % 3}") for k in range(300)]
+    cat = spark.createDataFrame(vectors, "id bigint, embedding array<float>, file string")
+    asked = cat.where("id < 60").selectExpr("cast(id as string) AS query_key", "embedding")
+    seen = []
+    for block, members in ((2000, 20_000), (7, 20_000), (20, 31)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "MEMBERS", members)
+        seen.append(sorted(tuple(r) for r in neighbours.top_k(asked, cat, 4, carry=("file",)).collect()))
+    brute = []
+    for q in range(60):
+        if (v := vectors[q][1]) is not None:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i, f) for i, w, f in vectors if w is not None and len(w) == len(v))[:4]
+            brute += [(str(q), r, i, d, f) for r, (d, i, f) in enumerate(near, 1)]
+    assert seen[0] == seen[1] == seen[2] == sorted(brute)
+    assert neighbours.top_k(asked.where("false"), cat, 4).count() == 0
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    store = FieldStore(spark, tmp_path / "s")
+    store.upsert(records(spark, RECORDS))
+    before = store.documents()
+    since = store._versions()
+    store.upsert(records(spark, RECORDS[:1]), prune=True)
+    with pytest.raises(DataAccessError, match="STORE_CONFLICT"):
+        store._replace(before, since)
+    assert store.count() == 1 and before.count() == 3
+    store.upsert(records(spark, RECORDS))
+    assert len(list((tmp_path / "s").glob("v-*"))) == 2
+
+
+def test_missing_concepts_of_all_event_types(spark, registry):
+    rows = records(spark, [*RECORDS, ("other", "string", "Z", "zone", "z.proto", "optional", "", [])])
+    got = {(r["event_type"], r["name"]) for r in review.missing_by_event_type(rows, registry).collect()}
+    types = [r["event_type"] for r in catalog.event_types(rows).collect()]
+    one_by_one = {(t, c) for t in types for c in (m.split("'")[3] for m in (r["message"] for r in review.missing_concepts(rows.where(catalog.event_type_key() == t), registry, t).collect()))}
+    assert got == one_by_one and ("zone/Z", "user_identity") in got
+
+
+class Endpoint(http.server.BaseHTTPRequestHandler):
+    """A chat model that fails once, then answers what it was asked to."""
+
+    asked: list = []
+
+    def do_POST(self):
+        said = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        Endpoint.asked.append((said, self.headers["authorization"]))
+        self.send_response(503 if len(Endpoint.asked) == 1 else 200)
+        self.end_headers()
+        if len(Endpoint.asked) > 1:
+            text = '```json\n[{"name": "c", "mappings": [{"field_name": "user"}]}]\n```' if "Fields:" in said["messages"][1]["content"] else '[{"title": "t"}]'
+            body = {"choices": [{"message": {"content": text}}]} if len(Endpoint.asked) % 2 else {"content": [{"text": text}]}
+            self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_hosted_models(spark, monkeypatch):
+    server = http.server.HTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("FIELDWEAVE_MODEL_URL", f"http://127.0.0.1:{server.server_port}/chat")
+    monkeypatch.setenv("FIELDWEAVE_API_KEY", "k")
+    clusterer, adviser = (cli._named(table, "some-model", hosted) for table, hosted in ((cli.CLUSTERERS, models.ChatClusterer), (cli.ADVISERS, models.ChatAdviser)))
+    found, _ = concepts.build_registry(records(spark, RECORDS), clusterer)
+    assert [r["name"] for r in found.collect()] == ["c"]
+    assert json.loads(adviser("issues")) == [{"title": "t"}]
+    assert len(Endpoint.asked) == 3  # one failure, one batch asked once, one review
+    said, key = Endpoint.asked[-1]
+    assert said["model"] == "some-model" and key == "Bearer k"
+    server.shutdown()
+    with pytest.raises(ProcessingError, match="MODEL_CALL_FAILED"):
+        models.ChatModel("http://127.0.0.1:9/none", "m", tries=1).ask("a", "b")
+    with pytest.raises(ProcessingError, match="MODEL_ANSWER_UNKNOWN"):
+        models.ChatModel._text({"other": 1})
+    monkeypatch.delenv("FIELDWEAVE_MODEL_URL")
+    with pytest.raises(ValidationError, match="MISSING_MODEL_URL"):
+        cli._named(cli.ADVISERS, "some-model", models.ChatAdviser)
+
+
+def test_sentence_model_pools_its_tokens(monkeypatch):
+    class Code:
+        def __init__(self, n):
+            self.ids, self.attention_mask, self.type_ids = [1, 2, 3], [1] * n + [0] * (3 - n), [0, 0, 0]
+
+    class Input:
+        def __init__(self, name):
+            self.name = name
+
+    class Session:
+        def get_inputs(self):
+            return [Input("input_ids"), Input("attention_mask")]
+
+        def run(self, _, fed):
+            assert set(fed) == {"input_ids", "attention_mask"}
+            return [np.broadcast_to(np.array([[3.0, 0], [0, 4.0], [9, 9]]), (len(fed["input_ids"]), 3, 2))]
+
+    class Tokens:
+        def encode_batch(self, texts):
+            return [Code(len(t)) for t in texts]
+
+    monkeypatch.setattr(models, "_sentence_model", lambda folder: (Tokens(), Session()))
+    out = models.SentenceEmbedder("/x", batch=2)(["a", "ab", "a"])
+    assert np.allclose(out, [[1, 0], [0.6, 0.8], [1, 0]]) and out.dtype == np.float32
+
+
+def test_bad_answers_are_logged(spark, caplog):
+    with caplog.at_level("WARNING"):
+        found, _ = concepts.build_registry(records(spark, RECORDS), lambda lines, types: "sorry, " + "x" * 500)
+    assert found.count() == 0
+    assert "batch 0" in caplog.text and "x" * 100 in caplog.text and "x" * 200 not in caplog.text
+
+
 def answers(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "batch bigint, answer string")
 
@@ -159,6 +276,10 @@ def test_overrides_and_files(spark, registry, tmp_path):
         registry_files.write_registry(registry, tmp_path / "r.xml", "xml")
     with pytest.raises(DataAccessError, match="REGISTRY_NOT_FOUND"):
         registry_files.read_registry(spark, tmp_path / "gone.yaml")
+    for text, code in (("a: [", "INVALID_YAML"), ("- a", "INVALID_REGISTRY_FORMAT"), ("a: 3", "INVALID_REGISTRY_FORMAT")):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(ValidationError, match=code):
+            registry_files.read_overrides(spark, tmp_path / "bad.yaml")
     for text, code in (("a: [", "INVALID_YAML"), ("- a", "INVALID_REGISTRY_FORMAT"), ("", "INVALID_REGISTRY_FORMAT")):
         (tmp_path / "bad.yaml").write_text(text)
         with pytest.raises(ValidationError, match=code):
