@@ -6,6 +6,7 @@ A table stands for an event type and a column for a field; small registries are
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.declarations import parse
-from fieldweave.operators import catalog, concepts, neighbours, quality_checks as checks, review
+from fieldweave.operators import catalog, concepts, neighbours, quality_checks as checks, review, store as store_ops
 from fieldweave.operators.positions import with_positions
 from fieldweave.operators.store import FieldStore
 from fieldweave.schemas import CONCEPT, PROTO_FILE
+from fieldweave.sources import registry_files
 from fieldweave.sources.folders import Folder
 from fieldweave.streaming import streams
 
@@ -116,29 +118,71 @@ def file_event_types(spark, sf_dir):
     return catalog.file_event_type(parse(_definitions(spark, sf_dir)))
 
 
-@query("SELECT conv_id, turn, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)")
-def line_split(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+# Definition files made of the rows of `part`, in the three kinds of line ends. They hold what the parser knows: headers, comments before and
+# behind, nested messages, maps, a oneof, an enum, a service.
+_EOL = ["\n", "\r\n", "\r"]
 
 
-@query("SELECT page_id, p[1] AS name, p[2] AS value, count(*) AS n FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(url, '[?&]([A-Za-z0-9_]+)=([^&#]*)'), lambda x: [regexp_extract(x, '[?&]([A-Za-z0-9_]+)=', 1), regexp_extract(x, '=(.*)$', 1)])) AS p FROM pages) GROUP BY ALL")
-def line_scan_pairs(spark, sf_dir):
-    pair = r"[?&]([A-Za-z0-9_]+)=([^&#]*)"
-    found = read(spark, sf_dir, "pages").select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("url", F.lit(pair), F.lit(1)).alias("name"), F.regexp_extract_all("url", F.lit(pair), F.lit(2)).alias("value"))).alias("p"))
-    return found.groupBy("page_id", F.col("p.name").alias("name"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"))
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    lines = [
+        F.when(k % 2 == 0, 'syntax = "proto3";'), text("package shop.p", k % 7, ";"), text('import "a', k % 3, '.proto";'), F.when(k % 5 == 0, 'import "b.proto";'), F.lit(""),
+        text("// part ", k), text("message Part", k, " {"), F.lit("  // its size"), text("  int32 size = ", size, ";"), text("  string name = 2; // called ", k), F.lit("  // not this"), F.lit("  option deprecated = true;"),
+        F.lit("  map<string, int64> stock = 3;"), F.lit("  oneof choice {"), F.lit("    string brand = 4;"), F.lit("    int32 code = 5; // coded"), F.lit("  }"), F.lit("  message Box {"), F.lit("    message Lid {"), F.lit("      required bool open = 1;"), F.lit("    }"),
+        F.lit("    double wide = 2;"), F.lit("  }"), F.lit("  enum Kind {"), F.lit("    SMALL = 0;"), text("    LARGE = -", size, ";"), F.lit("  }"), F.lit("  repeated string tags = 6;"), F.lit("}"),
+        text("service Shop", k, " {"), text("  rpc Find (Part", k, ") returns (Box);"), F.lit("}"),
+    ]
+    eol = F.element_at(F.array(*map(F.lit, _EOL)), (k % 3 + 1).cast("int"))
+    content = F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\x01")
+    return read(spark, sf_dir, "part").select(k.cast("bigint").alias("file_ord"), text("part", k, ".proto").alias("file_path"), F.replace(content, F.lit("\x01"), eol).alias("content"), F.lit(None).cast("string").alias("error"))
 
 
-@query("SELECT page_id, max(depth) AS deepest, arg_max(depth, place) AS at_end, count(*) AS braces FROM (SELECT page_id, place, sum(CASE brace WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY place)::BIGINT AS depth FROM (SELECT page_id, unnest(range(0, len(b))) AS place, unnest(b) AS brace FROM (SELECT page_id, regexp_extract_all(html, '[{}]') AS b FROM pages))) GROUP BY page_id")
-def brace_depth(spark, sf_dir):
-    marks = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("[{}]"), F.lit(0))).alias("place", "brace"))
-    depth = F.sum(F.when(F.col("brace") == "{", 1).otherwise(-1)).over(Window.partitionBy("page_id").orderBy("place"))
-    return marks.withColumn("depth", depth).groupBy("page_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "place").alias("at_end"), F.count("*").alias("braces"))
+_PART_FIELDS = """SELECT 'part' || p_partkey || '.proto' AS file_path, replace(m, '#', p_partkey::VARCHAR) AS message_name, f AS field_name, t AS field_type, CASE f WHEN 'size' THEN p_size ELSE n END::BIGINT AS number, l AS label,
+    replace(c, '#', p_partkey::VARCHAR) AS comment, q AS fqn FROM part, (VALUES ('Part#', 'size', 'int32', 0, 'optional', 'its size', 'size'), ('Part#', 'name', 'string', 2, 'optional', 'called #', 'name'), ('Part#', 'stock', 'map<string, int64>', 3, 'optional', 'not this', 'stock'),
+    ('Part#', 'brand', 'string', 4, 'optional', '', 'brand'), ('Part#', 'code', 'int32', 5, 'optional', 'coded', 'code'), ('Lid', 'open', 'bool', 1, 'required', '', 'Box.Lid.open'), ('Box', 'wide', 'double', 2, 'optional', '', 'Box.wide'), ('Part#', 'tags', 'string', 6, 'repeated', '', 'tags')) v(m, f, t, n, l, c, q)"""
 
 
-@query("SELECT conv_id, turn, length(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))::INT AS carried FROM conversations")
-def leading_comment_carry(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)).alias("carried"))
+def _part_fields(spark, sf_dir, mode):
+    fields = parse(_part_files(spark, sf_dir), mode).where("kind = 'field'")
+    fqn = F.concat_ws(".", "parents", "name")
+    return fields.select("file_path", "message_name", F.col("name").alias("field_name"), F.col("type").alias("field_type"), "number", "label", "comment", fqn.alias("fqn"))
+
+
+@query(_PART_FIELDS)
+def part_fields(spark, sf_dir):
+    """Line ends, braces, fields, maps, oneofs, comments before and behind."""
+    return _part_fields(spark, sf_dir, "compat")
+
+
+@query(_PART_FIELDS.replace("'not this'", "''"))
+def part_fields_strict(spark, sf_dir):
+    """The same from tokens, where a comment before an option is the option's."""
+    return _part_fields(spark, sf_dir, "strict")
+
+
+@query("SELECT 'part' || p_partkey || '.proto' AS file_path, CASE WHEN p_partkey % 2 = 0 THEN 'proto3' ELSE 'proto2' END AS syntax, 'shop.p' || (p_partkey % 7) AS package, 'a' || (p_partkey % 3) || '.proto' || CASE WHEN p_partkey % 5 = 0 THEN ',b.proto' ELSE '' END AS imports FROM part")
+def file_headers(spark, sf_dir):
+    """Syntax, package and imports."""
+    return parse(_part_files(spark, sf_dir)).where("kind = 'file'").select("file_path", "syntax", "package", F.array_join("imports", ",").alias("imports"))
+
+
+@query("SELECT 'part' || p_partkey || '.proto' AS file_path, replace(m, '#', p_partkey::VARCHAR) AS name, CASE m WHEN 'Part#' THEN 'part ' || p_partkey ELSE '' END AS comment, o::INT AS msg_ord FROM part, (VALUES ('Part#', 0), ('Box', 1), ('Lid', 2)) v(m, o)")
+def message_rows(spark, sf_dir):
+    """Messages in order, with the comment before them."""
+    return parse(_part_files(spark, sf_dir)).where("kind = 'message'").select("file_path", "name", "comment", "msg_ord")
+
+
+@query("SELECT 'part' || p_partkey || '.proto' AS file_path, 'Part' || p_partkey AS message_name, n AS name, CASE n WHEN 'SMALL' THEN 0 ELSE -p_size END::BIGINT AS number FROM part, (VALUES ('SMALL'), ('LARGE')) v(n)")
+def enum_values(spark, sf_dir):
+    rows = parse(_part_files(spark, sf_dir)).where("kind = 'enum'").select("file_path", "message_name", F.inline("values"))
+    return rows.select("file_path", "message_name", "name", "number")
+
+
+@query("SELECT 'part' || p_partkey || '.proto' AS file_path, 'Shop' || p_partkey AS service, 'Find' AS rpc, 'Part' || p_partkey AS request_type, 'Box' AS response_type FROM part")
+def service_rpcs(spark, sf_dir):
+    rows = parse(_part_files(spark, sf_dir), "strict").where("kind = 'service'").select("file_path", F.col("name").alias("service"), F.explode("rpcs").alias("r"))
+    return rows.select("file_path", "service", F.col("r.name").alias("rpc"), "r.request_type", "r.response_type")
 
 
 @query("SELECT 'part.proto:' || p_brand || '.' || p_name AS id, p_name || ' (' || p_type || ') in ' || p_brand || ' from parts' || CASE WHEN p_size > 25 THEN ' — size ' || p_size ELSE '' END AS document, p_name AS fqn FROM part")
@@ -157,9 +201,10 @@ def prompt_lines(spark, sf_dir):
 # --- Summaries ---------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH c AS ({_COLUMNS}) SELECT field_type, count(*) AS n FROM c GROUP BY 1")
+@query("SELECT t AS field_type, count(*) AS n FROM part, (VALUES ('int32'), ('string'), ('map<string, int64>'), ('string'), ('int32'), ('bool'), ('double'), ('string')) v(t) GROUP BY 1")
 def type_distribution(spark, sf_dir):
-    return table_records(spark, sf_dir).groupBy("field_type").agg(F.count("*").alias("n"))
+    declared = parse(_part_files(spark, sf_dir))
+    return catalog.summary(declared, catalog.field_records(declared)).where("measure = 'type_distribution'").select(F.col("key").alias("field_type"), "n")
 
 
 @query(f"WITH c AS ({_COLUMNS}) SELECT 'tables/' || message_name AS event_type, count(*) AS n FROM c GROUP BY 1")
@@ -189,31 +234,19 @@ def batch_windows(spark, sf_dir):
 # --- Store -------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
-def upsert_latest(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")
-    return e.groupBy("user_id", "event_type").agg(last).select("user_id", "event_type", "x.event_id", "x.value")
-
-
-@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN 'region 1: ' || n_name ELSE n_name END AS document FROM nation UNION ALL SELECT r_regionkey + 1000, r_name FROM region")
-def upsert_merge(spark, sf_dir):
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    old = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("document"))
-    new = nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("region 1: "), "n_name").alias("document")).union(region.select(F.col("r_regionkey") + 1000, "r_name"))
-    return old.join(new, "id", "left_anti").unionByName(new)
-
-
-def _scratch_store(spark: SparkSession) -> FieldStore:
-    """A store in the cluster's shared folder, or a temporary one where none is set; gone when the process ends."""
+def _scratch(spark: SparkSession, kind: str) -> str:
+    """A folder in the cluster's shared place, or a temporary one where none is set; gone when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = base or f"file://{tempfile.gettempdir()}"
-    name = f"fields-{uuid.uuid4().hex}"
-    store, parent = FieldStore(spark, f"{base}/{name}"), Folder(spark, base)
-    atexit.register(_forget, parent, name)
-    return store
+    name = f"{kind}-{uuid.uuid4().hex}"
+    atexit.register(_forget, Folder(spark, base), name)
+    return f"{base}/{name}"
+
+
+def _scratch_store(spark: SparkSession) -> FieldStore:
+    return FieldStore(spark, _scratch(spark, "fields"))
 
 
 def _forget(parent: Folder, name: str) -> None:
@@ -232,15 +265,63 @@ def store_round_trip(spark, sf_dir):
     return store.all_fields().select("id", "document", "metadata.fqn")
 
 
+def _row_records(rows: DataFrame, name, kind, message, order) -> DataFrame:
+    """Rows of a table as field records."""
+    return rows.select(name.alias("field_name"), kind.alias("field_type"), message.alias("message_name"), F.lit("rows").alias("package"), F.lit("rows.proto").alias("file_path"), F.lit("optional").alias("label"), F.lit("").alias("comment"), F.array().cast("array<string>").alias("parent_messages"), order.cast("bigint").alias("ord"))
+
+
+@query("SELECT 'rows.proto:Supplier.n' || s_nationkey AS id, 'n' || s_nationkey || ' (' || arg_max(s_name, s_suppkey) || ') in Supplier from rows' AS document FROM supplier GROUP BY s_nationkey")
+def upsert_latest(spark, sf_dir):
+    """Of records with one id, the last by order stays."""
+    store, s = _scratch_store(spark), read(spark, sf_dir, "supplier")
+    store.upsert(_row_records(s, F.concat(F.lit("n"), "s_nationkey"), F.col("s_name"), F.lit("Supplier"), F.col("s_suppkey")))
+    return store.all_fields().select("id", "document")
+
+
+_MERGED = "SELECT 'rows.proto:Nation.' || n_name AS id, n_name || CASE WHEN n_regionkey = 1 THEN ' (changed)' ELSE ' (old)' END || ' in Nation from rows' AS document FROM nation UNION ALL SELECT 'rows.proto:Region.' || r_name, r_name || ' (new) in Region from rows' FROM region"
+
+
+def _merged_store(spark, sf_dir, prune):
+    store, nation, region = _scratch_store(spark), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    store.upsert(_row_records(nation, F.col("n_name"), F.lit("old"), F.lit("Nation"), F.col("n_nationkey")))
+    changed = _row_records(nation.where("n_regionkey = 1"), F.col("n_name"), F.lit("changed"), F.lit("Nation"), F.col("n_nationkey"))
+    store.upsert(changed.unionByName(_row_records(region, F.col("r_name"), F.lit("new"), F.lit("Region"), F.col("r_regionkey") + 100)), prune)
+    return store
+
+
+@query(_MERGED)
+def upsert_merge(spark, sf_dir):
+    """Changed records replace stored ones, new ones are added, others stay."""
+    return _merged_store(spark, sf_dir, False).all_fields().select("id", "document")
+
+
+@query(f"SELECT * FROM ({_MERGED}) WHERE document NOT LIKE '% (old) %'")
+def upsert_prune(spark, sf_dir):
+    """With `prune`, stored records that aren't given go."""
+    return _merged_store(spark, sf_dir, True).all_fields().select("id", "document")
+
+
+@query("SELECT 0::BIGINT AS cleared, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n")
+def store_count_and_clear(spark, sf_dir):
+    store = _merged_store(spark, sf_dir, False)
+    n = store.count()
+    store.clear()
+    return spark.createDataFrame([(store.count(), n)], "cleared bigint, n bigint")
+
+
+@query(f"WITH c AS ({_COLUMNS}) SELECT field_name AS query_key, field_name || ' (' || arg_max(field_type, message_name) || ')' AS query_text FROM c GROUP BY field_name")
+def query_texts(spark, sf_dir):
+    """What a field is looked up by; of equal names the last one's type."""
+    return store_ops.query_texts(table_records(spark, sf_dir))
+
+
 @query()
 def store_similar_fields(spark, sf_dir):
     """The ten nearest fields of other tables' columns, by the default embedder."""
     store = _scratch_store(spark)
     records = table_records(spark, sf_dir)
     store.upsert(records)
-    from fieldweave.operators.store import query_texts
-
-    return store.similar_to(query_texts(records)).select("query_key", "rank", "id", F.round("distance", 6).alias("distance"))
+    return store.similar_to(store_ops.query_texts(records)).select("query_key", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
 # --- Neighbours --------------------------------------------------------------------------------------------------------------------
@@ -275,10 +356,20 @@ def knn_threshold(spark, sf_dir):
 # --- Concepts ----------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}) SELECT DISTINCT c.message_name, c.field_name, m.concept FROM c JOIN m ON c.field_name = m.field_name")
+_NEAR = [("o_orderkey", "doc_id"), ("l_orderkey", "html"), ("html", "doc_id"), ("p_name", "no_such_field")]
+
+
+def _hits(spark):
+    """Neighbours of some fields, as a store's search gives them."""
+    rows = [(q, 1, f"x:{n}", 0.1, "", (n, "string", "m", "p", "f", "optional", n)) for q, n in _NEAR]
+    return spark.createDataFrame(rows, review.HITS)
+
+
+@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}), h AS (SELECT * FROM (VALUES {', '.join(map(str, _NEAR))}) t(q, n)), k AS (SELECT c.message_name, c.field_name, c.field_name AS mapped FROM c UNION ALL SELECT c.message_name, c.field_name, h.n FROM c JOIN h ON h.q = c.field_name) SELECT k.message_name, k.field_name, arg_min(m.concept, m.concept_ord) AS concept FROM k JOIN m ON k.mapped = m.field_name GROUP BY ALL")
 def concept_match(spark, sf_dir):
-    maps = concepts.mappings(registry(spark)).select("field_name", F.col("name").alias("concept")).distinct()
-    return table_records(spark, sf_dir).join(F.broadcast(maps), "field_name").select("message_name", "field_name", "concept")
+    """The first concept that maps a field's own name or that of a neighbour."""
+    r = table_records(spark, sf_dir)
+    return review.match_concepts(r, _hits(spark), registry(spark)).join(r, "ord").select("message_name", "field_name", "concept")
 
 
 _FIRST = f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}), f AS (SELECT c.message_name, c.field_name, c.field_type, min(m.concept_ord) AS o FROM c JOIN m ON c.field_name = m.field_name GROUP BY ALL), k AS (SELECT DISTINCT concept, concept_ord, canonical_name, canonical_type FROM m)"
@@ -310,11 +401,7 @@ def type_mismatch(spark, sf_dir):
 
 @query(f"WITH m AS ({_MAPPINGS}), g AS ({_GAPS}), c AS ({_COLUMNS}), t AS (SELECT DISTINCT message_name, 'tables/' || message_name AS event_type FROM c), k AS (SELECT DISTINCT concept FROM m) SELECT t.event_type, k.concept FROM t, k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.concept = k.concept AND m.event_type = t.event_type) AND NOT EXISTS (SELECT 1 FROM m JOIN c ON c.field_name = m.field_name WHERE m.concept = k.concept AND c.message_name = t.message_name) AND NOT EXISTS (SELECT 1 FROM g WHERE g.concept = k.concept AND g.event_type = t.event_type)")
 def missing_concepts(spark, sf_dir):
-    r, known, out = table_records(spark, sf_dir), registry(spark), None
-    for t in TABLES:
-        rows = review.missing_concepts(r.where(F.col("message_name") == t), known, f"tables/{t}").select(F.lit(f"tables/{t}").alias("event_type"), F.regexp_extract("message", "missing concept '([^']*)'", 1).alias("concept"))
-        out = rows if out is None else out.union(rows)
-    return out
+    return review.missing_by_event_type(table_records(spark, sf_dir), registry(spark)).select("event_type", F.col("name").alias("concept"))
 
 
 @query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}) SELECT k.concept, t.event_type FROM (SELECT DISTINCT concept FROM m) k, (SELECT DISTINCT 'tables/' || message_name AS event_type FROM c) t WHERE (k.concept, t.event_type) NOT IN (SELECT concept, event_type FROM m)")
@@ -359,13 +446,44 @@ def registry_batches(spark, sf_dir):
     return concepts.batches(table_records(spark, sf_dir), 10).select("batch", F.size("lines").alias("n"))
 
 
-@query()
+_BUILT = f"""WITH c AS ({_COLUMNS}), e AS (SELECT count(DISTINCT message_name) AS n FROM c), g AS (SELECT regexp_replace(lower(field_name), '[^a-z0-9]', '', 'g') AS key, * FROM c),
+    names AS (SELECT key, field_name, count(*) AS n FROM g GROUP BY ALL), types AS (SELECT key, field_type, count(*) AS n FROM g GROUP BY ALL),
+    k AS (SELECT key, count(*)::INT AS n_mappings, count(DISTINCT message_name) AS have FROM g GROUP BY key),
+    b AS (SELECT (SELECT field_name FROM names WHERE names.key = k.key ORDER BY n DESC, field_name LIMIT 1) AS canonical_name, (SELECT field_type FROM types WHERE types.key = k.key ORDER BY n DESC, field_type LIMIT 1) AS canonical_type, n_mappings, CASE WHEN 2 * have > e.n THEN e.n - have ELSE 0 END::INT AS n_gaps FROM k, e)
+    SELECT trim(lower(canonical_name), '_') AS name, * FROM b WHERE n_mappings > 1 OR n_gaps > 0"""
+
+
+@query(_BUILT)
 def registry_build(spark, sf_dir):
     """Concepts that the offline clusterer finds in the tables' columns."""
     found, _ = concepts.build_registry(table_records(spark, sf_dir))
     return found.select("name", "canonical_name", "canonical_type", F.size("mappings").alias("n_mappings"), F.size("gaps").alias("n_gaps"))
 
 
+@query(f"WITH c AS ({_COLUMNS}) SELECT count(*) AS total_fields, count(DISTINCT message_name) AS total_event_types, (SELECT count(*) FROM ({_BUILT})) AS total_concepts FROM c")
+def registry_metadata(spark, sf_dir):
+    _, meta = concepts.build_registry(table_records(spark, sf_dir))
+    return spark.createDataFrame([tuple(meta[k] for k in ("total_fields", "total_event_types", "total_concepts"))], "total_fields bigint, total_event_types bigint, total_concepts bigint")
+
+
+@query("SELECT 'canonical_registry:CanonicalRegistry.' || canonical_name AS id, canonical_name || ' (' || canonical_type || ') in CanonicalRegistry from canonical — ' || description AS document FROM (VALUES " + ", ".join(str((c[3], c[4], c[2])) for c in REGISTRY) + ") t(canonical_name, canonical_type, description)")
+def concept_records(spark, sf_dir):
+    """Concepts in the store, beside fields."""
+    store = _scratch_store(spark)
+    store.upsert(concepts.as_records(registry(spark)))
+    return store.all_fields().select("id", "document")
+
+
+@query(f"SELECT concept, map_ord::INT AS map_ord, event_type, field_name FROM ({_MAPPINGS})")
+def registry_export(spark, sf_dir):
+    """A registry written to its file and read again."""
+    with tempfile.TemporaryDirectory() as folder:
+        registry_files.write_registry(registry(spark), f"{folder}/registry.yaml")
+        back = registry_files.read_registry(spark, f"{folder}/registry.yaml")
+        rows = [tuple(r) for r in concepts.mappings(back).select("name", "map_ord", "event_type", "field_name").collect()]
+    return spark.createDataFrame(rows, "concept string, map_ord int, event_type string, field_name string")
+
+
 # --- Issues and recommendations ----------------------------------------------------------------------------------------------------
 
 _AS_ISSUES = "SELECT event_id AS ord, CAST(user_id AS VARCHAR) AS field_name, CASE event_id % 4 WHEN 0 THEN 'naming_mismatch' WHEN 1 THEN 'type_mismatch' WHEN 2 THEN 'missing_concept' ELSE 'other' END AS issue_type, CASE WHEN value > 90 THEN 'error' WHEN value > 30 THEN 'warning' ELSE 'info' END AS severity, event_type AS message FROM events"
@@ -401,20 +519,38 @@ def advice_parsing(spark, sf_dir):
     return found.join(n, n["n_name"] == found["title"]).select(F.col("n_nationkey").alias("nation"), "title", "body", "severity", F.size("fields").alias("n_fields"))
 
 
-@query(f"WITH m AS ({_MAPPINGS}), c AS ({_COLUMNS}), a AS (SELECT DISTINCT field_name FROM m), b AS (SELECT DISTINCT field_name FROM c) SELECT 'both' AS part, field_name FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'registry only', field_name FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'either', field_name FROM (FROM a UNION FROM b)".replace("FROM a INTERSECT FROM b", "SELECT field_name FROM a INTERSECT SELECT field_name FROM b").replace("FROM a EXCEPT FROM b", "SELECT field_name FROM a EXCEPT SELECT field_name FROM b").replace("FROM a UNION FROM b", "SELECT field_name FROM a UNION SELECT field_name FROM b"))
-def name_sets(spark, sf_dir):
-    a, b = concepts.mappings(registry(spark)).select("field_name"), table_records(spark, sf_dir).select("field_name")
-    part = lambda name, df: df.select(F.lit(name).alias("part"), "field_name")
-    return part("both", a.intersect(b)).union(part("registry only", a.exceptAll(b).distinct().join(b, "field_name", "left_anti"))).union(part("either", a.union(b).distinct()))
+_NATION_ISSUES = "SELECT n_nationkey AS ord, n_name AS field_name, CASE n_nationkey % 3 WHEN 0 THEN 'naming_mismatch' WHEN 1 THEN 'type_mismatch' ELSE 'missing_concept' END AS issue_type, CASE n_nationkey % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'error' ELSE 'warning' END AS severity, 'about ' || n_name AS message FROM nation"
+_REPORTED = f"""WITH i AS ({_NATION_ISSUES}), r AS (SELECT min(ord) AS first_ord, CASE issue_type WHEN 'naming_mismatch' THEN 'Field naming inconsistencies' WHEN 'type_mismatch' THEN 'Field type mismatches' ELSE 'Missing canonical concepts' END AS title, severity, string_agg('- ' || message, chr(10) ORDER BY ord) AS body,
+    CASE WHEN issue_type <> 'missing_concept' THEN string_agg(field_name, ', ' ORDER BY ord) END AS fields FROM i GROUP BY issue_type, severity), n AS (SELECT count(*) AS n, count_if(severity = 'error') AS e, count_if(severity = 'warning') AS w, count_if(severity = 'info') AS f FROM i)"""
 
 
-# --- Data quality ------------------------------------------------------------------------------------------------------------------
+def _nation_review(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ("naming_mismatch", "type_mismatch", "missing_concept"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    severity = F.element_at(F.array(*map(F.lit, ("info", "error", "warning"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    issues = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("field_name"), kinds.alias("issue_type"), severity.alias("severity"), F.concat(F.lit("about "), "n_name").alias("message"))
+    return review.Review("x.proto", issues, review.recommend(issues), **review.counts(issues).first().asDict())
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.absent'), 'none') AS absent FROM events")
-def json_defaults(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k string, absent string"))
-    return e.select("event_id", F.coalesce("p.k", F.lit("")).alias("k"), F.coalesce("p.absent", F.lit("none")).alias("absent"))
+@query(_REPORTED + """ SELECT '# Proto Review: x.proto' || chr(10) || chr(10) || '**Issues:** ' || n || ' (' || e || ' errors, ' || w || ' warnings, ' || f || ' info)' || chr(10) || chr(10) ||
+    (SELECT string_agg('## ' || CASE severity WHEN 'error' THEN '!!!' WHEN 'warning' THEN '!!' ELSE '!' END || ' ' || title || chr(10) || chr(10) || body || chr(10) || coalesce(chr(10) || '**Fields:** ' || fields || chr(10), ''), chr(10) ORDER BY first_ord) FROM r) AS report FROM n""")
+def report_markdown(spark, sf_dir):
+    return spark.createDataFrame([(review.as_markdown(_nation_review(spark, sf_dir)),)], "report string")
+
+
+@query(_REPORTED + """ SELECT 'Review: x.proto' || chr(10) || chr(10) || 'Summary' || chr(10) || '  Total issues  ' || n || chr(10) || '  Errors        ' || e || chr(10) || '  Warnings      ' || w || chr(10) || '  Info          ' || f ||
+    (SELECT string_agg(chr(10) || chr(10) || '[' || upper(severity) || '] ' || title || chr(10) || body || coalesce(chr(10) || '  Fields: ' || fields, ''), '' ORDER BY first_ord) FROM r) AS report FROM n""")
+def report_text(spark, sf_dir):
+    return spark.createDataFrame([(review.as_text(_nation_review(spark, sf_dir)),)], "report string")
+
+
+@query(_REPORTED + " SELECT title, body, severity, coalesce(fields, '') AS fields, n AS issue_count, e::BIGINT AS error_count FROM r, n")
+def report_json(spark, sf_dir):
+    said = json.loads(review.as_json(_nation_review(spark, sf_dir)))
+    rows = [(x["title"], x["body"], x["severity"], ", ".join(x["fields"]), said["issue_count"], said["error_count"]) for x in said["recommendations"]]
+    return spark.createDataFrame(rows, "title string, body string, severity string, fields string, issue_count bigint, error_count bigint")
+
+
+# --- Data quality ------------------------------------------------------------------------------------------------------------------
 
 
 @query("SELECT source, c AS \"column\", count(*) AS n, count_if(v IS NULL)::BIGINT AS nulls, round(count_if(v IS NULL) / count(*), 9) AS rate FROM (SELECT source, unnest(['quality', 'toxic', 'lang']) AS c, unnest([quality::VARCHAR, toxic::VARCHAR, lang]) AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL")
@@ -519,34 +655,36 @@ def _stream(spark, sf_dir):
     return streams.timed(streams.read_events(spark, sf_dir, batch.schema, "events.parquet"))
 
 
-def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    return streams.run_to_end(stream, f"{name}_{uuid.uuid4().hex[:8]}", mode)
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    return streams.run_to_end(stream, _scratch(stream.sparkSession, "stream"), mode)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_counts(spark, sf_dir):
-    out = _drained(streams.counts(_stream(spark, sf_dir), ["event_type"], "value"), "counts", "complete")
+    out = _drained(streams.counts(_stream(spark, sf_dir), ["event_type"], "value"), "complete")
     return out.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n, round(avg((value IS NULL)::INT), 9) AS value_null_rate FROM events GROUP BY 1")
 def stream_null_rates(spark, sf_dir):
-    out = _drained(streams.null_rates(_stream(spark, sf_dir), ["value"]), "rates", "complete")
+    out = _drained(streams.null_rates(_stream(spark, sf_dir), ["value"]), "complete")
     return out.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n", F.round("value_null_rate", 9).alias("value_null_rate"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g) SELECT user_id, count(*) AS n, epoch_us(min(ts)) // 1000 AS start_ms FROM s GROUP BY user_id, nr")
 def stream_sessions(spark, sf_dir):
-    out = _drained(streams.sessions(_stream(spark, sf_dir), "user_id"), "sessions", "complete")
+    out = _drained(streams.sessions(_stream(spark, sf_dir), "user_id"), "complete")
     return out.select("user_id", "n", F.unix_millis("start").alias("start_ms"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark, sf_dir):
-    return _drained(streams.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"]), "distinct", "append").select("user_id", "event_type")
+    return _drained(streams.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"]), "append").select("user_id", "event_type")
 
 
-@query()
+@query("""WITH w AS (SELECT event_type, date_trunc('day', ts) AS period, count(*) AS n, sum(value) AS t, sum(value * value) AS q FROM events WHERE value IS NOT NULL GROUP BY ALL), b AS (SELECT *, sum(n) OVER p AS bn, sum(t) OVER p AS bt, sum(q) OVER p AS bq FROM w WINDOW p AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT event_type, strftime(period, '%Y-%m-%d') AS period, n AS rows, round(t, 2) AS total, coalesce(bn, 0)::BIGINT AS seen, round(bt, 2) AS before, coalesce(abs(t / n - bt / bn) > 2 * sqrt(greatest(bq / bn - (bt / bn) * (bt / bn), 0) / n), false) AS strays FROM b WHERE period + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_drift(spark, sf_dir):
-    """Outliers by event type against a running baseline."""
-    return _drained(streams.drift(_stream(spark, sf_dir), "event_type", "value"), "drift", "append").select("event_type", "rows", "outliers")
+    """Closed days whose mean strays from all days before, by event type."""
+    found = _drained(streams.drift(_stream(spark, sf_dir), "event_type", "value", limit=2.0), "append")
+    return found.select("event_type", F.date_format("period", "yyyy-MM-dd").alias("period"), "rows", F.round(F.col("mean") * F.col("rows"), 2).alias("total"), "seen", F.round(F.col("baseline") * F.col("seen"), 2).alias("before"), "strays")
