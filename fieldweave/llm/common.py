@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 
@@ -36,8 +38,13 @@ class Workspace:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` once and go on from the written table."""
+    def save(self, df: DataFrame, name: str, thin: bool = False) -> DataFrame:
+        """Write `df` once and go on from the written table.
+
+        `thin` is for rows of a few numbers that come from a shuffle: eight of its partitions go to a file, so that files don't get tiny.
+        """
+        if thin:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -100,8 +107,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG = 1024  # bytes from which a span's hash is a digest, so that one huge span doesn't take a step for each of its words
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time: each step mixes the next bytes into what the ones before gave.
+
+    No step is linear, so texts with a structure (repetitive ones above all) collide no more often than others. Equal bytes give equal
+    values wherever they stand. The steps of all spans run side by side; spans of LONG bytes and more take a BLAKE2 digest.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix64(size.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % 2**64))
+    live = np.flatnonzero((size > 0) & (size < LONG))
+    at, left, h = start[live], size[live], out[live]
+    while len(live):
+        h = mix64((h ^ (eight[at] & MASK[np.minimum(left, 8)])) * U64(0xD6E8FEB86659FD93))
+        out[live] = h
+        more = np.flatnonzero(left > 8)
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of spans, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether data[a : a + size] equals other[b : b + size], byte by byte, elementwise."""
+    out = np.ones(len(size), bool)
+    for i, j in runs_of(np.r_[0, np.cumsum(size)], step):
+        n = size[i:j]
+        differ = data[gather(a[i:j], n)] != other[gather(b[i:j], n)]
+        if differ.any():
+            out[i:j][np.repeat(np.arange(j - i), n)[differ]] = False
+    return out
+
+
 class PrefixHash:
-    """Polynomial hashes modulo 2**64 over bytes: any substring's hash from two prefix values."""
+    """Polynomial hashes modulo 2**64 over bytes: any substring's hash from two prefix values.
+
+    Long texts with a structure can collide (Thue-Morse words of some hundred bytes do), so what rests on equal values must be verified.
+    """
 
     def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -131,7 +182,19 @@ class PrefixHash:
 
 def crc32_of(column: str):
     """crc32 of a number written as text."""
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+    return F.crc32(F.col(f"`{column}`").cast("string").cast("binary"))
+
+
+def quoted(names) -> list:
+    """Columns by their names, whatever these hold."""
+    return [F.col(f"`{c}`") for c in names]
+
+
+def map_rows(df: DataFrame, run, schema: StructType | None = None) -> DataFrame:
+    """mapInArrow over rows of any column names: inside, columns are named by their place. `schema` is the result's, by default that of `df`."""
+    schema = schema or df.schema
+    inner = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:
@@ -145,7 +208,7 @@ def bounded(spark: SparkSession, rows: int = 2000) -> None:
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that an operator reads, so that others, whatever their names, can't clash."""
     bounded(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    return df.select(*quoted(columns))
 
 
 def lean(run):
