@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.llm import components, langid, lattice, minhash, packing, quality, secrets, suffixes, tokens
-from fieldweave.llm.common import Workspace, runs_of, utf8_view
-from fieldweave.llm.shingles import shingle_sets
+from fieldweave.llm.common import Workspace, runs_of, same_spans, span_hash, utf8_view
+from fieldweave.llm.shingles import exact_counts, shingle_sets
 
 SCHEMA = "doc_id bigint, text string, lang string, id string, n bigint, cell bigint, start string, length int"  # extra columns clash with inner names
 
@@ -55,8 +55,9 @@ def test_components(spark, seed):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(5)
-    got = {r["node"]: r["component"] for r in components.connected_components(df, Workspace(spark, "t")).collect()}
-    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    for one_task in (0, 10**6):
+        got = {r["node"]: r["component"] for r in components.connected_components(df, Workspace(spark, "t"), one_task=one_task).collect()}
+        assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
 
 
@@ -161,6 +162,54 @@ def test_no_link_is_lost_to_sketches():
             assert int(np.bitwise_count(p ^ q).sum()) <= minhash.most_odd(0.75, len(a), len(b), s, t)
 
 
+def thue_morse(bits, first="a"):
+    word = first
+    while len(word) < 1 << bits:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+#: Words that collide under polynomial hashes modulo 2**64, whatever their base.
+TWINS = [(thue_morse(k), thue_morse(k, "b")) for k in range(8, 13)]
+
+
+def test_span_hashes_tell_twins_apart():
+    texts = [x for pair in TWINS for x in pair] + ["", "a", "ab", "x" * 7, "x" * 8, "x" * 9, "x" * 1023, "x" * 1024, "x" * 5000]
+    data = np.frombuffer(("#" + "#".join(texts) + "#" + "#".join(texts)).encode(), np.uint8)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size + 1) - size
+    h = span_hash(data, start, size)
+    assert len(set(h.tolist())) == len(texts)
+    again = start + int((size + 1).sum())
+    assert (span_hash(data, again, size) == h).all() and (span_hash(data, start, size, seed=2) != h).all()
+    assert same_spans(data, start, data, again, size, step=50).all()
+    assert not same_spans(data, start[:10:2], data, start[1:10:2], size[:10:2]).any()
+
+
+def test_exact_counts():
+    rows = [t for _, t in near_rows()] + ["a b c d e f", "a b c d e", "b c d e f a b c d e f"]
+    for x in rows[::3]:
+        for y in rows[::5]:
+            p, q = shingles(x), shingles(y)
+            assert exact_counts((x or "").encode(), (y or "").encode()) == (len(p), len(q), len(p & q))
+
+
+def test_colliding_words_are_not_linked(spark):
+    rows = [(2 * k + side, word) for k, pair in enumerate(TWINS) for side, word in enumerate(pair)]
+    rows += [(100 + i, f"{w} one two three four five") for i, w in rows]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_boilerplate_shared_by_all(spark):
+    """Half of each text is the same: buckets are full, few links are there."""
+    rows = [(k, " ".join(words(60, 7) + words(55 + k % 40, k // 2, 5000))) for k in range(120)]
+    want = brute_groups(rows)
+    assert len({c for _, c in want.values()}) > 30
+    for block in (5, 128):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, rows), block=block).collect()} == want
+
+
 # --- op4 ---------------------------------------------------------------------------------------------------------------------------
 
 SOUNDS = {"aa": "the and of that with ing tion", "bb": "der die und nicht ung keit", "cc": "le la que pour ment eux"}
@@ -207,6 +256,51 @@ def test_words_first_then_shorter_grams():
     assert model.score("in") @ [1, -1] > 0  # by its letter
 
 
+def brute_language(rows, text):
+    """The model's rule in plain counts: mean log frequency of a word, or of its known n-grams of the longest order that has any."""
+    langs = sorted({x for i, t, x in rows if x and i is not None and zlib.crc32(str(i).encode()) % 5})
+    counts = {}
+    for i, t, x in rows:
+        if x and t is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                for n in range(6):
+                    for g in [w] if n == 0 else [p[a : a + n] for p in [f"^{w}$" if n > 1 else w] for a in range(len(p) - n + 1)]:
+                        counts.setdefault((n, g), dict.fromkeys(langs, 0))[x] += 1
+    size = {n: sum(k[0] == n for k in counts) for n in range(6)}
+    total = {(n, x): sum(c[x] for k, c in counts.items() if k[0] == n) for n in range(6) for x in langs}
+    log = {k: np.array([np.log((c[x] + 0.5) / (total[k[0], x] + 0.5 * size[k[0]] + 1)) for x in langs]) for k, c in counts.items()}
+    z, seen = np.zeros(len(langs)), 0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        seen += 1
+        for n in (0, 5, 4, 3, 2, 1):
+            grams = [w] if n == 0 else [p[a : a + n] for p in [f"^{w}$" if n > 1 else w] for a in range(len(p) - n + 1)]
+            if known := [log[n, g] for g in grams if (n, g) in log]:
+                z += np.mean(known, axis=0)
+                break
+    z *= min(1.0, 30 / max(seen, 1))
+    p = np.exp(z - z.max())
+    return langs[int(z.argmax())], p.max() / p.sum()
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(k, spoken(list(SOUNDS)[k % 3], k, 6), list(SOUNDS)[k % 3]) for k in range(60)]
+    asked = [(1000 + k, spoken(x, 5000 + k, 1 + k % 9), None) for k, x in enumerate(list(SOUNDS) * 8)] + [(2000, "Theing unbekannt zzz 12", None), (2001, "q", None)]
+    docs = spark.createDataFrame(rows + asked, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs.repartition(3), langid.fit(docs.repartition(5))).collect()}
+    for i, t, _ in rows[:20] + asked:
+        lang, score = brute_language(rows, t)
+        assert abs(got[i]["score"] - score) < 1e-9 and (got[i]["lang_pred"] == lang or score < 0.51)
+
+
+def test_language_of_ties_and_empty_tables(spark):
+    same = [(k, "one two", "ab"[k % 2]) for k in range(2, 40)]
+    docs = spark.createDataFrame(same, "doc_id bigint, text string, lang string").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    both = docs.unionByName(docs.withColumn("lang", F.when(F.col("lang") == "a", "b").otherwise("a")))
+    got = langid.identify(docs, langid.fit(both)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("a", 0.5)}
+    assert langid.identify(docs.where("false"), langid.fit(both)).count() == 0
+
+
 # --- op5 ---------------------------------------------------------------------------------------------------------------------------
 
 HARD = [None, "", "a", " a  b\n c▁d\t", "   ", "\n\n", "日本語 𝕏 é́  ", "▁▁", "x" * 300, "\x00\x01 ÿ", "The cat sat on the mat."]
@@ -224,6 +318,17 @@ def test_sampled_pieces_round_trip(spark):
     assert lattice.encode(table(spark, [])).count() == 0
 
 
+def test_colliding_chunks_are_kept_apart(spark):
+    rows = [(2 * k + side, word + " end") for k, pair in enumerate(TWINS) for side, word in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert {r["doc_id"]: r["text"] for r in lattice.decode(lattice.encode(docs)).collect()} == dict(rows)
+
+
+def test_decoding_null_pieces(spark):
+    got = lattice.decode(spark.createDataFrame([(1, None), (2, []), (None, [])], "doc_id bigint, pieces array<int>")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == [(1, ""), (2, ""), (None, "")]
+
+
 def test_sampling_is_reproducible_and_varies(spark):
     docs = table(spark, [(k, "unbelievable circumstances of tokenization") for k in range(40)])
     ids = lambda df: {r["doc_id"]: tuple(r["pieces"]) for r in df.collect()}
@@ -299,6 +404,11 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_of_repeated_rows_and_null_ids(spark):
+    got = secrets.find_secrets(table(spark, [(1, "token=abcdef"), (1, "token=abcdef"), (None, "token=abcdef")])).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in got), key=str) == [(1, "assign:0:12"), (1, "assign:0:12"), (None, "assign:0:12")]
+
+
 def test_checksums_decide():
     body = "Ab3" * 10
     good = f"ghp_{body}{secrets.checksum62(body)}"
@@ -360,6 +470,25 @@ def test_repeats_edges(spark):
     assert suffixes.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_repeats_of_colliding_strings(spark, hot):
+    rows = [(2 * k + side, word + f"#{k}{side}" * 3) for k, pair in enumerate(TWINS) for side, word in enumerate(pair)]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(table(spark, rows), hot=hot).collect()}
+    assert {i: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, r in got.items()} == brute_repeats(rows)
+
+
+def test_collisions_give_way_to_plain_sorting(monkeypatch):
+    """With hashes that say little, order and extensions still are those of the bytes."""
+    weak = suffixes.PrefixHash(71)
+    monkeypatch.setattr(weak, "span", lambda prefix, start, end: (end - start).astype(np.uint64))
+    monkeypatch.setattr(suffixes, "_hash", weak)
+    texts = [b"abcab", b"abcaa", b"abcab", b"b", b"abd", b"abcabx"]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    s = suffixes.Surroundings(data, np.cumsum(size) - size, size, np.zeros(6, np.int64))
+    order, n = s.sorted(np.zeros(6, np.uint64), True)
+    assert [texts[i] for i in order] == sorted(texts) and n.tolist() == [0, 4, 5, 5, 2, 0]
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeats_of_ids_with_several_texts(spark, hot):
     a, b, c, d, e = (" ".join(words(80, 40 + k, 5000)) for k in range(5))
@@ -485,26 +614,42 @@ def sequential_best_fit(lengths, capacity):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_plan_equals_sequential_best_fit(seed):
+def test_sweep_equals_sequential_best_fit(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, [20, 64, 64, 30, 10][seed] + 1, [200, 300, 5, 1000, 400][seed])
-    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
-    plan = packing.best_fit_plan(counts, 64)
-    assert plan[:, 2].max() + 1 <= len(lengths)
-    spots = set()
-    for n, c in counts.items():
-        rows = plan[plan[:, 0] == n]
-        for rank in range(c):
-            _, first, seq, per, off = rows[np.searchsorted(rows[:, 1], rank, side="right") - 1]
-            spots.add((int(seq + (rank - first) // per), int(off + (rank - first) % per * n), n))
-    used = {s for s, _, _ in spots}
-    assert len(used) == sequential_best_fit(lengths.tolist(), 64)
-    for s in used:
-        at = 0
-        for _, o, n in sorted(x for x in spots if x[0] == s):
-            assert o == at
-            at += n
-        assert at <= 64
+    at, before, left = packing.best_fit(lengths, np.zeros(0, np.int64), 64)
+    assert len(left) == sequential_best_fit(lengths.tolist(), 64) and len(set(at.tolist())) == len(left)
+    for s in range(len(left)):
+        room = 64
+        for k in sorted(np.flatnonzero(at == s), key=lambda k: -before[k]):
+            assert before[k] == room
+            room -= int(lengths[k])
+        assert room == left[s] >= 0
+    # Into given gaps, without new ones: who stays out fits nowhere.
+    rooms = rng.integers(0, 65, 40)
+    at, before, left = packing.best_fit(lengths, rooms)
+    assert (rooms - np.bincount(at[at >= 0], lengths[at >= 0], 40) == left).all() and (left >= 0).all()
+    assert (lengths[at < 0] > left.max()).all()
+
+
+def test_places_are_dealt_by_rank():
+    plan = packing.deal_places({0: 5, 1: 2, 3: 1}, {1: 1, 2: 4, 3: 2})
+    assert plan.tolist() == [[1, 0, 2, 0, 2], [0, 0, 1, 0, 1], [0, 1, 2, 2, 2], [0, 3, 3, 0, 2]]
+
+
+@pytest.mark.parametrize("range_rows", [7, 60, 10**6])
+def test_supersteps_pack_as_well_as_sequential_best_fit(spark, range_rows):
+    """Whatever the number of ranges: every piece once, no overlap, no gap inside, hardly more sequences."""
+    rows = [(k, " ".join(words(1 + 13 * k % 400 if k % 3 else 1 + k % 9, k))) for k in range(300)]
+    got = packing.pack(table(spark, rows).repartition(5), capacity=256, range_rows=range_rows).collect()
+    assert len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 256
+    best = sequential_best_fit([r["length"] for r in got], 256)
+    assert len(ends) <= (best if range_rows == 10**6 else best * 1.05 + 2)
 
 
 # --- op10 --------------------------------------------------------------------------------------------------------------------------
@@ -568,3 +713,43 @@ def test_quality_ignores_held_out_labels(spark):
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, flipped)
     assert np.allclose(a.weights, b.weights) and np.allclose(a.scale, b.scale)
+
+
+def test_quality_scores_equal_plain_sums(spark):
+    """The score from the lines' features, by enumeration of all labellings."""
+    docs, labels = table(spark, [(k, graded(k)[0]) for k in range(200)]), spark.createDataFrame([(k, graded(k)[1]) for k in range(200)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    texts = {900: "One line.", 901: "ONE | TWO!!\nAnd another one, longer than that.\n\nx", 902: None, 903: "", 904: "\n"}
+    got = {r["doc_id"]: r["score"] for r in quality.score(table(spark, list(texts.items())), model).collect()}
+    for i, t in texts.items():
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        _, size, x = quality.line_features(data, np.array([0, len(data)]))
+        odds, total, good = x @ model.weights, 0.0, np.zeros(len(size))
+        for m in range(1 << len(size)):
+            y = np.array([m >> k & 1 for k in range(len(size))])
+            w = np.exp(odds @ y + sum(model.step[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
+            total, good = total + w, good + w * y
+        share = np.clip(((good / total) * (size + 1)).sum() / (size + 1).sum(), 1e-6, 1 - 1e-6)
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.scale[0] * np.log(share / (1 - share)) + model.scale[1])))) < 1e-9
+    assert quality.score(table(spark, []), model).count() == 0
+
+
+def test_quality_learns_from_long_texts_and_text_ids(spark):
+    docs = spark.createDataFrame([(f"k{k}", (graded(k)[0] + "\n") * (600 if k < 3 else 1)) for k in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"k{k}", graded(k)[1]) for k in range(80)], "doc_id string, quality int")
+    a = quality.fit(docs, labels, most_lines=100)
+    assert a.weights.any() and np.isfinite(a.weights).all()
+
+
+# --- other columns -----------------------------------------------------------------------------------------------------------------
+
+
+def test_operators_take_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdef b", 5), (2, "c d e", 6)], "`the.id` bigint, `the.text` string, `_0` int")
+    names = {"id_col": "the.id", "text_col": "the.text"}
+    model = langid.WordModel.from_counts(["a", "b"], [(1, "a", "a", 5), (1, "b", "c", 3)])
+    for out in (
+        minhash.near_duplicates(docs, **names), langid.identify(docs, model, **names), lattice.encode(docs, **names), secrets.find_secrets(docs, **names), suffixes.remove_repeats(docs, **names, carry=("_0",)),
+        packing.pack(docs, **names), tokens.count_tokens(docs, **names), quality.score(docs, quality.LineField(np.zeros(42), np.zeros((2, 2)), np.ones(2)), **names),
+    ):
+        assert {r["the.id"] for r in out.collect()} == {1, 2}
