@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, by_cell, lean, need
-from fieldweave.llm.vectors import lists, matrix, sample_matrix, usable, width_of
+from fieldweave.llm.common import Workspace, bounded, by_cell, lean
+from fieldweave.llm.vectors import as_vectors, lists, matrix, sample_matrix, usable, width_of
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -151,12 +151,15 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "partitions")
-    src = need(vectors, id_col, vector_col).toDF(id_col, "v").withColumn("v", F.col("v").cast("array<double>"))
+    bounded(spark)
+    as_given = F.col(f"`{vector_col}`")
+    src = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), as_vectors(as_given, vectors.select(as_given).schema[0].dataType).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    kind = src.schema["v"].dataType.simpleString()
     dim = width_of(src, "v")
-    good = src.where(usable(F.col("v"), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "v", F.coalesce(queries, F.lit(False)).alias("asks"))
+    good = src.where(usable(F.col("v"), dim) & F.col("id").isNotNull())
     empty = spark.createDataFrame([], "query_id bigint, rank int, id bigint, score double").withColumnRenamed("id", id_col)
     classes = work.save(good.groupBy("v").agg(F.min("id").alias("rep"), F.max("asks").alias("asks")), "classes")
-    stats = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("widest")).first()
+    stats = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("widest")).first()
     if not stats["n"]:
         return empty
     parts = 1 << max(0, min(8, round(math.log2(max(1, math.sqrt(stats["n"]) / 14)))))  # grows with the root of the rows
@@ -169,7 +172,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
             routes = model.routes(x).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(model.home(x).astype(np.int32)), lists(routes)], names=["rep", "asks", "v", "home", "routes"])
 
-    placed = work.save(classes.mapInArrow(assign, "rep bigint, asks boolean, v array<double>, home int, routes array<int>"), "placed")
+    placed = work.save(classes.mapInArrow(assign, f"rep bigint, asks boolean, v {kind}, home int, routes array<int>"), "placed")
     m_of = {r["p"]: r["n"] for r in placed.groupBy(F.col("home").alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each part
     q_of = {r["p"]: r["n"] for r in placed.where("asks").select(F.explode("routes").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     shape = spark.createDataFrame([(p, -(-m // block), -(-q_of.get(p, 1) // block)) for p, m in m_of.items()], "part int, mb int, qb int")

@@ -61,21 +61,34 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_multi_sequence_visits_nearest_cells_first():
     rng = np.random.default_rng(1)
-    d1, d2 = rng.random(7), rng.random(5)
-    seen = list(multiindex.multi_sequence(d1, d2))
-    assert len(seen) == 35 and len({(i, j) for i, j, _ in seen}) == 35
-    assert all(a[2] <= b[2] for a, b in zip(seen, seen[1:], strict=False))
-    sample = rng.normal(size=(500, 8))
-    sample /= np.linalg.norm(sample, axis=1)[:, None]
-    index = multiindex.MultiIndex(sample, 0.9, 0.99, 6)
-    a, b = index.distances(sample[:20])
-    for x, y, limit in zip(a, b, index.limits(a, b), strict=True):
-        by_order = set()
-        for i, j, s in multiindex.multi_sequence(x, y):
-            if s > limit:
-                break
-            by_order.add((i, j))
-        assert by_order == set(zip(*(c.tolist() for c in np.nonzero(x[:, None] + y[None, :] <= limit)), strict=True))
+    d1, d2 = rng.random((30, 7)), rng.random((30, 5))
+    limit = rng.random(30) * 2.2 - 0.1
+    seen = [[] for _ in limit]
+    for rows, i, j, s in multiindex.multi_sequence(d1, d2, limit):
+        for r, *cell in zip(rows.tolist(), i.tolist(), j.tolist(), s.tolist(), strict=True):
+            seen[r].append(cell)
+    assert min(map(len, seen)) == 0 and max(map(len, seen)) == 35
+    for x, y, most, cells in zip(d1, d2, limit, seen, strict=True):
+        assert all(a[2] <= b[2] for a, b in zip(cells, cells[1:], strict=False))
+        assert sorted((i, j) for i, j, _ in cells) == list(zip(*(c.tolist() for c in np.nonzero(x[:, None] + y[None, :] <= most)), strict=True))
+
+
+def test_recall_of_links_at_the_threshold():
+    """Pairs turned by about the linking angle, the hardest there are, among vectors without structure."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(4000, 64)))
+    turn = rng.normal(size=x.shape)
+    turn = unit(turn - (turn * x).sum(axis=1)[:, None] * x)
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * turn
+    index = multiindex.MultiIndex(x, 0.9, 0.999, 24)
+    found = np.zeros(len(x), bool)
+    for a, b in ((x, y), (y, x)):
+        d1, d2 = index.distances(a)
+        i, j = index.cells(*index.distances(b))
+        for rows, p, q, _ in multiindex.multi_sequence(d1, d2, index.limits(d1, d2)):
+            found[rows[(p == i[rows]) & (q == j[rows])]] = True
+    assert found.mean() > 0.9995
 
 
 def brute_search(rows, k):
