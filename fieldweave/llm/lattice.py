@@ -7,12 +7,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from fieldweave.llm.common import U64, PrefixHash, lean, mix64, need, runs_of, utf8_view
+from fieldweave.llm.common import U64, PrefixHash, gather, lean, map_rows, mix64, need, runs_of, same_spans, span_hash, utf8_view
 
 MODEL = "piece_bpe_32k"
+PIECES = StructField("pieces", ArrayType(IntegerType()))
 _hash = PrefixHash(5)
 
 
@@ -71,11 +74,6 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of spans, one after the other."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 def _lattice(data: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces, alpha: float):
     """The lattices of distinct chunks. A node is a place before, between or after the bytes of a chunk.
 
@@ -83,7 +81,7 @@ def _lattice(data: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces, a
     of node + share of the forward sums: where node + u falls among these, for u in [0, 1), is the arc to go back by.
     """
     n = len(start)
-    text = data[_gather(start, size)]
+    text = data[gather(start, size)]
     base = np.cumsum(size + 1) - (size + 1)  # node of each chunk's start
     first = np.cumsum(size) - size  # its first byte in text
     chunk = np.repeat(np.arange(n), size)
@@ -105,6 +103,8 @@ def _lattice(data: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces, a
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         hit = hashes[at] == h
         s, at = s[hit], at[hit]
+        hit = same_spans(text, s, p.pool, p.at[who[at]], np.full(len(s), length))  # equal hashes only propose
+        s, at = s[hit], at[hit]
         whole[s[width[s] == length]] = True
         froms.append(s)
         ids.append(who[at])
@@ -158,6 +158,23 @@ def encode_texts(texts, keys: np.ndarray, p: Pieces, alpha: float = 0.7, seed: i
     return np.r_[0, np.cumsum(np.concatenate(counts))], np.concatenate(ids)
 
 
+def _side_by_side(data, start, size):
+    """An order in which equal chunks stand side by side, so that what follows stays in the cache, and where each distinct one begins.
+
+    Hashes make the order; bytes confirm it, and make another one if two different chunks share a hash.
+    """
+    h = span_hash(data, start, size)
+    by = np.argsort(h)
+    new = np.r_[True, h[by][1:] != h[by][:-1]]
+    one = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if not ((size[by] == size[one]).all() and same_spans(data, start[by], data, start[one], size[by]).all()):
+        number: dict[bytes, int] = {}
+        kind = np.array([number.setdefault(data[a : a + n].tobytes(), len(number)) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        by = np.argsort(kind, kind="stable")
+        new = np.r_[True, kind[by][1:] != kind[by][:-1]]
+    return by, new
+
+
 def _encode(data, off, keys, p, alpha, seed):
     n = len(off) - 1
     filled = np.flatnonzero(off[1:] > off[:-1])
@@ -173,10 +190,8 @@ def _encode(data, off, keys, p, alpha, seed):
     size = np.diff(np.r_[start, len(data)])
     doc = np.searchsorted(off, start, side="right") - 1
     nth = np.arange(len(start)) - np.searchsorted(start, off[doc])
-    h = mix64(_hash.span(_hash.prefix(data), start, start + size) + size.astype(U64))
-    by = np.argsort(h)  # equal chunks side by side: what follows stays in the cache
-    h, start, size, doc, nth = h[by], start[by], size[by], doc[by], nth[by]
-    new = np.r_[True, h[1:] != h[:-1]]
+    by, new = _side_by_side(data, start, size)
+    start, size, doc, nth = start[by], size[by], doc[by], nth[by]
     one, kind = np.flatnonzero(new), np.cumsum(new) - 1
     ends, base, source, piece, running, final = _lattice(data, start[one], size[one], p, alpha)
     bottom = base[kind]
@@ -204,7 +219,7 @@ def _encode(data, off, keys, p, alpha, seed):
 def decode_ids(off: np.ndarray, ids: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts of rows of ids, without the prefix."""
     size = p.size[ids]
-    data = p.pool[_gather(p.at[ids], size)] if len(ids) else np.zeros(0, np.uint8)
+    data = p.pool[gather(p.at[ids], size)] if len(ids) else np.zeros(0, np.uint8)
     ends = np.r_[0, np.cumsum(size)][off]
     filled = ends[1:] > ends[:-1]
     keep = np.ones(len(data), bool)
@@ -222,7 +237,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     decode() gives the text back exactly. Null and empty texts have no pieces. An empty table gives an empty result.
     """
     path = path or model_path()
-    src = need(docs, id_col, text_col).withColumn("key", F.xxhash64(id_col))
+    src = need(docs, id_col, text_col).withColumn("key", F.xxhash64(F.col(f"`{id_col}`")))
 
     @lean
     def run(batches):
@@ -233,9 +248,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 off, ids = encode_texts(part.column(1), part.column(2).to_numpy(), p, alpha, seed)
                 text, ends = decode_ids(off, ids, p)
                 digests = [hashlib.sha256(text[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(digests, pa.string())], names=[id_col, "pieces", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(digests, pa.string())], names=["_0", "_1", "_2"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, pieces array<int>, decoded_sha256 string")
+    return map_rows(src, run, StructType([src.schema[id_col], PIECES, StructField("decoded_sha256", StringType())]))
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str | None = None) -> DataFrame:
@@ -248,11 +263,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
         p = load(path)
         for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
             col = b.column(1)
-            off = np.r_[0, np.cumsum([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()])]
+            off = np.r_[0, np.cumsum([0 if v is None else v for v in pc.list_value_length(col).to_pylist()])]
             data, ends = decode_ids(off, col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), p)
             text = pa.StringArray.from_buffers(b.num_rows, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), col, text], names=[id_col, "pieces", "text"])
-
-    import pyarrow.compute  # noqa: F401  (pa.compute above)
+            yield pa.RecordBatch.from_arrays([b.column(0), col, text], names=["_0", "_1", "_2"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, pieces array<int>, text string")
+    return map_rows(src, run, StructType([src.schema[id_col], PIECES, StructField("text", StringType())]))

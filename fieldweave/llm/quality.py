@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from fieldweave.llm.common import PrefixHash, crc32_of, lean, mix64, need, runs_of, utf8_view
+from fieldweave.llm.common import crc32_of, lean, map_rows, need, runs_of, span_hash, utf8_view
 
 # Classes of bytes that the features count.
 LOWER, UPPER, HIGH, DIGIT, SPACE, STOP, BANG, BAR, SYMBOL = range(9)
@@ -20,7 +21,6 @@ CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = SPACE
 CLASS[[ord(c) for c in ".,;:'\"?-()"]] = STOP
 CLASS[ord("!")] = BANG
 CLASS[ord("|")] = BAR
-_hash = PrefixHash(31)
 
 
 def line_features(data: np.ndarray, off: np.ndarray):
@@ -42,7 +42,7 @@ def line_features(data: np.ndarray, off: np.ndarray):
     first = solid & ~(np.r_[False, solid[:-1]] & np.r_[False, line[1:] == line[:-1]]) if m and len(line) else np.zeros(0, bool)
     words = np.bincount(line[first], minlength=m) if len(line) else np.zeros(m)
     shout = np.bincount(line[first & (kind == UPPER)], minlength=m) if len(line) else np.zeros(m)
-    code = mix64(_hash.span(_hash.prefix(data), start, end)) if len(data) else np.zeros(m, np.uint64)
+    code = span_hash(data, start, size)
     _, back, times = np.unique(np.stack([doc.astype(np.uint64), code]), axis=1, return_inverse=True, return_counts=True) if m else (None, np.zeros(0, np.int64), np.zeros(0))
     repeated = (times[back.ravel()] > 1) & (size > 0) if m else np.zeros(0, bool)
     per = counts / np.maximum(size, 1)[:, None]
@@ -146,13 +146,14 @@ def train(x: np.ndarray, doc: np.ndarray, size: np.ndarray, label: np.ndarray, r
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 6_000, most_lines: int = 2_000) -> LineField:
     """Learn from labelled rows whose crc32(id) mod 5 is not 0.
 
-    At most `most` labels are used, chosen by a hash of the id, and of their documents those of up to `most_lines` lines; only their
-    features come to the driver. A document with several labels counts with the smaller. Labels other than 0 and 1 are ignored.
+    At most `most` labels are used, chosen by a hash of the id; only the features of their documents come to the driver. Of a document of
+    more than `most_lines` lines the fit sees that many, in stretches of 20 spread evenly over it. A document with several labels counts with the smaller. Labels other than 0 and 1 are ignored. Ids may be of any type
+    that both tables share.
     """
     spark = docs.sparkSession
     rows = need(labels, id_col, label_col).toDF("id", "label").where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (crc32_of("id") % 5 != 0))
-    chosen = rows.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most).collect()
-    chosen = spark.createDataFrame([(r["id"], int(r["label"])) for r in chosen], "id bigint, label int")
+    chosen = rows.groupBy("id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most).collect()
+    chosen = spark.createDataFrame([(r["id"], r["label"]) for r in chosen], StructType([rows.schema["id"], StructField("label", IntegerType())]))
     src = need(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id").select("text", "label")
 
     @lean
@@ -163,8 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i, j in runs_of(off, 4 << 20):
                 doc, size, x = line_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d in range(j - i):
-                    own = doc == d
-                    if own.sum() <= most_lines:
+                    own = np.flatnonzero(doc == d)
+                    if len(own) > most_lines:  # whole stretches of 20 lines, so that neighbours stay neighbours
+                        stretches = np.linspace(0, len(own) // 20 - 1, most_lines // 20).astype(np.int64)
+                        own = own[(stretches[:, None] * 20 + np.arange(20)).ravel()]
+                    if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array([labels_[i + d]], pa.int32()), pa.array([size[own].tolist()], pa.list_(pa.int64())), pa.array([x[own].ravel().tolist()], pa.list_(pa.float64()))], names=["label", "size", "x"])
 
     t = src.mapInArrow(run, "label int, size array<bigint>, x array<double>").toArrow()
@@ -180,7 +184,8 @@ def score(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: s
 
     The score is the length-weighted mean over the lines of the probability that the line is good, on the scale of document labels.
     A null or empty text is one empty line. With labels of one kind, or none, the score is their smoothed rate. Null ids are not held
-    out; repeated rows stay.
+    out; repeated rows stay; an empty table gives an empty result; other columns are not read. A very long text is scored whole, and
+    held whole by its task.
     """
     src = need(docs, id_col, text_col).withColumn("held_out", F.coalesce(crc32_of(id_col) % 5 == 0, F.lit(False)))
 
@@ -193,6 +198,6 @@ def score(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: s
                 doc, size, x = line_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 out.append(model.quality(x, doc, size, j - i))
             s = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["_0", "_1", "_2", "_3"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_rows(src, run, StructType([src.schema[id_col], StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))

@@ -10,8 +10,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fieldweave.llm.common import bounded, lean, need
+from fieldweave.llm.common import bounded, lean, map_rows, need
 
 # Kinds in their order, the keywords that announce them, and their patterns.
 KINDS = ("assign", "access", "hex", "github", "npm", "slack", "google", "stripe", "pem")
@@ -111,14 +112,12 @@ def redact(text: str, spans, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, redacted string"
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row for each row of `docs`: id, counts of the base kinds, digest of the base spans, all spans, redacted text.
 
     A null or empty text has no spans; its digest is that of the empty string and its redacted text is the text itself
-    (null stays null). Repeated rows and null ids stay. `with_text=False` leaves the redacted text null.
+    (null stays null). Repeated rows and null ids stay. A text is scanned whole, however long; an empty table gives an empty result.
+    `with_text=False` leaves the redacted text null.
     """
     src = need(docs, id_col, text_col)
 
@@ -135,10 +134,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols[3].append(hashlib.sha256(spans_text([x for x in spans if x[0] in BASE]).encode()).hexdigest())
                 cols[4].append(spans_text(spans))
                 cols[5].append((redact(text, spans) if spans else text) if with_text else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.string()) for c in cols[3:]]], names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.string()) for c in cols[3:]]], names=[f"_{i}" for i in range(7)])
 
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    counts = [StructField(c, LongType()) for c in ("n_assign", "n_access", "n_hex")]
+    return map_rows(src, run, StructType([src.schema[id_col], *counts, *(StructField(c, StringType()) for c in ("base_sha256", "spans", "redacted"))]))
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -152,11 +151,11 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
             texts = [redact(t, scan(t)) if t else t for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
-    return with_length(docs.mapInArrow(run, docs.schema), text_col, length_col)
+    return with_length(map_rows(docs, run), text_col, length_col)
 
 
 def with_length(docs: DataFrame, text_col: str, length_col: str) -> DataFrame:
     if length_col not in docs.columns:
         return docs
-    kind = docs.schema[length_col].dataType
-    return docs.withColumn(length_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(kind))
+    length = F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)).cast(docs.schema[length_col].dataType)
+    return docs.select(*[length.alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@
 Ids are those of the byte-level BPE file that `path` names. Texts in common alphabets take a second library that
 holds the same vocabulary as ranks and is about four times as fast. Both merge the pair of lowest rank first, so within a
 piece of the pre-tokenizer they agree; the pre-tokenizers could differ only in how they class rare characters, so a text
-with any character outside `PLAIN` goes to the first library.
+with any `RARE` character goes to the first library.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from fieldweave.llm.common import lean, need, utf8_view
+from fieldweave.llm.common import lean, map_rows, need, utf8_view
 
 VOCABULARY = "byte_bpe_50k"
 # Fixed values of the vocabulary file: its added token and that token's id.
@@ -137,7 +138,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 text = value.as_py()
                 if text:
                     counts[i] = len(token_ids(text, path)) if len(text) <= chunk else count_resynchronised(text, path, chunk, overlap)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(counts), pa.array(counts > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(counts), pa.array(counts > limit)], names=["_0", "_1", "_2", "_3"])
 
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_rows(src, run, StructType([src.schema[id_col], StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())]))
