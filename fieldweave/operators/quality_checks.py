@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +95,25 @@ def validate(df: DataFrame, required: list[str], types: dict[str, str]) -> tuple
     return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
 
 
+def repair(df: DataFrame, required: list[str], types: dict[str, str], repairs: list[Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet the canonical schema, as they are or after some of the `repairs`, with `tries`; and the dead letters of the others.
+
+    A row that fails goes through one repair after the other, each on top of those before, and is checked again after each: as many
+    rounds as there are repairs. Dead letters show the row as it was given, with the reasons of the last round.
+    """
+    columns = df.columns
+    waiting = df.withColumn("_given", F.struct(*columns)).withColumn("_now", F.struct(*columns))
+    good, bad = None, None
+    for tries, mend in enumerate([None, *repairs]):
+        if mend is not None:
+            mended = mend(bad.select("_now.*", "_given"))
+            waiting = mended.withColumn("_now", F.struct(*columns))
+        passed, bad = validate(waiting, required, types)
+        passed = passed.select(*columns, F.lit(tries).alias("tries"))
+        good = passed if good is None else good.unionByName(passed)
+    return good, bad.select("_given.*", "reasons")
+
+
 def quality_scores(df: DataFrame, by: list[str], period: Column, checks: dict[str, Column], window: int = 7) -> DataFrame:
     """Mean share of passed checks by group and period, and its moving mean over `window` periods."""
     passed = reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) for c in checks.values()]) / len(checks)
@@ -105,13 +125,14 @@ def quality_scores(df: DataFrame, by: list[str], period: Column, checks: dict[st
 def coverage_gaps(mappings: DataFrame, event_types: DataFrame) -> DataFrame:
     """Concepts that an event type lacks: concept, event_type. Both sides are registries' sizes; the grid is their product."""
     have = mappings.select(F.col("name").alias("concept"), "event_type").distinct()
-    grid = have.select("concept").distinct().crossJoin(event_types.select("event_type").distinct())
+    every = event_types.agg(F.collect_set("event_type").alias("types"))  # one row
+    grid = have.select("concept").distinct().crossJoin(every).select("concept", F.explode("types").alias("event_type"))
     return grid.join(have, ["concept", "event_type"], "left_anti")
 
 
 def label_mismatches(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Fields whose label isn't that expected of their concept: records joined with (field_name, expected_label)."""
-    return records.join(F.broadcast(expected), "field_name").where(F.col("label") != F.col("expected_label"))
+    return records.join(expected, "field_name").where(F.col("label") != F.col("expected_label"))
 
 
 def across_events(tables: dict[str, DataFrame], variants: dict[str, list[str]], columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldweave.errors import ProcessingError, ValidationError
 from fieldweave.functions.declarations import parse
 from fieldweave.operators import catalog, concepts as registry_ops, neighbours
 from fieldweave.operators.store import FieldStore, query_texts
@@ -49,7 +51,7 @@ def find_issues(records: DataFrame, hits: DataFrame, concepts: DataFrame, event_
     Columns: ord, field_name, issue_type, severity, message, canonical_name, canonical_type, similar_fields.
     """
     known = concepts.select(F.col("name").alias("concept"), F.col("canonical_name").alias("c_name"), F.col("canonical_type").alias("c_type"), F.array_join(F.transform(F.slice("mappings", 1, 5), lambda m: m["field_name"]), ", ").alias("others"))
-    base = records.join(match_concepts(records, hits, concepts), "ord", "left").join(F.broadcast(known), "concept", "left")
+    base = records.join(match_concepts(records, hits, concepts), "ord", "left").join(known, "concept", "left")
     base = base.join(_hits_by_field(hits).withColumnRenamed("query_key", "field_name"), "field_name", "left")
     few, none = F.coalesce(F.slice("near", 1, 3), F.slice("near", 1, 0), F.expr("slice(array(named_struct('rank', 0, 'id', '', 'distance', 0D, 'document', '', 'metadata', cast(null as struct<field_name:string,field_type:string,message_name:string,package:string,file_path:string,label:string,fqn:string>))), 1, 0)")), F.lit("")
     empty = F.slice(few, 1, 0)
@@ -162,8 +164,6 @@ def run_review(spark: SparkSession, store: FieldStore, concepts: DataFrame, path
     """Review one file. A retry, off by default, looks `broaden` times as far when every issue is for information only."""
     declared = parse(scan_file(spark, path), mode).cache()
     if bad := declared.where("error is not null").first():
-        from fieldweave.errors import ValidationError
-
         raise ValidationError("PROTO_INVALID", bad["error"], {"path": str(path)})
     records = catalog.field_records(declared).cache()
     event_type = catalog.file_event_type(declared).first()["event_type"]
@@ -193,6 +193,17 @@ def as_markdown(review: Review) -> str:
     return "\n".join(out)
 
 
+def post_comment(review: Review, url: str, key: str = "", timeout: float = 60.0) -> int:
+    """Send the Markdown report as a comment (`{"body": ...}`) to an endpoint, such as that of a change under review; returns its status."""
+    headers = {"content-type": "application/json", **({"authorization": f"Bearer {key}"} if key else {})}
+    request = urllib.request.Request(url, json.dumps({"body": as_markdown(review)}).encode(), headers)
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return answer.status
+    except OSError as e:
+        raise ProcessingError("COMMENT_FAILED", "the report can't be posted", {"url": url}, e) from e
+
+
 def as_text(review: Review, colour: bool = False) -> str:
     codes = {"error": "31", "warning": "33", "info": "34"}
     paint = lambda s, text: f"\x1b[{codes.get(s, '37')}m{text}\x1b[0m" if colour else text

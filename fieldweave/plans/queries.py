@@ -622,6 +622,14 @@ def dead_letters(spark, sf_dir):
     return checks.validate(_untyped(spark, sf_dir), ["event_type"], {"user_id": "bigint"})[1].select("event_id", F.array_join("reasons", ";").alias("reasons"))
 
 
+@query("SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE event_type END AS event_type, CASE WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS tries FROM events")
+def repaired_rows(spark, sf_dir):
+    """Wrong types first, then missing event types are repaired; how many rounds a row took."""
+    digits = lambda d: d.withColumn("user_id", F.regexp_replace("user_id", "^x", ""))
+    typed = lambda d: d.withColumn("event_type", F.coalesce("event_type", F.lit("unknown")))
+    return checks.repair(_untyped(spark, sf_dir), ["event_type"], {"user_id": "bigint"}, [digits, typed])[0]
+
+
 @query("WITH s AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS period, count(*) AS n, avg(((value > 10)::INT + (user_id % 2 = 0)::INT) / 2.0) AS score FROM events GROUP BY ALL) SELECT event_type, period, n, round(score, 6) AS score, round(avg(score) OVER (PARTITION BY event_type ORDER BY period ROWS 6 PRECEDING), 6) AS trend FROM s")
 def quality_score_trend(spark, sf_dir):
     scores = checks.quality_scores(read(spark, sf_dir, "events"), ["event_type"], F.date_format("ts", "yyyy-MM-dd"), {"value": F.col("value") > 10, "user": F.col("user_id") % 2 == 0})

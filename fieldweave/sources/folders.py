@@ -23,10 +23,22 @@ class Folder:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
+    def files(self, suffix: str) -> list[tuple[str, int]]:
+        """Path and size of all files below, whatever their folders are called, sorted by path."""
+        found, listing = [], self._fs.listFiles(self._root, True)
+        while listing.hasNext():
+            f = listing.next()
+            if (path := f.getPath().toString()).endswith(suffix):
+                found.append((path, f.getLen()))
+        return sorted(found)
+
     def read(self, name: str) -> str:
+        return self.read_bytes(name).decode()
+
+    def read_bytes(self, name: str) -> bytes:
         stream = self._fs.open(self._at(name))
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
 

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fieldweave.errors import DataAccessError, NotFoundError
 from fieldweave.schemas import PROTO_FILE
+from fieldweave.sources.folders import Folder
 
 
 class _Files(InputPartition):
@@ -56,7 +57,7 @@ class ProtoFileSource(DataSource):
 def scan_folder(spark: SparkSession, path: str | Path) -> DataFrame:
     """All definition files below a folder; files that can't be read keep a row with `error`.
 
-    A folder given as URI is listed and read by Spark's own file source, which passes over empty files and hidden folders.
+    A folder given as URI is listed and read through Spark's file systems, empty files and hidden folders too.
     """
     if "://" in str(path):
         return _scan_remote(spark, str(path))
@@ -67,13 +68,22 @@ def scan_folder(spark: SparkSession, path: str | Path) -> DataFrame:
 
 
 def _scan_remote(spark: SparkSession, uri: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.proto").load(uri)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
+    folder = Folder(spark, uri)
+    listed = folder.files(".proto")  # the driver lists, as it does for local folders
+    below = len(folder.uri.rstrip("/")) + 1
+    reader = spark.read.format("binaryFile")
+    found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.proto").load(uri).select("path", "content")
+    # What Spark's file source passes over: files in hidden folders are named to it, those with hidden names of their own, which
+    # are few, are read by the driver, and empty files have nothing to read.
+    hidden = [p[below:].split("/") for p, size in listed if size and any(part[0] in "._" for part in p[below:].split("/") if part)]
+    if named := ["/".join([folder.uri.rstrip("/"), *parts]) for parts in hidden if parts[-1][0] not in "._"]:
+        found = found.union(reader.load(named).select("path", "content")).dropDuplicates(["path"])
+    if own := ["/".join(parts) for parts in hidden if parts[-1][0] in "._"]:
+        found = found.union(spark.createDataFrame([(f"{folder.uri.rstrip('/')}/{name}", bytearray(folder.read_bytes(name))) for name in own], "path string, content binary"))
+    order = spark.createDataFrame([(i, p, size) for i, (p, size) in enumerate(listed)], "file_ord bigint, path string, size bigint")
+    text = F.try_validate_utf8(F.when(F.col("size") == 0, F.lit("")).otherwise(F.col("content").cast("string")))
     error = F.when(text.isNull(), F.lit("UnicodeDecodeError: not UTF-8"))
-    # The driver lists, as it does for local folders.
-    names = sorted(r["path"] for r in found.select("path").collect())
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(names)], "file_ord bigint, path string")
-    return found.join(order, "path").select("file_ord", F.col("path").alias("file_path"), text.alias("content"), error.alias("error"))
+    return order.join(found, "path", "left").select("file_ord", F.col("path").alias("file_path"), text.alias("content"), error.alias("error"))
 
 
 def scan_file(spark: SparkSession, path: str | Path) -> DataFrame:

@@ -82,7 +82,9 @@ def drift(events: DataFrame, by: str, value: str, column: str = "ts", window: st
 
 
 def route(events: DataFrame, folder: str | Path, checkpoint: str, required: list[str], types: dict[str, str], partition: str, alert: Callable[[int, float], None] | None = None, alert_rate: float = 0.05):
-    """Write good rows by event type, others to dead letters, and call `alert` with batch and share where that passes the limit.
+    """Write good rows by event type, others to dead letters, and each batch's scores by event type (rows, rejected, share) for dashboards.
+
+    Calls `alert` with batch and share of rejected rows where that passes the limit.
 
     Each batch overwrites its own folder, so one that runs twice leaves one copy.
     """
@@ -93,8 +95,10 @@ def route(events: DataFrame, folder: str | Path, checkpoint: str, required: list
             good, bad = validate(df, required, types)
             good.write.mode("overwrite").partitionBy(partition).parquet(f"{folder}/clean/batch={number}")
             bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={number}")
-            n = df.count()
-            share = bad.count() / n if n else 0.0
+            scores = good.select(partition, F.lit(0).alias("bad")).union(bad.select(partition, F.lit(1))).groupBy(partition).agg(F.count("*").alias("n"), F.sum("bad").alias("rejected"))
+            scores.withColumn("share", F.col("rejected") / F.col("n")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/scores/batch={number}")
+            n, rejected = df.sparkSession.read.parquet(f"{folder}/scores/batch={number}").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rejected"), F.lit(0))).first()
+            share = rejected / n if n else 0.0
             if alert and share > alert_rate:
                 alert(number, share)
         finally:

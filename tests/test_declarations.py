@@ -176,3 +176,15 @@ def test_long_files_take_time_in_proportion():
 
     took(500)
     assert took(16_000) < 24 * max(took(1000), 0.01) * 3
+
+
+def test_remote_folders_keep_empty_and_hidden_files(spark, tmp_path):
+    for name, text in (("a.proto", "message A {\n}\n"), ("empty.proto", ""), (".hidden/b.proto", "message B {\n}\n"), ("_x/deep/c.proto", "message C {\n}\n"), ("d/.e.proto", "message E {\n}\n"), ("bad.proto", b"\xff"), ("other.txt", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    seen = []
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        rows = scan_folder(spark, folder).orderBy("file_ord").collect()
+        seen.append({(r["file_path"].split(str(tmp_path))[1], r["content"], r["error"] is None) for r in rows})
+        assert [r["file_ord"] for r in rows] == list(range(6))
+    assert seen[0] == seen[1] and len(seen[0]) == 6

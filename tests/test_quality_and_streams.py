@@ -58,6 +58,16 @@ def test_names_types_and_validation(spark):
     assert {(r["id"], tuple(r["reasons"])) for r in bad.collect()} == {(2, ("type of n",)), (3, ("missing user",))}
 
 
+def test_repairs_in_rounds(spark):
+    df = spark.createDataFrame([(1, "a", "7"), (2, "b", "x8"), (3, None, "x9"), (4, None, "?"), (5, "c", None)], "id int, user string, n string")
+    strip = lambda d: d.withColumn("n", F.regexp_replace("n", "^x", ""))
+    fill = lambda d: d.withColumn("user", F.coalesce("user", F.lit("nobody")))
+    good, bad = checks.repair(df, ["user"], {"n": "bigint"}, [strip, fill])
+    assert {tuple(r) for r in good.collect()} == {(1, "a", 7, 0), (2, "b", 8, 1), (3, "nobody", 9, 2), (5, "c", None, 0)}
+    assert [tuple(r) for r in bad.collect()] == [(4, None, "?", ["type of n"])]
+    assert checks.repair(df, ["user"], {"n": "bigint"}, [])[1].count() == 3
+
+
 def test_range_join(spark):
     rows = spark.createDataFrame([(1, 5), (2, 1500), (3, 99999), (4, None)], "id int, ip bigint")
     ranges = spark.createDataFrame([(0, 10, "a"), (1000, 3500, "b")], "lo bigint, hi bigint, owner string")
@@ -121,4 +131,6 @@ def test_routing(spark, events, tmp_path):
     clean, dead = spark.read.parquet(str(tmp_path / "out" / "clean")), spark.read.parquet(str(tmp_path / "out" / "dead_letters"))
     missing = df.where("value is null").count()
     assert clean.count() == 500 - missing and dead.count() == missing
+    scores = spark.read.parquet(str(tmp_path / "out" / "scores"))
+    assert scores.agg(F.sum("n"), F.sum("rejected")).first() == (500, missing) and scores.count() == 2
     assert len(alerts) == 1 and abs(alerts[0] - missing / 500) < 1e-9

@@ -174,7 +174,7 @@ class Endpoint(http.server.BaseHTTPRequestHandler):
         self.send_response(503 if len(Endpoint.asked) == 1 else 200)
         self.end_headers()
         if len(Endpoint.asked) > 1:
-            text = '```json\n[{"name": "c", "mappings": [{"field_name": "user"}]}]\n```' if "Fields:" in said["messages"][1]["content"] else '[{"title": "t"}]'
+            text = "" if "messages" not in said else '```json\n[{"name": "c", "mappings": [{"field_name": "user"}]}]\n```' if "Fields:" in said["messages"][1]["content"] else '[{"title": "t"}]'
             body = {"choices": [{"message": {"content": text}}]} if len(Endpoint.asked) % 2 else {"content": [{"text": text}]}
             self.wfile.write(json.dumps(body).encode())
 
@@ -194,7 +194,13 @@ def test_hosted_models(spark, monkeypatch):
     assert len(Endpoint.asked) == 3  # one failure, one batch asked once, one review
     said, key = Endpoint.asked[-1]
     assert said["model"] == "some-model" and key == "Bearer k"
+    review_ = review.Review("x.proto", None, spark.createDataFrame([(0, "t", "b", "info", [])], "ord int, title string, body string, severity string, fields array<string>"), 1, 0, 0, 1)
+    Endpoint.asked.append(None)
+    assert review.post_comment(review_, f"http://127.0.0.1:{server.server_port}/comments", "k") == 200
+    assert Endpoint.asked[-1][0]["body"].startswith("# Proto Review: x.proto")
     server.shutdown()
+    with pytest.raises(ProcessingError, match="COMMENT_FAILED"):
+        review.post_comment(review_, "http://127.0.0.1:9/none")
     with pytest.raises(ProcessingError, match="MODEL_CALL_FAILED"):
         models.ChatModel("http://127.0.0.1:9/none", "m", tries=1).ask("a", "b")
     with pytest.raises(ProcessingError, match="MODEL_ANSWER_UNKNOWN"):
