@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import langid, minhash, packing, secrets, suffixes
-from fieldweave.llm.common import Workspace
+from fieldweave.llm.common import Workspace, quoted
 from fieldweave.operators.positions import with_positions
 
 
@@ -20,23 +20,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Different texts of one id are documents of their own, in the order of their SHA-256.
     """
+    names = quoted(docs.columns)
     own = docs.where("doc_id is not null")
     if own.groupBy("doc_id").count().where("count > 1").isEmpty():
         found = minhash.near_duplicates(docs)
-        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    work, text_sum = Workspace(spark, "near_duplicates"), F.coalesce(F.sha2("text", 256), F.lit(""))
-    # The place of (id, text) in their order stands for the id.
-    numbers = work.save(with_positions(own.select("doc_id", text_sum.alias("_sum")).distinct(), "doc_id", ("_sum",), "_nr"), "numbers")
-    numbered = work.save(docs.withColumn("_sum", text_sum).join(numbers, ["doc_id", "_sum"], "left").select("_nr", *docs.columns), "numbered")
-    found = minhash.near_duplicates(numbered, "_nr")
-    kept = numbered.where("_nr is not null").dropDuplicates(["_nr"]).join(found.where("not kept").select("_nr").distinct(), "_nr", "left_anti")
-    return kept.select(*docs.columns).union(numbered.where("_nr is null").select(*docs.columns))
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*names)
+    work = Workspace(spark, "near_duplicates")
+    # The place of (id, text) in their order stands for the id. Inside, columns are named by their place, so that no name can clash.
+    given = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    key, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    given = given.select(key.alias("key"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("sum"), "*")
+    numbers = work.save(with_positions(given.where("key is not null").select("key", "sum").distinct(), "key", ("sum",), "nr"), "numbers")
+    numbered = work.save(given.join(numbers, ["key", "sum"], "left").drop("key", "sum"), "numbered")
+    found = minhash.near_duplicates(numbered, "nr", f"_{docs.columns.index('text')}")
+    kept = numbered.where("nr is not null").dropDuplicates(["nr"]).join(found.where("not kept").select("nr").distinct(), "nr", "left_anti")
+    kept = kept.unionByName(numbered.where("nr is null"))
+    return kept.select(*[f"_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 100 that start earlier; characters go only whole."""
-    found = suffixes.remove_repeats(docs, carry=tuple(docs.columns)).withColumnRenamed("kept_text", "text")
-    return secrets.with_length(found.select(*docs.columns), "text", "n_chars")
+    return secrets.with_length(suffixes.without_repeats(docs), "text", "n_chars")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
