@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from fieldweave.llm.common import bounded, crc32_of, lean, need
+from fieldweave.llm.common import Workspace, bounded, crc32_of, lean, map_rows, need
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+HELD = 20_000  # keys that a task counts before it sends them on
 
 
 def words_of(text: str) -> list[str]:
@@ -28,9 +30,11 @@ def grams_of(word: str, n: int) -> list[str]:
 class WordModel:
     """Log frequencies by language of the commonest words and n-grams.
 
-    orders[0] gives the row in `logs` of words, orders[n] that of n-grams.
+    orders[0] gives the row in `logs` of words, orders[n] that of n-grams. Scores of up to `cache` words are kept for the next text.
     """
 
+    cache = 50_000
+
     def __init__(self, langs: list[str], orders: list[dict[str, int]], logs: np.ndarray):
         self.langs, self.orders, self.logs = langs, orders, logs
         self.reset()
@@ -106,11 +110,12 @@ class WordModel:
         """The likeliest language and its share. Scores of long texts are scaled down to those of `evidence` words."""
         z, n = np.zeros(len(self.langs)), 0
         for part in parts_of(text or ""):
-            if len(self.row) > 150_000:
+            if len(self.row) > self.cache:
                 self.reset()
-            rows = [r for r in self.rows(words_of(part)) if r]
-            z += self.table[rows].sum(axis=0) if rows else 0
-            n += len(rows)
+            seen = Counter(words_of(part))
+            rows, times = np.array(self.rows(list(seen)), np.int64), np.fromiter(seen.values(), np.int64, len(seen))
+            z += times @ self.table[rows] if len(rows) else 0
+            n += int(times[rows > 0].sum())
         if not n or not self.langs:
             return "und", 0.0
         z *= min(1.0, evidence / n)
@@ -133,8 +138,9 @@ def parts_of(text: str, size: int = 1 << 18):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 5_000, words: int = 120_000, grams: int = 30_000) -> WordModel:
     """Learn from texts and non-null languages of rows whose crc32(id) mod 5 is not 0.
 
-    At most about `per_lang` rows of each language are used, chosen by a hash of the id. Their words and n-grams are counted where
-    they lie; the model keeps the commonest, `words` and `grams` of each order in all, so its size is bounded whatever the input.
+    At most about `per_lang` rows of each language are used, chosen by a hash of the id. Words are counted where the texts lie and
+    summed by word; n-grams come from the sums, each distinct word once. The model keeps the commonest, `words` and `grams` of each order
+    in all, ties in the order of code points, so its size is bounded whatever the input. Without such rows nothing is learned.
     """
     src = need(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     src = src.where((crc32_of("id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -144,35 +150,48 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return WordModel([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     chosen = src.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    work = Workspace(docs.sparkSession, "language")
 
     @lean
-    def count(batches):
-        seen: Counter = Counter()
+    def count_words(batches):
+        seen: dict[str, Counter] = {}
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in words_of(text))
-            if len(seen) > 200_000:
-                yield from flush(seen)
-                seen = Counter()
+            for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for part in parts_of(text.as_py()):
+                    seen.setdefault(lang, Counter()).update(words_of(part))
+                    if sum(map(len, seen.values())) > HELD:
+                        yield from flush(seen)
         yield from flush(seen)
 
     def flush(seen):
-        out: Counter = Counter()
-        for (lang, w), n in seen.items():
-            out[0, lang, w] += n
-            for k in range(1, LONGEST + 1):
-                for g in grams_of(w, k):
-                    out[k, lang, g] += n
-        items = list(out.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part]), pa.array([k[2] for k, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["k", "lang", "gram", "n"])
-
-    counted = chosen.select("text", "lang").mapInArrow(count, "k int, lang string, gram string, n bigint").groupBy("k", "lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    place = F.row_number().over(Window.partitionBy("k", "lang").orderBy(F.desc("n"), "gram"))
-    most = F.when(F.col("k") == 0, words // len(langs)).otherwise(grams // len(langs))
-    kept = counted.withColumn("place", place).where(F.col("place") <= max(words, grams) // len(langs)).where(F.col("place") <= most)
-    t = kept.select("k", "lang", "gram", "n").toArrow()
+        for lang, counter in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["lang", "gram", "n"])
+        seen.clear()
+
+    @lean
+    def count_grams(batches):
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                counter = seen.setdefault(lang, Counter())
+                for k in range(1, LONGEST + 1):
+                    for g in grams_of(word, k):
+                        counter[f"{k}{g}"] += n
+                if sum(map(len, seen.values())) > HELD:
+                    yield from flush(seen)
+        yield from flush(seen)
+
+    kind = "lang string, gram string, n bigint"
+    counted = work.save(chosen.select("text", "lang").mapInArrow(count_words, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words", thin=True)
+    by_order = counted.mapInArrow(count_grams, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(F.substring("gram", 1, 1).cast("int").alias("k"), "lang", F.expr("substring(gram, 2)").alias("gram"), "n")
+
+    def commonest(table: DataFrame, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("k", "lang").orderBy(F.desc("n"), "gram"))
+        return table.withColumn("place", place).where(F.col("place") <= most // len(langs)).select("k", "lang", "gram", "n")
+
+    kept = commonest(counted.withColumn("k", F.lit(0)), words).unionByName(commonest(by_order, grams))
+    t = kept.toArrow()
+    work.drop(counted)
     return WordModel.from_counts(langs, zip(*(t.column(c).to_pylist() for c in ("k", "lang", "gram", "n")), strict=True))
 
 
@@ -180,7 +199,8 @@ def identify(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col
     """One row for each row of `docs`: id, held_out, lang_pred, score.
 
     `lang_pred` is `und`, with score 0, if the text is null, empty or has no letter, or if nothing was learned. Equal scores go to the
-    language first in alphabetical order. Null ids count as learned from (held_out false). Repeated rows stay.
+    language first in alphabetical order. Null ids count as learned from (held_out false). Repeated rows stay. Very long texts are
+    read whole, in parts. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = need(docs, id_col, text_col).withColumn("held_out", F.coalesce(crc32_of(id_col) % 5 == 0, F.lit(False)))
@@ -189,9 +209,10 @@ def identify(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col
     def run(batches):
         for b in batches:
             found = [shared.value.predict(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["_0", "_1", "_2", "_3"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    kinds = [src.schema[id_col], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return map_rows(src, run, StructType(kinds))
 
 
 def keep_identified(docs: DataFrame, model: WordModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -213,4 +234,4 @@ def keep_identified(docs: DataFrame, model: WordModel, text_col: str = "text", l
                 keep.append(score >= least if shared.value.langs else any(map(str.isalpha, text or "")))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -6,13 +6,14 @@ offsets, so only strings around anchors that occur more than once can repeat. Th
 1. Anchors of all texts are grouped by hash; those that occur once are forgotten.
 2. The others fetch their surroundings, at most 2 * length - k bytes each, and meet again by hash.
 3. There, the suffixes that start at equal anchors are sorted by a mergesort that compares two suffixes by binary search for their
-   common extension over prefix polynomial hashes; so are the prefixes that end there, read backwards. Extensions of neighbours
-   are verified on the bytes. Neighbours in both orders tell which strings around the anchors are equal.
+   common extension over prefix polynomial hashes; so are the prefixes that end there, read backwards. The order and the extensions of
+   neighbours are verified on the bytes; where a collision misled them, a plain sort of the bytes takes their place. Neighbours in
+   both orders tell which strings around the anchors are equal.
 4. Intervals go back to their texts.
 
-Rows travel in compressed blocks, many to a row. Equal surroundings are compared once. Anchors with more than `hot` instances aren't
-brought together: their strings are sent one by one under their own 128-bit hash, after equal ones of the same block of texts have been
-settled there, so that no key gathers more than one row for each block.
+Rows travel in compressed blocks, many to a row, in cells of a bounded number of bytes, one to a task. Equal surroundings are compared
+once. Anchors with more than `hot` instances aren't brought together: their strings are sent one by one under a 128-bit BLAKE2 digest, after
+equal ones of the same block of texts have been settled there, so that no key gathers more than one row for each block.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mix64, runs_of, utf8_view
+from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mix64, runs_of, same_spans, utf8_view
 from fieldweave.operators.positions import with_positions
 
-_hash, _second = PrefixHash(71), PrefixHash(72)
+_hash = PrefixHash(71)
 _LOW = U64((1 << 24) - 1)
 
 
@@ -155,18 +157,37 @@ class Surroundings:
             new[goal] = order[at]
             order, width = new, width * 2
 
-    def extensions(self, order: np.ndarray, group: np.ndarray, forward: bool) -> np.ndarray:
-        """The common extension of each suffix with the one before it in the order, verified on the bytes; 0 across groups."""
+    def extensions(self, order: np.ndarray, group: np.ndarray, forward: bool) -> np.ndarray | None:
+        """The common extension of each suffix with the one before it in the order; 0 across groups.
+
+        Verified on the bytes: neighbours agree in all of it, and what follows puts them in this order. None if that fails.
+        """
         x, y = order[:-1], order[1:]
-        n = np.where(group[x] == group[y], self.common(x, y, forward), 0)
-        for i in range(0, len(n), 1 << 13):
-            m = n[i : i + (1 << 13)]
-            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            a, b = np.repeat(self.anchor[x[i : i + len(m)]], m), np.repeat(self.anchor[y[i : i + len(m)]], m)
-            a, b = (a + k, b + k) if forward else (a - 1 - k, b - 1 - k)
-            if not np.array_equal(self.data[a], self.data[b]):
-                raise ArithmeticError("two different strings have one hash")
-        return np.r_[0, n]
+        inside = group[x] == group[y]
+        n = np.where(inside, self.common(x, y, forward), 0)
+        a, b = (self.anchor[x], self.anchor[y]) if forward else (self.anchor[x] - n, self.anchor[y] - n)
+        if not same_spans(self.data, a, self.data, b, n).all():
+            return None
+        size, last = (self.right if forward else self.left), len(self.data) - 1
+        p, q = (self.anchor[x] + n, self.anchor[y] + n) if forward else (self.anchor[x] - n - 1, self.anchor[y] - n - 1)
+        p = np.where(n < size[x], self.data[np.clip(p, 0, last)].astype(np.int64), -1)
+        q = np.where(n < size[y], self.data[np.clip(q, 0, last)].astype(np.int64), -1)
+        return np.r_[0, n] if ((p < q) | ~inside | ((p == q) & (p == -1))).all() else None
+
+    def sorted(self, group: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The order of all suffixes within their groups, and their extensions, both true of the bytes."""
+        order = self.sort(group, forward)
+        if (n := self.extensions(order, group, forward)) is not None:
+            return order, n
+        ends = (self.anchor + self.right if forward else self.anchor - self.left).tolist()
+        keys = [self.data[a:e].tobytes() if forward else self.data[e:a][::-1].tobytes() for a, e in zip(self.anchor.tolist(), ends, strict=True)]
+        order = np.array(sorted(range(len(keys)), key=lambda i: (group[i], keys[i])), np.int64)
+        n = [0]
+        for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            x, y = (np.frombuffer(keys[k][: min(len(keys[i]), len(keys[j]))], np.uint8) for k in (i, j))
+            differ = np.flatnonzero(x != y)
+            n.append(0 if group[i] != group[j] else int(differ[0]) if len(differ) else len(x))
+        return order, np.array(n)
 
 
 def repeated_strings(group, ids, place, least, most, data, start, size, length):
@@ -186,18 +207,14 @@ def repeated_strings(group, ids, place, least, most, data, start, size, length):
     first = np.empty(len(by), np.int64)
     first[order] = head
     copy = np.flatnonzero(first != np.arange(len(by)))
-    for i in range(0, len(copy), 1 << 13):
-        c = copy[i : i + (1 << 13)]
-        n = np.minimum(size[c], size[first[c]])
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        equal = data[np.repeat(start[c], n) + k] == data[np.repeat(start[first[c]], n) + k]
-        if not (equal.all() and (size[c] == size[first[c]]).all()):
-            raise ArithmeticError("two different strings have one hash")
+    like = np.logical_and.reduce([c[copy] == c[first[copy]] for c in (group, least, most, size)])
+    like[like] = same_spans(data, start[copy[like]], data, start[first[copy[like]]], size[copy[like]])
+    first[copy[~like]] = copy[~like]  # two different strings under one hash: each is sorted
+    copy = copy[like]
     kept = np.flatnonzero(first == np.arange(len(by)))
     g, lo, hi = group[kept], least[kept], most[kept]
     s = Surroundings(data, start[kept], size[kept], hi)
-    forward, backward = s.sort(g, True), s.sort(g, False)
-    right, left = s.extensions(forward, g, True), s.extensions(backward, g, False)
+    (forward, right), (backward, left) = s.sorted(g, True), s.sorted(g, False)
     span = int(hi.max(initial=0)) + 1
     dup = np.zeros((len(kept), span + 2), bool)
     classes = np.empty((2, len(kept)), np.int64)
@@ -238,11 +255,6 @@ def _rows(found, schema=("cell", "kind", "block")):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=list(schema))
 
 
-def _home(ids: np.ndarray, cells: int) -> np.ndarray:
-    """The cell that a text's blocks go to."""
-    return (mix64(ids.view(U64) + U64(99)) % U64(cells)).astype(np.int64)
-
-
 def small(batches, rows: int = 2048):
     """The same rows in batches of at most so many."""
     for b in batches:
@@ -253,9 +265,10 @@ def small(batches, rows: int = 2048):
 ROW = "cell bigint, kind int, block binary"
 COPY, REFS, TEXT = 0, 1, 2
 AROUND, STRINGS, DONE = 0, 1, 2
+FOUND = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 30, hot: int = 1000, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 30, hot: int = 1000, with_text: bool = True, carry: tuple[str, ...] = (), cell_bytes: int = 16 << 20) -> DataFrame:
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns in `carry`.
 
     Removed is each UTF-8 byte covered by a string of `length` bytes that also starts earlier, in a smaller id or before in the same
@@ -265,27 +278,69 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts, and texts shorter than `length`, lose nothing; a null text counts as empty and its kept text is null. Of equal
     texts the smallest id loses only what the rest of the table makes it lose, the others everything. Rows without id are compared
     with nothing. Rows with equal ids and equal texts count as one. Different texts of one id are compared like those of different ids,
-    in the order of their SHA-256. An empty table gives an empty result. Ids are bigints.
+    in the order of their SHA-256. An empty table gives an empty result. Ids are bigints. A text is held whole by the task that cuts it.
+    A task holds a cell of about `cell_bytes` of texts, however large the table.
     """
+    extra = [c for c in carry if c not in (id_col, text_col)]
+    out = _cut_repeats(docs, id_col, text_col, extra, length, k, hot, with_text, cell_bytes)
+    return out.toDF(id_col, *FOUND, *extra)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` with the same columns, the text without its repeats: `kept_text` of remove_repeats()."""
+    extra = [c for c in docs.columns if c not in (id_col, text_col)]
+    at = {id_col: "_id", text_col: "kept_text"} | {c: f"_{i}" for i, c in enumerate(extra)}
+    settings = {"length": 100, "k": 30, "hot": 1000, "cell_bytes": 16 << 20} | settings
+    out = _cut_repeats(docs, id_col, text_col, extra, with_text=True, **settings).select(*[at[c] for c in docs.columns])
+    return out.toDF(*docs.columns)
+
+
+def _even_cells(spark, n: int) -> np.ndarray:
+    """n values of a bigint column that a repartition by it into n partitions deals one to each."""
+    tried = spark.range(n * (8 + 2 * n.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in tried.collect()}  # one row for each partition
+    return np.array([found.get(p, -1 - p) for p in range(n)], np.int64)
+
+
+def _cut_repeats(docs, id_col, text_col, extra, length, k, hot, with_text, cell_bytes) -> DataFrame:
+    """remove_repeats() with inner names: _id, those of FOUND, and the extra columns by place, _0 and so on."""
     spark = docs.sparkSession
     work = Workspace(spark, "suffixes")
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    extra = [c for c in carry if c not in (id_col, text_col)]
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in extra])
+    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(extra)])
+    kinds_of_extra = [src.schema[f"_{i}"].dataType for i in range(len(extra))]
     own = once = src.where("_id is not null")
     text_sum = F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256))
     sums = work.save(own.select("_id", text_sum.alias("_sum"), F.octet_length("_text").alias("size")), "sums")
+    size = sums.agg(F.sum("size")).first()[0] or 0
+    cells = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (cell_bytes >> 6))), -(-size // cell_bytes))
+    name_of = _even_cells(spark, cells)
     given = F.col("_id")
     if not sums.groupBy("_id").count().where("count > 1").isEmpty():
         # Ids repeat: below, the place of (id, text) in their order stands for the id, which goes along as a column, and rows that
         # are equal in both are compared once.
         numbers = work.save(with_positions(sums.select("_id", "_sum").distinct(), "_id", ("_sum",), "_nr"), "numbers")
         src = src.withColumn("_sum", text_sum).join(numbers, ["_id", "_sum"], "left")
-        src = work.save(src.select(F.col("_nr").alias("_id"), "_text", *[F.col(f"`{c}`") for c in extra], F.col("_id").alias("_given")), "numbered")
+        src = work.save(src.select(F.col("_nr").alias("_id"), "_text", *[f"_{i}" for i in range(len(extra))], F.col("_id").alias(f"_{len(extra)}")), "numbered")
         own = src.where("_id is not null")
         once = work.save(own.select("_id", "_text").dropDuplicates(["_id"]), "once")
         sums = sums.join(numbers, ["_id", "_sum"]).select(F.col("_nr").alias("_id"), "_sum", "size")
-        given, extra = F.col(f"_{len(extra)}"), [*extra, "_given"]
+        given, kinds_of_extra = F.col(f"_{len(extra)}"), [*kinds_of_extra, LongType()]
+
+    def _home(ids: np.ndarray) -> np.ndarray:
+        """The cell that a text's blocks go to."""
+        return name_of[(mix64(ids.view(U64) + U64(99)) % U64(cells)).astype(np.int64)]
+
+    def cell_of(h: np.ndarray) -> np.ndarray:
+        """The cell that a hash's blocks go to."""
+        return name_of[(h % U64(cells)).astype(np.int64)]
+
+    def intervals_of(ids, frm, to):
+        """Blocks of intervals by the home of their text."""
+        ids, frm, to = _joined(ids, frm, to)
+        return _blocks(_home(ids), ids, frm.astype(np.uint32), to.astype(np.uint32))
+
+    def dealt(df: DataFrame, *order: str) -> DataFrame:
+        return df.repartition(cells, "cell").sortWithinPartitions("cell", *order)
 
     @lean
     def find(batches):
@@ -293,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, off = utf8_view(b.column(1))
             row, place, least, most, h = anchors(data, off, length, k)
             ids = b.column(0).to_numpy()
-            yield from _rows([(c, 0, x) for c, x in _blocks((h % U64(cells)).astype(np.int64), h, ids[row], place.astype(np.uint32), least.astype(np.uint16), most.astype(np.uint16))])
+            yield from _rows([(c, 0, x) for c, x in _blocks(cell_of(h), h, ids[row], place.astype(np.uint32), least.astype(np.uint16), most.astype(np.uint16))])
 
     @lean
     def shared(batches):
@@ -303,27 +358,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             new = np.r_[True, h[by][1:] != h[by][:-1]]
             count = np.diff(np.r_[np.flatnonzero(new), len(h)])[np.cumsum(new) - 1]
             by, count = by[count > 1], count[count > 1]
-            yield from _rows([(c, REFS, x) for c, x in _blocks(_home(ids[by], cells), ids[by], place[by], least[by], most[by], h[by], count > hot)])
+            yield from _rows([(c, REFS, x) for c, x in _blocks(_home(ids[by]), ids[by], place[by], least[by], most[by], h[by], count > hot)])
 
-    refs = once.select("_id", "_text").mapInArrow(find, ROW).repartition("cell").sortWithinPartitions("cell").mapInArrow(shared, ROW)
+    refs = dealt(once.select("_id", "_text").mapInArrow(find, ROW)).mapInArrow(shared, ROW)
     # Of equal texts, all but the smallest id: they need no comparison.
     sums = sums.where(F.col("size") >= length).select("_id", F.col("_sum").alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").select("sum", "first")
-    firsts = work.save(firsts, "firsts")  # so that the join has shuffles of its own, whose hot keys Spark can split
-    copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies")
+    firsts = work.save(firsts, "firsts", thin=True)  # so that the join has shuffles of its own, whose hot keys Spark can split
+    copies = work.save(sums.join(firsts, "sum").where("_id <> first").select("_id"), "copies", thin=True)
 
     @lean
     def as_copies(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
-            yield from _rows([(c, COPY, x) for c, x in _blocks(_home(ids, cells), ids)])
+            yield from _rows([(c, COPY, x) for c, x in _blocks(_home(ids), ids)])
 
-    def ship(columns: int):
+    def ship():
         @lean
         def run(batches):
             options = pa.ipc.IpcWriteOptions(compression="zstd")
             for b in small(batches):
-                home, found = _home(b.column(0).to_numpy(), cells), []
+                home, found = _home(b.column(0).to_numpy()), []
                 by = np.argsort(home, kind="stable")
                 b, home = b.take(pa.array(by)), home[by]
                 for i, j in _stretches(home):
@@ -339,9 +394,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         union = parts[0]
         for p in parts[1:]:
             union = union.union(p)
-        return union.repartition("cell").sortWithinPartitions("cell", "kind")
+        return dealt(union, "kind")
 
-    texts = once.select("_id", "_text").where(F.octet_length("_text") >= length).mapInArrow(ship(2), ROW)
+    texts = once.select("_id", "_text").where(F.octet_length("_text") >= length).mapInArrow(ship(), ROW)
 
     def texts_of(blocks):
         return pa.Table.from_batches([x for b in blocks for x in pa.ipc.open_stream(b)])
@@ -370,11 +425,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if lone:
                 one, two, ids, at = (np.concatenate(c) for c in zip(*lone, strict=True))
                 f, d = first_of(one, two, ids, at)
-                found = [(c, STRINGS, x) for c, x in _blocks((one[f] % U64(cells)).astype(np.int64), one[f], two[f], ids[f], at[f].astype(np.uint32))]
-                yield from _rows(found + [(c, DONE, x) for c, x in _intervals(ids[d], at[d], at[d] + length, cells)])
+                found = [(c, STRINGS, x) for c, x in _blocks(cell_of(one[f]), one[f], two[f], ids[f], at[f].astype(np.uint32))]
+                yield from _rows(found + [(c, DONE, x) for c, x in intervals_of(ids[d], at[d], at[d] + length)])
 
     def first_of(one, two, ids, at):
-        """The rows with the smallest (id, place) of each pair of hashes, and the others."""
+        """The rows with the smallest (id, place) of each digest, given as two numbers, and the others."""
         by = np.lexsort((at, ids, two, one))
         again = np.r_[False, (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])] if len(by) else np.zeros(0, bool)
         return by[~again], by[again]
@@ -392,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = most - least + length
         found = []
         cold = np.flatnonzero(~busy)
-        cell = (h % U64(cells)).astype(np.int64)
+        cell = cell_of(h)
         by = cold[np.argsort(cell[cold], kind="stable")]
         for i, j in _stretches(cell[by]):
             w = by[i:j]
@@ -405,17 +460,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             who = np.repeat(warm, n)
             begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[who]
             at = begin - start[who] + place[who] - most[who]
-            one, two = (mix64(x.span(x.prefix(data), begin, begin + length)) for x in (_hash, _second))
+            raw = data.tobytes()
+            digests = b"".join(hashlib.blake2b(raw[x : x + length], digest_size=16).digest() for x in begin.tolist())
+            one, two = np.frombuffer(digests, U64).reshape(-1, 2).T
             f, d = first_of(one, two, ids[who], at)
             lone.append((one[f], two[f], ids[who[f]], at[f]))
-            found += [(c, DONE, x) for c, x in _intervals(ids[who[d]], at[d], at[d] + length, cells)]
+            found += [(c, DONE, x) for c, x in intervals_of(ids[who[d]], at[d], at[d] + length)]
         yield from _rows(found)
 
     @lean
     def settle(batches):
         for t in by_cell(batches):
             near, strings, done = kinds(t)
-            found = [(int(_home(unpack(x)[0][:1], cells)[0]), REFS, x) for x in done]
+            found = [(int(_home(unpack(x)[0][:1])[0]), REFS, x) for x in done]
             if near:
                 parts = [unpack(x) for x in near]
                 group, ids, place, least, most, data = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -434,20 +491,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     bytes_ = data[np.arange(n.sum()) + np.repeat(start[w] - (np.cumsum(n) - n), n)]
                     row, frm, to = repeated_strings(group[w], ids[w], place[w], least[w], most[w], bytes_, np.cumsum(n) - n, n, length)
                     row = w[row]
-                    found += [(c, REFS, x) for c, x in _intervals(ids[row], place[row] - to, place[row] - frm + length, cells)]
+                    found += [(c, REFS, x) for c, x in intervals_of(ids[row], place[row] - to, place[row] - frm + length)]
                     a = b
             if strings:
                 one, two, ids, at = unpack_all(strings)
                 at = at.astype(np.int64)
                 _, d = first_of(one, two, ids, at)
-                found += [(c, REFS, x) for c, x in _intervals(ids[d], at[d], at[d] + length, cells)]
+                found += [(c, REFS, x) for c, x in intervals_of(ids[d], at[d], at[d] + length)]
             yield from _rows(found)
 
     gone = copies.mapInArrow(as_copies, ROW)
     # A block of finished intervals needs no meeting: it may go through any cell.
-    met = by_home(gone, refs, texts).mapInArrow(around, ROW).repartition("cell").sortWithinPartitions("cell").mapInArrow(settle, ROW)
+    met = dealt(by_home(gone, refs, texts).mapInArrow(around, ROW)).mapInArrow(settle, ROW)
     intervals = work.save(met, "intervals")
-    whole = own.mapInArrow(ship(2 + len(extra)), ROW)
+    whole = own.mapInArrow(ship(), ROW)
 
     @lean
     def cut(batches):
@@ -474,15 +531,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 runs = merge(frm[a[r] : b[r]], to[a[r] : b[r]])
             out.append((len(text), sum(y - x for x, y in runs), len(runs), hashlib.sha256(without(text, runs)).hexdigest(), without(text, whole_characters(text, runs)).decode("utf-8", "replace") if with_text and not null[r] else None))
         kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        for batch in pa.Table.from_arrays([t.column(0), *[pa.array([x[i] for x in out], kinds_[i]) for i in range(5)], *[t.column(2 + i) for i in range(len(extra))]], names=names).combine_chunks().to_batches():
+        for batch in pa.Table.from_arrays([t.column(0), *[pa.array([x[i] for x in out], kinds_[i]) for i in range(5)], *[t.column(2 + i) for i in range(len(kinds_of_extra))]], names=names).combine_chunks().to_batches():
             yield batch
 
-    names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *[f"_{i}" for i in range(len(extra))]]
-    schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string" + "".join(f", _{i} {src.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
+    names = ["_id", *FOUND, *[f"_{i}" for i in range(len(kinds_of_extra))]]
+    schema = StructType.fromDDL("_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    schema = StructType([*schema.fields, *[StructField(f"_{i}", kind) for i, kind in enumerate(kinds_of_extra)]])
     out = by_home(gone, intervals, whole).mapInArrow(cut, schema)
-    lone = src.where("_id is null").withColumn("_t", F.coalesce("_text", F.lit(""))).select("_id", F.octet_length("_t").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("_t", 256).alias("kept_sha256"), F.col("_text").alias("kept_text") if with_text else F.lit(None).cast("string").alias("kept_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(extra)])
-    out = out.union(lone)
-    return out.select(given.alias(id_col), *names[1:6], *[F.col(f"_{i}").alias(c) for i, c in enumerate(extra) if c != "_given"])
+    lone = src.where("_id is null").withColumn("_t", F.coalesce("_text", F.lit(""))).select("_id", F.octet_length("_t").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("_t", 256).alias("kept_sha256"), F.col("_text").alias("kept_text") if with_text else F.lit(None).cast("string").alias("kept_text"), *[f"_{i}" for i in range(len(kinds_of_extra))])
+    return out.union(lone).select(given.alias("_id"), *FOUND, *[f"_{i}" for i in range(len(extra))])
 
 
 def merge(frm, to) -> list[tuple[int, int]]:
@@ -513,8 +570,8 @@ def whole_characters(text: np.ndarray, runs):
             yield a, b
 
 
-def _intervals(ids, frm, to, cells):
-    """Blocks of intervals by the home of their text; neighbours that touch become one."""
+def _joined(ids, frm, to):
+    """Intervals by id, where neighbours that touch are one."""
     by = np.lexsort((frm, ids))
     ids, frm, to = ids[by], frm[by], to[by]
     if len(ids):
@@ -522,4 +579,4 @@ def _intervals(ids, frm, to, cells):
         new = np.r_[True, (ids[1:] != ids[:-1]) | (frm[1:] > to[:-1])]
         first = np.flatnonzero(new)
         ids, frm, to = ids[first], frm[first], np.maximum.reduceat(to, first)
-    return _blocks(_home(ids, cells), ids, frm.astype(np.uint32), to.astype(np.uint32))
+    return ids, frm, to

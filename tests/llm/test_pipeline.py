@@ -103,6 +103,22 @@ def test_run_gives_the_last_stage(spark, stages):
     assert keyed(queries.queries()["pipeline"](spark, str(stages[0]))) == keyed(stages[1][4])
 
 
+CLASHING = ["_id", "_0", "n_bytes", "kept_text", "key", "nr", "sum", "cell", "component_id", "kept", "a.b", "score", "doc_id2"]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stages_keep_columns_of_any_name(spark, repeated):
+    texts = [(k, spoken("aa", k, 30), f"x{k}") for k in range(6)] + [(7, spoken("aa", 3, 30), "x7")] + ([(5, spoken("aa", 90, 30), "y"), (5, spoken("aa", 90, 30), "y")] if repeated else [])
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t), *[x] * len(CLASHING)) for i, t, x in texts], SCHEMA + "".join(f", `{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")] + CLASHING, name
+        got = {(r["doc_id"], *r[5:]) for r in docs.collect()}
+        want = [(i, *[x] * len(CLASHING)) for i, _, x in texts if i != 7 or name == "language"]
+        assert got == set(want), name
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, "").collect()} == {i for i, *_ in want}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
