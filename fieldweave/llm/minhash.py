@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import U64, Workspace, lean, mix64, need
+from fieldweave.llm.common import U64, Workspace, gather, lean, mix64, need, runs_of
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.shingles import shingle_sets
+from fieldweave.llm.shingles import exact_counts, shingle_sets, word_digests
 
 SAMPLES, BANDS = 128, 32
 BINS, BITS = 4096, 2048  # samples that an odd sketch folds, and its width
@@ -86,19 +86,17 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     @lean
     def run(batches):
         for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
-            n, keys, samples, odd, used = [], [], [], [], []
+            n, samples, odd, used = [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
-                keys.append((int(mix64(s).sum(dtype=U64)), int(mix64(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64))))
                 samples.append(minhash(s))
                 sketch, m = odd_sketch(s)
                 odd.append(sketch)
                 used.append(m)
             if not n:
                 continue
-            m = np.array(samples, np.uint32)
-            bands = band_keys(m).astype(np.int64)
-            key = np.array(keys, U64).astype(np.int64)
+            key = np.frombuffer(b"".join(word_digests(b.column(1))), np.int64).reshape(-1, 2)
+            bands = band_keys(np.array(samples, np.uint32)).astype(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (bands, np.array(odd, U64).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(used, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=["id", "n", "used", "k1", "k2", "bands", "sketch"])
 
@@ -115,9 +113,9 @@ def _near(a: Column, b: Column, parts: int, whole: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+    """The pairs (a, b) whose full sets, compared by their words, are similar enough.
 
-    Sets are made anew from the texts, but only for ids that a bitmap of fixed size (2**22 bits, 0.5 MB) lets through; the joins
+    Texts are read anew, but only those of ids that a bitmap of fixed size (2**22 bits, 0.5 MB) lets through; the joins
     then decide, so a full bitmap costs time, not results.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -129,38 +127,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole:
     bits = bitmap.view(np.uint8)
 
     @lean
-    def run(batches):
+    def wanted(batches):
         for b in batches:
             x = b.column(2).to_numpy()
             b = b.filter(pa.array((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1))
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                sets = [s.astype(np.int64) for s in shingle_sets(part.column(1), words)]
-                off = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets)))], names=["id", "s"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary())], names=["id", "t"])
 
-    sets = docs.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(run, "id bigint, s array<bigint>")
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    two = one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    return two.where(both * whole >= (F.size("sa") + F.size("sb") - both) * parts).select("a", "b")
+    @lean
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                n, m, both = exact_counts(x.as_py(), y.as_py(), words)
+                keep.append(both * whole >= (n + m - both) * parts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = docs.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id bigint, t binary").dropDuplicates(["id"])
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    two = one.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    return two.select("a", "b", "ta", "tb").mapInArrow(compare, "a bigint, b bigint")
 
-def _block_pairs(rows: DataFrame, parts: int, whole: int, block: int) -> DataFrame:
-    """Pairs of different components in the same bucket whose sketches are near, from rows (cell, pos, id, c, n, used, l, r, sketch, tags).
 
-    Rows come sorted by cell; each is compared with those after it in its cell. A cell has two blocks at most, so what is held is
-    bounded; only pairs that pass leave the task, and only from the first band (`pos`) whose keys, here their tags, they share.
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (key, pos, id, c, n) dealt into cells of at most `block` members and `block` queries: cell, ask, pos, id, c, main.
+
+    Only pairs of different components matter. So in each bucket the largest component's rows are members only; all rows of the others
+    are queries too. Sets of similar size fall into the same or neighbouring size classes, so a query visits three classes.
+    """
+    rows = rows.withColumn("s", F.floor(F.log("n") / math.log(4 / 3)).cast("int"))
+    sizes = rows.groupBy("key", "s", "c").agg(F.count("*").alias("m"))
+    mains = sizes.groupBy("key", "c").agg(F.sum("m").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    sizes = sizes.join(mains, "key")
+    classes = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
+    asked = sizes.where("c <> main").select("key", classes.alias("s"), "m").groupBy("key", "s").agg(F.ceil(F.sum("m") / block).cast("int").alias("qb"))
+    shape = sizes.groupBy("key", "s", "main").agg(F.ceil(F.sum("m") / block).cast("int").alias("mb")).join(asked, ["key", "s"])
+    member = rows.join(shape, ["key", "s"]).withColumns({"mine": F.pmod(F.xxhash64("id"), "mb").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("qb") - 1)), "ask": F.lit(0)})
+    query = rows.join(mains, "key").where("c <> main").drop("main").withColumn("s", classes).join(shape, ["key", "s"])
+    query = query.withColumns({"mine": F.explode(F.sequence(F.lit(0), F.col("mb") - 1)), "other": F.pmod(F.xxhash64("id"), "qb").cast("int"), "ask": F.lit(1)})
+    cell = F.xxhash64("key", "s", "mine", "other").alias("cell")
+    return member.select(cell, "ask", "pos", "id", "c", (F.col("c") == F.col("main")).cast("int").alias("main")).unionByName(query.select(cell, "ask", "pos", "id", "c", F.lit(0).alias("main")))
+
+
+def _cell_pairs(rows: DataFrame, parts: int, whole: int) -> DataFrame:
+    """Pairs of a query and a member of its cell, of different components, whose sketches are near.
+
+    Rows (cell, ask, pos, id, c, main, n, used, sketch, bands) come sorted by cell. What is held is one batch and one cell; only pairs
+    that pass leave the task, and only from the first band (`pos`) whose key they share.
     """
 
     @lean
     def run(batches):
         held = None
-        for b in _with_end(batches):
-            if b is None:
-                if held is not None:
-                    yield from compare(held)
-                return
+        for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             cell = t.column("cell").to_numpy()
             cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
@@ -168,27 +187,25 @@ def _block_pairs(rows: DataFrame, parts: int, whole: int, block: int) -> DataFra
                 yield from compare(t.slice(0, cut))
                 t = t.slice(cut)
             held = t if t.num_rows else None
+        if held is not None:
+            yield from compare(held)
 
     def compare(t):
-        cell, ids, c, n, used, left, right = (t.column(k).to_numpy() for k in ("cell", "id", "c", "n", "used", "l", "r"))
-        sketch = t.column("sketch").combine_chunks()
-        sketch = (sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten().to_numpy().view(U64).reshape(len(ids), -1)
-        band = t.column("pos").to_numpy()
-        tags = t.column("tags").combine_chunks()
-        tags = (tags.chunk(0) if isinstance(tags, pa.ChunkedArray) else tags).flatten().to_numpy().reshape(len(ids), -1)
+        cell, ask, pos, ids, c, main, n, used = (t.column(k).to_numpy() for k in ("cell", "ask", "pos", "id", "c", "main", "n", "used"))
+        sketch, bands = (pa.concat_arrays(t.column(k).chunks).flatten().to_numpy().view(U64).reshape(len(ids), -1) for k in ("sketch", "bands"))
+        q = np.flatnonzero(ask == 1)
+        first, last = np.searchsorted(cell, cell[q]), np.searchsorted(cell, cell[q], side="right")
         found = set()
-        for lag in range(1, len(ids)):
-            i = np.flatnonzero(cell[lag:] == cell[:-lag])
-            if not len(i):
-                break
-            j = i + lag
-            ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * whole >= np.maximum(n[i], n[j]) * parts) & ((left[i] & right[j]) | (left[j] & right[i])).astype(bool)
-            i, j = i[ok], j[ok]
-            d = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
-            ok = d <= most_odd(parts / whole, n[i], n[j], used[i], used[j])
-            i, j = i[ok], j[ok]
-            ok = ~((tags[i] == tags[j]) & (np.arange(BANDS) < band[i][:, None])).any(axis=1)
-            found.update(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist(), strict=True))
+        for i, j in runs_of(np.r_[0, np.cumsum(last - first)], 1 << 14):
+            y = gather(first[i:j], (last - first)[i:j])
+            x = np.repeat(q[i:j], (last - first)[i:j])
+            # Two queries meet in both directions; the one with the smaller id asks.
+            ok = (ask[y] == 0) & (c[x] != c[y]) & ((main[y] == 1) | (ids[x] < ids[y])) & (np.minimum(n[x], n[y]) * whole >= np.maximum(n[x], n[y]) * parts)
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= most_odd(parts / whole, n[x], n[y], used[x], used[y])
+            x, y = x[ok], y[ok]
+            ok = (bands[x] == bands[y]).argmax(axis=1) == pos[x]
+            found.update(zip(np.minimum(ids[x], ids[y])[ok].tolist(), np.maximum(ids[x], ids[y])[ok].tolist(), strict=True))
             if len(found) > 65536:
                 yield batch(found)
                 found = set()
@@ -202,21 +219,17 @@ def _block_pairs(rows: DataFrame, parts: int, whole: int, block: int) -> DataFra
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, parts: int = 75, whole: int = 100, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, parts: int = 75, whole: int = 100, block: int = 128) -> DataFrame:
     """One row for each row of `docs`: id, n_shingles, component_id, kept.
 
     Two documents are linked if their sets of distinct word shingles have `whole` * intersection >= `parts` * union.
-    Documents with equal sets are one class and stand for each other. For classes, equal keys in one of 32 bands of 4 MinHash values
+    Documents with equal sequences of words are one class and stand for each other. For classes, equal keys in one of 32 bands of 4 MinHash values
     make a candidate: at the least similarity linked, one pair in 200,000 has none in common. First every class is compared
     with the smallest id of each of its buckets; the nearest by sketch is confirmed on full sets, and what is linked is contracted.
-    Then all pairs of different components in a bucket are compared by sketch, in blocks of bounded size, and those near enough
-    confirmed. Pairs that already are in one component add nothing to it and are left out, so a large group of copies costs as
-    much as its members, not its pairs.
+    Then each bucket's rows outside its largest component are compared by sketch with all others of similar size, in cells of at most
+    `block` of either, and those near enough confirmed. Pairs that already are in one component add nothing to it and are left out, so
+    a large group of copies costs as much as its members, not its pairs. Hashes only find candidates: documents are one class by a
+    128-bit digest of their words, and every link is confirmed on the words themselves.
 
     Null and empty texts, and texts of white space only, have no shingles and are linked with nothing. A row without an id is linked
     with nothing, has no component and is kept. Rows with equal ids count as one document. An empty table gives an empty result.
@@ -226,31 +239,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = work.save(_signatures(src, words), "signatures")
     key = ["n", "k1", "k2"]
     classes = sig.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    classes = work.save(classes, "classes")
+    classes = work.save(classes, "classes", thin=True)  # so that joins have shuffles of their own, whose hot keys Spark can split
     reps = work.save(sig.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"]).select("id", "n", "used", "bands", "sketch").distinct(), "representatives")
     light = reps.select("id", "n", "used", "sketch")
-    tagged = reps.select("id", "n", "used", "sketch", F.transform("bands", lambda x: (x % (1 << 31)).cast("int")).alias("tags"))
-
     rows = reps.select("id", F.explode("bands").alias("key"))
     low = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     stars = rows.join(low, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
     near = stars.join(light.toDF("a", "na", "sa", "ka"), "a").join(light.toDF("b", "nb", "sb", "kb"), "b").where(_near(F.col("na"), F.col("nb"), parts, whole))
     near = near.withColumn("d", _odd("ka", "kb")).where(F.col("d") <= most_odd(parts / whole, *(F.col(c) for c in ("na", "nb", "sa", "sb")), m=F))
-    best = work.save(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "best")
-    links = work.save(_confirmed(best, src, words, parts, whole), "links")
-    comp = work.save(connected_components(links, work), "components")
-
-    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.posexplode("bands").alias("pos", "key"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Block pairs of a bucket: a row goes to those of its block, as the left or the right side or both.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = rows.select(cell.alias("cell"), "pos", "id", "c", (F.col("mine") <= F.col("other")).cast("int").alias("l"), (F.col("mine") >= F.col("other")).cast("int").alias("r"))
-    rows = rows.join(tagged, "id").select("cell", "pos", "id", "c", "n", "used", "l", "r", "sketch", "tags")
-    more = work.save(_block_pairs(rows, parts, whole, block).distinct(), "more")
-    links2 = work.save(_confirmed(more, src, words, parts, whole).union(comp.select("node", "component")), "links")
-    comp = work.save(connected_components(links2, work), "components")
+    best = work.save(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "best", thin=True)
+    comp = connected_components(_confirmed(best, src, words, parts, whole), work)
+
+    rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "n", F.posexplode("bands").alias("pos", "key"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    rows = work.save(rows.join(mixed, "key", "left_semi"), "mixed")  # the buckets that hold several components
+    cells = _cells(rows, block).join(reps.select("id", "n", "used", "sketch", "bands"), "id").select("cell", "ask", "pos", "id", "c", "main", "n", "used", "sketch", "bands")
+    more = work.save(_cell_pairs(cells, parts, whole).distinct(), "more", thin=True)
+    comp = connected_components(_confirmed(more, src, words, parts, whole).union(comp.select("node", "component")), work)
 
     named = sig.join(classes, key, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     out = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")))
