@@ -10,8 +10,7 @@ could fit:
    places: the r-th document takes the r-th place, so that no two claim one.
 4. Documents that fit nowhere open new sequences, gaps are updated, and the next band follows.
 
-Ranges have a bounded number of rows; the number of supersteps depends on the capacity alone. Within one range the packing is that of
-sequential best-fit decreasing.
+The number of supersteps depends on the capacity alone. Within one range the packing is that of sequential best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -253,7 +252,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     A document is its token ids and then `end_id`; a null or empty text is `end_id` alone. Longer documents than `capacity`
     are cut into pieces of that length, of which the first may be shorter. Returns for each piece: id, piece (from 0),
     start, length, ids_crc32, sequence_id, offset. Equal lengths and repeated rows each get their own place; null ids are
-    packed like others; an empty table gives an empty result. A text is tokenized whole. `range_rows` bounds the rows of a range.
+    packed like others; an empty table gives an empty result. A text is tokenized whole. Ranges have about `range_rows` rows; as their
+    reports meet on the driver, there are 8,192 at most, and with more than 800 million rows in a band ranges grow.
     """
     path = path or vocabulary_path()
     work = Workspace(docs.sparkSession, "pack")
