@@ -182,7 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield from flush(seen)
 
     kind = "lang string, gram string, n bigint"
-    counted = work.save(chosen.select("text", "lang").mapInArrow(count_words, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words", thin=True)
+    counted = work.save(chosen.select("text", "lang").mapInArrow(count_words, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     by_order = counted.mapInArrow(count_grams, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(F.substring("gram", 1, 1).cast("int").alias("k"), "lang", F.expr("substring(gram, 2)").alias("gram"), "n")
 
     def commonest(table: DataFrame, most: int) -> DataFrame:
