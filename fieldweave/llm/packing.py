@@ -162,7 +162,7 @@ def _superstep(work: Workspace, documents: DataFrame, gaps: DataFrame, band: int
     both = both.union(gaps.select(F.lit(GAP), F.lit(0), zero, zero, "seq", "room", *none))
     # Gaps sort after documents as wide as they are; the rest spreads one size over ranges.
     size = F.col("room") * 2 + (F.col("kind") == GAP).cast("int")
-    sorted_ = both.repartitionByRange(ranges, size, F.xxhash64("seq", "nr"))
+    sorted_ = both.repartitionByRange(ranges, size, F.xxhash64("seq", "nr")) if ranges > 1 else both.coalesce(1)
 
     @lean
     def sweep(batches):
@@ -172,19 +172,22 @@ def _superstep(work: Workspace, documents: DataFrame, gaps: DataFrame, band: int
         t, part = pa.Table.from_batches(held), TaskContext.get().partitionId()
         kind, seq, room = (t.column(k).to_numpy() for k in (0, 4, 5))
         d, g = np.flatnonzero(kind == OPEN), np.flatnonzero(kind == GAP)
-        at, before, left = best_fit(room[d], room[g])
+        at, before, left = best_fit(room[d], room[g], capacity if ranges == 1 else None)  # one range has no wider ones to ask
+        seq = np.r_[seq[g], (band << 57) + (part << 32) + np.arange(len(left) - len(g))]
         if len(hit := np.flatnonzero(at >= 0)):
-            yield _state(DOCUMENT, part, 0, 0, seq[g[at[hit]]], before[hit], _documents(t, d[hit]))
+            yield _state(DOCUMENT, part, 0, 0, seq[at[hit]], before[hit], _documents(t, d[hit]))
         if len(miss := np.flatnonzero(at < 0)):
             miss = miss[np.argsort(-room[d[miss]], kind="stable")]
             yield _state(OPEN, part, np.arange(len(miss)), 0, 0, room[d[miss]], _documents(t, d[miss]))
-        if len(g):
+        if len(left):
             # No document of a narrower range is longer than this range's smallest row, so a gap has so many places for them.
             by = np.argsort(left, kind="stable")
             places = left[by] // room.min()
-            yield _state(GAP, part, np.cumsum(places) - places, places, seq[g[by]], left[by], _documents(t, g[by]))
+            yield _state(GAP, part, np.cumsum(places) - places, places, seq[by], left[by], [pa.nulls(len(left), c.type) for c in t.columns[6:]])
 
     swept = work.save(map_rows(sorted_, sweep, state), "swept")
+    if ranges == 1:
+        return swept.where(F.col("kind") == DOCUMENT).select(*kinds.names, "seq", "room"), swept.where(F.col("kind") == GAP).select("seq", "room")
     reports = swept.where(F.col("kind") != DOCUMENT).groupBy("kind", "range").agg(F.count("*").alias("n"), F.sum("places").alias("places")).collect()  # two rows for each range
     plan = deal_places({r["range"]: r["n"] for r in reports if r["kind"] == OPEN}, {r["range"]: r["places"] for r in reports if r["kind"] == GAP})
     waiting, after = swept.where(F.col("kind") == OPEN), swept.where(F.col("kind") == GAP)
@@ -266,7 +269,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if not n:
             continue
         wide = gaps.where(F.col("room") > over)
-        ranges = min(MOST_RANGES, -(-(n + wide.count()) // range_rows))
+        ranges = min(MOST_RANGES, -(-(n + (wide.count() if out is not None else 0)) // range_rows))
         placed, after = _superstep(work, pieces.where((F.col("length") > over) & (F.col("length") <= top)), wide, band, ranges, capacity)
         before = gaps
         gaps = work.save(gaps.where(F.col("room") <= over).union(after.where("room > 0")), "gaps")
