@@ -112,10 +112,10 @@ def _near(a: Column, b: Column, parts: int, whole: int) -> Column:
     return F.least(a, b) * whole >= F.greatest(a, b) * parts
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole: int) -> DataFrame:
-    """The pairs (a, b) whose full sets, compared by their words, are similar enough.
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, t): one text for each id of the pairs, and perhaps of others.
 
-    Texts are read anew, but only those of ids that a bitmap of fixed size (2**22 bits, 0.5 MB) lets through; the joins
+    Texts are read anew, but only those of ids that a bitmap of fixed size (2**22 bits, 0.5 MB) lets through; joins
     then decide, so a full bitmap costs time, not results.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -134,6 +134,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary())], names=["id", "t"])
 
+    return docs.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id bigint, t binary").dropDuplicates(["id"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, parts: int, whole: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, compared by their words, are similar enough. `texts` is a table, so that Spark may split a hub's pairs."""
+
     @lean
     def compare(batches):
         for b in batches:
@@ -143,7 +149,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, parts: int, whole:
                 keep.append(both * whole >= (n + m - both) * parts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(wanted, "id bigint, t binary").dropDuplicates(["id"])
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     return two.select("a", "b", "ta", "tb").mapInArrow(compare, "a bigint, b bigint")
@@ -248,14 +253,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stars.join(light.toDF("a", "na", "sa", "ka"), "a").join(light.toDF("b", "nb", "sb", "kb"), "b").where(_near(F.col("na"), F.col("nb"), parts, whole))
     near = near.withColumn("d", _odd("ka", "kb")).where(F.col("d") <= most_odd(parts / whole, *(F.col(c) for c in ("na", "nb", "sa", "sb")), m=F))
     best = work.save(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "best", thin=True)
-    comp = connected_components(_confirmed(best, src, words, parts, whole), work)
+    texts = work.save(_texts_of(best, src), "texts")
+    comp = connected_components(_confirmed(best, texts, words, parts, whole), work)
+    work.drop(texts)
 
     rows = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "n", F.posexplode("bands").alias("pos", "key"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     rows = work.save(rows.join(mixed, "key", "left_semi"), "mixed")  # the buckets that hold several components
     cells = _cells(rows, block).join(reps.select("id", "n", "used", "sketch", "bands"), "id").select("cell", "ask", "pos", "id", "c", "main", "n", "used", "sketch", "bands")
     more = work.save(_cell_pairs(cells, parts, whole).distinct(), "more", thin=True)
-    comp = connected_components(_confirmed(more, src, words, parts, whole).union(comp.select("node", "component")), work)
+    texts = work.save(_texts_of(more, src), "texts")
+    comp = connected_components(_confirmed(more, texts, words, parts, whole).union(comp.select("node", "component")), work)
+    work.drop(texts)
 
     named = sig.join(classes, key, "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     out = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")))
