@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _record() -> list:
+    return [F.col("name").alias("field_name"), F.col("type").alias("field_type"), "message_name", "package", "file_path", "label", "comment", F.col("parents").alias("parent_messages")]
+
+
+def unnumbered_records(declarations: DataFrame) -> DataFrame:
+    """One row for each field, in no order and without `ord`: enough for summaries, and made without a join."""
+    return declarations.where("kind = 'field'").select(*_record())
+
+
 def field_records(declarations: DataFrame) -> DataFrame:
     """One row for each field in the order of files, messages (outer before inner) and fields; `ord` numbers them from 0.
 
     The number is global, so it is made from counts: running sums over files within blocks of 4096, and over the blocks.
+    The joins are merge joins, as Spark knows the size of the files but not how many rows are made of them: it would
+    take millions of fields for a small side and send them through the driver.
     """
     fields = declarations.where("kind = 'field'")
     within = Window.partitionBy("file_ord").orderBy("msg_ord", "ord")
@@ -17,9 +28,9 @@ def field_records(declarations: DataFrame) -> DataFrame:
     counts = counts.withColumn("block", F.floor(F.col("file_ord") / 4096))
     blocks = counts.groupBy("block").agg(F.sum("n").alias("m")).select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("start"))
     inside = F.sum("n").over(Window.partitionBy("block").orderBy("file_ord")) - F.col("n")
-    before = counts.withColumn("inside", inside).join(blocks, "block").select("file_ord", (F.col("start") + F.col("inside")).alias("base"))
-    numbered = fields.withColumn("nth", F.row_number().over(within) - 1).join(before, "file_ord")
-    return numbered.select(F.col("name").alias("field_name"), F.col("type").alias("field_type"), "message_name", "package", "file_path", "label", "comment", F.col("parents").alias("parent_messages"), (F.col("base") + F.col("nth")).alias("ord"))
+    before = counts.withColumn("inside", inside).join(blocks.hint("merge"), "block").select("file_ord", (F.col("start") + F.col("inside")).alias("base"))
+    numbered = fields.withColumn("nth", F.row_number().over(within) - 1).join(before.hint("merge"), "file_ord")
+    return numbered.select(*_record(), (F.col("base") + F.col("nth")).alias("ord"))
 
 
 def records_of_tables(spark: SparkSession, tables: dict[str, DataFrame], package: str = "tables") -> DataFrame:
@@ -77,7 +88,7 @@ def prompt_lines(records: DataFrame) -> DataFrame:
 
 
 def summary(declarations: DataFrame, records: DataFrame) -> DataFrame:
-    """Rows (measure, key, n): total_files, total_fields, fields_per_event_type, type_distribution, from one pass over the records."""
+    """Rows (measure, key, n): total_files, total_fields, fields_per_event_type, type_distribution, from one pass over the records, numbered or not."""
     files = declarations.where("kind = 'file' and error is null").agg(F.count("*").alias("n")).select(F.lit("total_files").alias("measure"), F.lit("").alias("key"), "n")
     keyed = records.select(summary_key().alias("event_type"), "field_type")
     measure = F.when(F.grouping_id() == 1, "fields_per_event_type").when(F.grouping_id() == 2, "type_distribution").otherwise("total_fields")

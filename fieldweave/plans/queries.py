@@ -204,7 +204,7 @@ def prompt_lines(spark, sf_dir):
 @query("SELECT t AS field_type, count(*) AS n FROM part, (VALUES ('int32'), ('string'), ('map<string, int64>'), ('string'), ('int32'), ('bool'), ('double'), ('string')) v(t) GROUP BY 1")
 def type_distribution(spark, sf_dir):
     declared = parse(_part_files(spark, sf_dir))
-    return catalog.summary(declared, catalog.field_records(declared)).where("measure = 'type_distribution'").select(F.col("key").alias("field_type"), "n")
+    return catalog.summary(declared, catalog.unnumbered_records(declared)).where("measure = 'type_distribution'").select(F.col("key").alias("field_type"), "n")
 
 
 @query(f"WITH c AS ({_COLUMNS}) SELECT 'tables/' || message_name AS event_type, count(*) AS n FROM c GROUP BY 1")

@@ -2,6 +2,7 @@ import pytest
 
 from fieldweave.functions.declarations import parse, read_lines, read_tokens
 from fieldweave.operators import catalog
+from fieldweave.plans import queries as core
 from fieldweave.sources.protofiles import scan_file, scan_folder, split_errors
 from fieldweave.errors import NotFoundError
 
@@ -140,6 +141,23 @@ def test_scan_and_flatten(spark, tmp_path):
     assert found["type_distribution", "string"] == 4
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fields_are_not_broadcast(spark, sf_dir):
+    """The table of parts is small, what is parsed from it isn't: by the files' size Spark would broadcast it."""
+    declared = parse(core._part_files(spark, sf_dir))
+    numbered = catalog.field_records(declared)
+    assert "Broadcast" not in _plan(numbered)
+    assert "Broadcast" not in _plan(catalog.summary(declared, numbered))
+    assert sorted(r["ord"] for r in numbered.select("ord").collect()) == list(range(8 * 200))
+    types = _plan(core.queries()["type_distribution"](spark, sf_dir))
+    assert "Join" not in types and types.count("MapInPandas") == 1
+    same = [{tuple(r) for r in catalog.summary(declared, x).collect()} for x in (numbered, catalog.unnumbered_records(declared))]
+    assert same[0] == same[1]
+
+
 def test_missing_paths(spark, tmp_path):
     with pytest.raises(NotFoundError):
         scan_file(spark, tmp_path / "no.proto")
