@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,9 +51,13 @@ def stability_index(shares: DataFrame, floor: float = 1e-4) -> DataFrame:
 
 
 def epoch_millis(value: Column) -> Column:
-    """Numbers of seconds, milli-, micro- or nanoseconds since 1970, told apart by size, as milliseconds."""
+    """Numbers of seconds, milli-, micro- or nanoseconds since 1970, told apart by size, as whole milliseconds cut toward zero.
+
+    Integers are divided as decimals: a double holds nanoseconds of today to 256 only, and whole milliseconds would come out one too small.
+    """
     size = F.abs(value)
-    return F.when(size < 100_000_000_000, value * 1000).when(size < 100_000_000_000_000, value).when(size < 100_000_000_000_000_000, F.floor(value / 1000).cast("bigint")).otherwise(F.floor(value / 1_000_000).cast("bigint"))
+    whole = lambda n: (value / F.lit(Decimal(n))).cast("bigint")
+    return F.when(size < 100_000_000_000, value * 1000).when(size < 100_000_000_000_000, value).when(size < 100_000_000_000_000_000, whole(1000)).otherwise(whole(1_000_000))
 
 
 def time_precision(value: Column) -> Column:

@@ -590,7 +590,7 @@ def distribution_shift(spark, sf_dir):
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'ms' WHEN 2 THEN 'us' ELSE 'ns' END AS precision, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000 ELSE epoch_us(ts) // 1000 END AS millis FROM events")
 def time_normalization(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    raw = F.when(F.col("event_id") % 4 == 0, F.floor(F.col("t") / 1_000_000)).when(F.col("event_id") % 4 == 1, F.floor(F.col("t") / 1000)).when(F.col("event_id") % 4 == 2, F.col("t")).otherwise(F.col("t") * 1000).cast("bigint")
+    raw = F.when(F.col("event_id") % 4 == 0, F.expr("t div 1000000")).when(F.col("event_id") % 4 == 1, F.expr("t div 1000")).when(F.col("event_id") % 4 == 2, F.col("t")).otherwise(F.col("t") * 1000).cast("bigint")
     return e.select("event_id", checks.time_precision(raw).alias("precision"), checks.epoch_millis(raw).alias("millis"))
 
 

@@ -42,6 +42,35 @@ def test_time_sizes(spark):
     assert [tuple(r) for r in df.select(checks.time_precision(F.col("t")), checks.epoch_millis(F.col("t"))).collect()][:4] == [("s", 1_700_000_000_000), ("ms", 1_700_000_000_123), ("us", 1_700_000_000_123), ("ns", 1_700_000_000_123)]
 
 
+def test_whole_milliseconds_stay(spark):
+    """As doubles, nanoseconds of these times are a little less than they are."""
+    millis = [1_706_209_621_954, 1_706_303_126_426, *range(1_704_067_200_000, 1_704_067_204_000)]
+    rows = [(sign * (m * 10**digits + rest), sign * m) for m in millis for digits, rest in ((0, 0), (3, 0), (6, 0), (3, 999), (6, 999_999)) for sign in (1, -1)]
+    df = spark.createDataFrame(rows, "t bigint, ms bigint").withColumn("got", checks.epoch_millis(F.col("t")))
+    assert df.schema["got"].dataType.simpleString() == "bigint"
+    assert df.where("not got <=> ms").collect() == []
+    doubles = spark.createDataFrame([(1.7e9,), (1_700_000_000_123_999.0,)], "t double").select(checks.epoch_millis(F.col("t")))
+    assert [r[0] for r in doubles.collect()] == [1_700_000_000_000, 1_700_000_000_123]
+
+
+def test_times_equal_their_sql(spark, tmp_path):
+    """Whole milliseconds, seconds and the microseconds beside them, before and after 1970, in all four precisions."""
+    import duckdb
+
+    from fieldweave.plans import queries as core
+
+    at = "TIMESTAMP '1970-01-01' + to_microseconds((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * (200000000000 + k * 1234567) * 1000 + d)"
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE TABLE events AS SELECT row_number() OVER () - 1 AS event_id, {at} AS ts FROM range(500) a(k), (VALUES (0), (-1), (1), (500)) b(d), range(4) c(residue) ORDER BY residue, k, d")
+    con.execute("UPDATE events SET event_id = event_id * 4 + event_id // 2000")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.execute(core.oracle_sql()["time_normalization"]).fetchall()
+    got = core.queries()["time_normalization"](spark, str(tmp_path)).collect()
+    assert len({r[0] % 4 for r in want}) == 4 and len(want) == 8000
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_stability_of_shifted_values(spark):
     rows = [(1, float(v)) for v in range(100)] + [(2, float(v)) for v in range(100)] + [(3, 95.0)] * 100
     shares = checks.distribution(spark.createDataFrame(rows, "p int, v double"), F.col("p"), "v", [25.0, 50.0, 75.0])
