@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import hashlib
+import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 U64 = np.uint64
 
@@ -46,11 +52,28 @@ class Workspace:
         if thin:
             df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        full = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+        local = re.fullmatch(r"file:(?://)?(/(?!/).*)", full)
+        if local and df.columns and all(_plain(f.dataType) for f in df.schema.fields):
+            out = self._save_local(df, path, local[1])
+        else:
+            df.write.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
         out._fieldweave_path = path
         return out
 
+    def _save_local(self, df: DataFrame, path: str, folder: str) -> DataFrame:
+        """Write by Python workers.
+
+        For every folder and file in a local path Spark's writer has the JVM start `chmod`, six times a task, and until that process
+        has its own program it counts with all memory of the JVM. This way none starts. Columns are named by their place.
+        """
+        inner = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
+        os.makedirs(folder)
+        df.toDF(*inner.names).mapInArrow(_written(folder, to_arrow_schema(inner)), "n bigint").collect()
+        return self.spark.read.schema(inner).parquet(path).toDF(*df.columns)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete the files of a table that save() returned and nothing reads any more."""
         if df is not None and getattr(df, "_fieldweave_path", None):
@@ -65,6 +88,55 @@ class Workspace:
             pass
 
 
+GROUP = 8 << 20  # bytes in memory of a row group
+
+
+def _plain(kind: DataType) -> bool:
+    """Whether Arrow writes a column of this type as Spark does."""
+    if isinstance(kind, ArrayType):
+        return _plain(kind.elementType)
+    if isinstance(kind, StructType):
+        return len(kind.fields) > 0 and all(_plain(f.dataType) for f in kind.fields)
+    return kind == StringType() or isinstance(kind, (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, BinaryType))
+
+
+def _written(folder: str, schema: pa.Schema):
+    """A function that writes a partition's batches to one file in `folder` and returns no rows.
+
+    The file gets its name when it is whole, so what a failed attempt leaves is never read, and a repeated one replaces it. A partition
+    without rows has no file.
+    """
+
+    @lean
+    def write(batches):
+        name = f"part-{TaskContext.get().partitionId():05d}.parquet"
+        scratch = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        held, size, out = [], 0, None
+        try:
+            for b in batches:
+                if b.num_rows:
+                    held.append(b)
+                    size += b.nbytes
+                if size >= GROUP:
+                    out = out or pq.ParquetWriter(scratch, schema)
+                    out.write_table(pa.Table.from_batches(held).cast(schema))
+                    held, size = [], 0
+            if held:
+                out = out or pq.ParquetWriter(scratch, schema)
+                out.write_table(pa.Table.from_batches(held).cast(schema))
+            if out:
+                out.close()
+                os.replace(scratch, f"{folder}/{name}")
+        finally:
+            if out:
+                out.close()
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(scratch)
+        yield from ()
+
+    return write
+
+
 @lru_cache(maxsize=1)
 def _local_base() -> str:
     folder = tempfile.mkdtemp(prefix="fieldweave-")

@@ -1,6 +1,7 @@
 """Document operators against brute force on small fixtures with nulls, empty and long texts, repeats and clashing columns."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -40,6 +41,24 @@ def test_views_and_runs():
     assert list(runs_of(np.array([0]), 7)) == []
 
 
+def test_tables_are_saved_without_processes_of_the_jvm(spark):
+    work = Workspace(spark, "t")
+    rows = [(1, "a", None, [1, None], (1.5, "x"), b"z"), (2, "", True, None, None, None), (None, None, False, [], (None, None), b"")]
+    df = spark.createDataFrame(rows, "`a.b` bigint, `doc id` string, c boolean, d array<int>, e struct<f:double,g:string>, `_0` binary").repartition(5)
+    out = work.save(df, "odd")
+    # Spark's writer starts chmod for folders, files and checksums; while it starts, it counts with all memory of the JVM.
+    files = os.listdir(re.sub("^file:/+", "/", out._fieldweave_path))
+    assert files and all(re.fullmatch(r"part-\d+\.parquet", f) for f in files)
+    assert out.columns == df.columns and out.dtypes == df.dtypes and sorted(out.collect(), key=str) == sorted(df.collect(), key=str)
+    assert work.save(df.where("1 = 0"), "none").collect() == []
+    other = df.withColumn("at", F.lit("1500-01-01").cast("date"))  # not a type that both write alike: left to Spark
+    assert sorted(work.save(other, "other").collect(), key=str) == sorted(other.collect(), key=str)
+    with pytest.raises(Exception, match="boom"):
+        work.save(df.select(F.raise_error(F.lit("boom")).cast("string").alias("x")), "bad")
+    work.drop(out)
+    assert not os.path.exists(re.sub("^file:/+", "/", out._fieldweave_path))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
