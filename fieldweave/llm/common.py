@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +66,13 @@ class Workspace:
         """Write by Python workers.
 
         For every folder and file in a local path Spark's writer has the JVM start `chmod`, six times a task, and until that process
-        has its own program it counts with all memory of the JVM. This way none starts. Columns are named by their place.
+        has its own program it counts with all memory of the JVM. This way none starts. Columns are named by their place. Rows that
+        mapped() makes are written by the workers that make them, so that no task needs one worker more.
         """
         inner = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
         os.makedirs(folder)
-        df.toDF(*inner.names).mapInArrow(_written(folder, to_arrow_schema(inner)), "n bigint").collect()
+        src, run = getattr(df, "_fieldweave_run", None) or (df.toDF(*inner.names), iter)
+        src.mapInArrow(_written(run, folder, to_arrow_schema(inner)), "n bigint").collect()
         return self.spark.read.schema(inner).parquet(path).toDF(*df.columns)
 
     def drop(self, df: DataFrame | None) -> None:
@@ -100,8 +101,8 @@ def _plain(kind: DataType) -> bool:
     return kind == StringType() or isinstance(kind, (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, BinaryType))
 
 
-def _written(folder: str, schema: pa.Schema):
-    """A function that writes a partition's batches to one file in `folder` and returns no rows.
+def _written(run, folder: str, schema: pa.Schema):
+    """A function that writes what `run` makes of a partition's batches to one file in `folder` and returns no rows.
 
     The file gets its name when it is whole, so what a failed attempt leaves is never read, and a repeated one replaces it. A partition
     without rows has no file.
@@ -109,21 +110,23 @@ def _written(folder: str, schema: pa.Schema):
 
     @lean
     def write(batches):
+        import pyarrow.parquet as pq
+
         name = f"part-{TaskContext.get().partitionId():05d}.parquet"
         scratch = f"{folder}/.{name}-{uuid.uuid4().hex}"
         held, size, out = [], 0, None
         try:
-            for b in batches:
+            for b in run(batches):
                 if b.num_rows:
                     held.append(b)
                     size += b.nbytes
                 if size >= GROUP:
                     out = out or pq.ParquetWriter(scratch, schema)
-                    out.write_table(pa.Table.from_batches(held).cast(schema))
+                    out.write_table(pa.Table.from_batches(held).rename_columns(schema.names).cast(schema))
                     held, size = [], 0
             if held:
                 out = out or pq.ParquetWriter(scratch, schema)
-                out.write_table(pa.Table.from_batches(held).cast(schema))
+                out.write_table(pa.Table.from_batches(held).rename_columns(schema.names).cast(schema))
             if out:
                 out.close()
                 os.replace(scratch, f"{folder}/{name}")
@@ -183,7 +186,7 @@ MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 LONG = 1024  # bytes from which a span's hash is a digest, so that one huge span doesn't take a step for each of its words
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number; zeros follow the end."""
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
@@ -194,7 +197,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int =
     No step is linear, so texts with a structure (repetitive ones above all) collide no more often than others. Equal bytes give equal
     values wherever they stand. The steps of all spans run side by side; spans of LONG bytes and more take a BLAKE2 digest.
     """
-    eight = _eights(data)
+    eight = eights(data)
     out = mix64(size.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % 2**64))
     live = np.flatnonzero((size > 0) & (size < LONG))
     at, left, h = start[live], size[live], out[live]
@@ -215,7 +218,7 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def same_spans(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a : a + size] equals other[b : b + size], elementwise, on the bytes, eight at a time."""
-    one, two, out = _eights(data), _eights(other), np.ones(len(size), bool)
+    one, two, out = eights(data), eights(other), np.ones(len(size), bool)
     live = np.flatnonzero((size > 0) & (size < LONG))
     x, y, left = a[live], b[live], size[live]
     while len(live):
@@ -274,7 +277,17 @@ def map_rows(df: DataFrame, run, schema: StructType | None = None) -> DataFrame:
     """mapInArrow over rows of any column names: inside, columns are named by their place. `schema` is the result's, by default that of `df`."""
     schema = schema or df.schema
     inner = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
+    src = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    out = src.mapInArrow(run, inner).toDF(*schema.names)
+    out._fieldweave_run = src, run
+    return out
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, for rows that Workspace.save() may write where they are made."""
+    out = df.mapInArrow(run, schema)
+    out._fieldweave_run = df, run
+    return out
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:

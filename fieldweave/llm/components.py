@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, lean
+from fieldweave.llm.common import Workspace, lean, mapped
 
 BATCH = 400_000  # edges that a task joins at once
 
@@ -55,7 +55,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
     def batch(edges_):
         return pa.RecordBatch.from_arrays([pa.array(edges_[0]), pa.array(edges_[1])], names=["u", "v"])
 
-    return edges.mapInArrow(run, "u bigint, v bigint")
+    return mapped(edges, run, "u bigint, v bigint")
 
 
 def connected_components(edges: DataFrame, work: Workspace, rounds: int = 60, one_task: int = BATCH // 2) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import U64, Workspace, gather, lean, mix64, need, runs_of
+from fieldweave.llm.common import U64, Workspace, gather, lean, mapped, mix64, need, runs_of
 from fieldweave.llm.components import connected_components
 from fieldweave.llm.shingles import exact_counts, shingle_sets, word_digests
 
@@ -100,7 +100,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (bands, np.array(odd, U64).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(used, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=["id", "n", "used", "k1", "k2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, used int, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
+    return mapped(docs, run, "id bigint, n bigint, used int, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def _odd(x: str, y: str) -> Column:

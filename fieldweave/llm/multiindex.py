@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, by_cell, lean, need
+from fieldweave.llm.common import Workspace, by_cell, lean, mapped, need
 from fieldweave.llm.components import connected_components, smallest_reachable
 from fieldweave.llm.vectors import as_vectors, distances_to, kmeans, matrix, sample_matrix, units, usable, width_of
 
@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             off = np.searchsorted(who[new], np.arange(len(x) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(limit), pa.ListArray.from_arrays(pa.array(off), rows)], names=["rep", "w", "v", "i", "j", "reach", "visits"])
 
-    placed = work.save(classes.mapInArrow(assign, f"rep bigint, w bigint, v {kind}, i int, j int, reach double, visits array<struct<row:int,cells:array<int>>>"), "placed")
+    placed = work.save(mapped(classes, assign, f"rep bigint, w bigint, v {kind}, i int, j int, reach double, visits array<struct<row:int,cells:array<int>>>"), "placed")
     m_of = {r["i"]: r["n"] for r in placed.groupBy("i").agg(F.count("*").alias("n")).collect()}  # one row for each codeword
     q_of = {r["i"]: r["n"] for r in placed.select(F.explode("visits.row").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}
     shape = spark.createDataFrame([(i, -(-m // members), -(-q_of.get(i, 1) // queries)) for i, m in m_of.items()], "row int, mb int, qb int")
@@ -160,7 +160,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 [pa.array(np.r_[rep[counted], rep[joined]]), pa.array(np.r_[count[counted], np.zeros(len(joined), np.int64)]), pa.array(np.r_[rep[counted], rep[label[joined]]])], names=["rep", "n", "to"]
             )
 
-    found = work.save(cells.mapInArrow(compare, "rep bigint, n bigint, `to` bigint"), "found")
+    found = work.save(mapped(cells, compare, "rep bigint, n bigint, `to` bigint"), "found")
     comp = work.save(connected_components(found.where("rep <> `to`").select("rep", "to"), work), "components")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     per_class = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Workspace, bounded, by_cell, lean
+from fieldweave.llm.common import Workspace, bounded, by_cell, lean, mapped
 from fieldweave.llm.vectors import as_vectors, lists, matrix, sample_matrix, usable, width_of
 
 
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
             routes = model.routes(x).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(model.home(x).astype(np.int32)), lists(routes)], names=["rep", "asks", "v", "home", "routes"])
 
-    placed = work.save(classes.mapInArrow(assign, f"rep bigint, asks boolean, v {kind}, home int, routes array<int>"), "placed")
+    placed = work.save(mapped(classes, assign, f"rep bigint, asks boolean, v {kind}, home int, routes array<int>"), "placed")
     m_of = {r["p"]: r["n"] for r in placed.groupBy(F.col("home").alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each part
     q_of = {r["p"]: r["n"] for r in placed.where("asks").select(F.explode("routes").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     shape = spark.createDataFrame([(p, -(-m // block), -(-q_of.get(p, 1) // block)) for p, m in m_of.items()], "part int, mb int, qb int")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mix64, runs_of, same_spans, utf8_view
+from fieldweave.llm.common import U64, PrefixHash, Workspace, by_cell, lean, mapped, mix64, runs_of, same_spans, utf8_view
 from fieldweave.operators.positions import with_positions
 
 _hash = PrefixHash(71)
@@ -502,7 +502,7 @@ def _cut_repeats(docs, id_col, text_col, extra, length, k, hot, with_text, cell_
 
     gone = copies.mapInArrow(as_copies, ROW)
     # A block of finished intervals needs no meeting: it may go through any cell.
-    met = dealt(by_home(gone, refs, texts).mapInArrow(around, ROW)).mapInArrow(settle, ROW)
+    met = mapped(dealt(by_home(gone, refs, texts).mapInArrow(around, ROW)), settle, ROW)
     intervals = work.save(met, "intervals")
     whole = own.mapInArrow(ship(), ROW)
 

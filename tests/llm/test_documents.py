@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.llm import components, langid, lattice, minhash, packing, quality, secrets, suffixes, tokens
+from fieldweave.llm import common, components, langid, lattice, minhash, packing, quality, secrets, suffixes, tokens
 from fieldweave.llm.common import Workspace, runs_of, same_spans, span_hash, utf8_view
 from fieldweave.llm.shingles import exact_counts, shingle_sets
 
@@ -59,6 +59,21 @@ def test_tables_are_saved_without_processes_of_the_jvm(spark):
     assert not os.path.exists(re.sub("^file:/+", "/", out._fieldweave_path))
 
 
+def test_made_rows_are_saved_by_the_workers_that_make_them(spark, monkeypatch):
+    given, written = [], common._written
+    monkeypatch.setattr(common, "_written", lambda run, *rest: given.append(run) or written(run, *rest))
+
+    def twice(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([2 * x for x in b.column(0).to_pylist()], pa.int64())], names=["x"])
+
+    work, df = Workspace(spark, "t"), spark.range(50)
+    made = [common.mapped(df, twice, "x bigint"), common.map_rows(df, twice)]
+    assert [sorted(r[0] for r in work.save(x, "made").collect()) for x in made] == [list(range(0, 100, 2))] * 2
+    assert given == [twice, twice]
+    assert sorted(r[0] for r in work.save(made[0].where("x > 90"), "later").collect()) == [92, 94, 96, 98] and given[2] is iter
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
