@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from fieldweave.llm.common import U64, PrefixHash, gather, lean, map_rows, mix64, need, runs_of, same_spans, span_hash, utf8_view
+from fieldweave.llm.common import MASK, U64, PrefixHash, eights, gather, lean, map_rows, mix64, need, runs_of, same_spans, span_hash, utf8_view
 
 MODEL = "piece_bpe_32k"
 PIECES = StructField("pieces", ArrayType(IntegerType()))
 _hash = PrefixHash(5)
+ODD = U64(0x9E3779B97F4A7C15)  # times this, 64-bit values spread and stay distinct
 
 
 def model_path(name: str = MODEL) -> str:
@@ -54,16 +55,17 @@ class Pieces:
         rank = np.maximum(0, -np.array([sp.get_score(i) for i in range(n)]))
         z = np.log(np.arange(n) + shift)
         self.logp = -np.log(rank + shift) - np.log(np.exp(-z).sum())
-        self.byte_logp = -np.log(n + shift) - np.log(np.exp(-z).sum())
+        self.logp[self.byte_id] = -np.log(n + shift) - np.log(np.exp(-z).sum())
         self.tables = {}
         for size, ids in sorted(by_size.items()):
             data = np.frombuffer(b"".join(self.bytes[i] for i in ids), np.uint8)
             start = np.arange(len(ids)) * size
-            h = _hash.span(_hash.prefix(data), start, start + size)
+            h = (eights(data)[start] & MASK[size]) * ODD if size <= 8 else _hash.span(_hash.prefix(data), start, start + size)
             by = np.argsort(h)
             seen = np.zeros(1 << 18, bool)  # most substrings are no piece; this tells at once
             seen[(h >> U64(46)).astype(np.int64)] = True
-            self.tables[size] = h[by], np.array(ids)[by], seen
+            slot = np.searchsorted(h[by] >> U64(48), np.arange(1 << 16, dtype=U64)).astype(np.int32)  # where values of these 16 bits begin
+            self.tables[size] = h[by], np.array(ids)[by], seen, slot, int(np.bincount((h >> U64(48)).astype(np.int64)).max())
         self.size = np.array([len(b) for b in self.bytes])
         self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.at = np.cumsum(self.size) - self.size
@@ -87,55 +89,67 @@ def _lattice(data: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces, a
     chunk = np.repeat(np.arange(n), size)
     place = np.arange(len(text)) - first[chunk]
     left = size[chunk] - place
-    prefix = _hash.prefix(text)
     head = (text & 0xC0) != 0x80  # a character's first byte
     width = np.ones(len(text), np.int64)
     width[text >= 0xC0], width[text >= 0xE0], width[text >= 0xF0] = 2, 3, 4
     whole = np.zeros(len(text), bool)  # characters that are pieces
     froms, ids, lens = [], [], []
-    for length, (hashes, who, seen) in p.tables.items():
-        s = np.flatnonzero(head & (left >= length))
-        if not len(s):
-            continue
-        h = _hash.span(prefix, s, s + length)
-        maybe = seen[(h >> U64(46)).astype(np.int64)]
-        s, h = s[maybe], h[maybe]
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[at] == h
-        s, at = s[hit], at[hit]
-        hit = same_spans(text, s, p.pool, p.at[who[at]], np.full(len(s), length))  # equal hashes only propose
+    heads = np.flatnonzero(head)  # where a piece of the length at hand, or a longer one, can start
+    room, word, prefix = left[heads], eights(text)[heads], None
+    for length, (hashes, who, seen, slot, crowd) in p.tables.items():
+        fits = np.flatnonzero(room >= length)
+        if len(fits) < len(heads):
+            heads, room, word = heads[fits], room[fits], word[fits]
+        if not len(heads):
+            break
+        if length <= 8:
+            h = (word & MASK[length]) * ODD
+        else:
+            prefix = _hash.prefix(text) if prefix is None else prefix
+            h = _hash.span(prefix, heads, heads + length)
+        maybe = np.flatnonzero(seen[(h >> U64(46)).astype(np.int64)])
+        s, h = heads[maybe], h[maybe]
+        at = slot[(h >> U64(48)).astype(np.int64)].astype(np.int64)
+        for _ in range(crowd - 1):
+            at += hashes[np.minimum(at, len(hashes) - 1)] < h
+        at = np.minimum(at, len(hashes) - 1)
+        hit = np.flatnonzero(hashes[at] == h)
         s, at = s[hit], at[hit]
+        if length > 8:
+            hit = same_spans(text, s, p.pool, p.at[who[at]], np.full(len(s), length))  # equal hashes only propose; up to 8 bytes they are the bytes
+            s, at = s[hit], at[hit]
         whole[s[width[s] == length]] = True
         froms.append(s)
         ids.append(who[at])
         lens.append(np.full(len(s), length))
     own = np.maximum.accumulate(np.where(head, np.arange(len(text)), 0)) if len(text) else np.zeros(0, np.int64)
     lone = np.flatnonzero(~whole[own])  # bytes of the others
-    froms.append(lone)
-    ids.append(p.byte_id[text[lone]])
-    lens.append(np.ones(len(lone), np.int64))
-    s, ids, lens = np.concatenate(froms), np.concatenate(ids), np.concatenate(lens)
-    source = base[chunk[s]] + place[s]
+    froms.insert(0, lone)
+    ids.insert(0, p.byte_id[text[lone]])
+    lens.insert(0, np.ones(len(lone), np.int64))
+    s, ids, lens = (np.concatenate(x[::-1]) for x in (froms, ids, lens))  # longest first: arcs of one end come by their source
+    by = np.argsort(s + chunk[s] + lens, kind="stable")  # a merge, as each length is in order already
+    s, ids, lens = s[by], ids[by], lens[by]
+    source = s + chunk[s]  # a chunk has one node more than bytes
     end = source + lens
     level = place[s] + lens
-    logp = alpha * np.where(p.size[ids] == 1, np.where(p.byte_id[p.pool[p.at[ids]]] == ids, p.byte_logp, p.logp[ids]), p.logp[ids])
-    by = np.lexsort((source, end, level))
-    source, end, level, ids, logp = source[by], end[by], level[by], ids[by], logp[by]
+    logp = alpha * p.logp[ids]
+    most = int(size.max()) if n else 0
+    step = np.argsort(level.astype(np.uint16) if most < 1 << 16 else level, kind="stable")  # by counting, if numbers are small
     nodes = int((size + 1).sum())
     forward = np.full(nodes, -np.inf)
     forward[base] = 0
     share = np.empty(len(source))
-    cuts = np.searchsorted(level, np.arange(1, (size.max() if n else 0) + 2))
+    cuts = np.r_[0, np.cumsum(np.bincount(level, minlength=most + 1)[1:])]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # forward filtering, all chunks at once
         if a == b:
             continue
-        value, e = forward[source[a:b]] + logp[a:b], end[a:b]
+        arcs = step[a:b]
+        value, e = forward[source[arcs]] + logp[arcs], end[arcs]
         seg = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
         total = np.logaddexp.reduceat(value, seg)
         forward[e[seg]] = total
-        share[a:b] = np.exp(value - np.repeat(total, np.diff(np.r_[seg, b - a])))
-    by = np.argsort(end, kind="stable")
-    source, end, ids, share = source[by], end[by], ids[by], share[by]
+        share[arcs] = np.exp(value - np.repeat(total, np.diff(np.r_[seg, b - a])))
     running = np.cumsum(share)
     seg = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.zeros(0, np.int64)
     count = np.diff(np.r_[seg, len(end)])
@@ -243,8 +257,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         p = load(path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
                 off, ids = encode_texts(part.column(1), part.column(2).to_numpy(), p, alpha, seed)
                 text, ends = decode_ids(off, ids, p)
                 digests = [hashlib.sha256(text[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]

@@ -373,6 +373,21 @@ def test_sampling_is_reproducible_and_varies(spark):
     assert len(set(ids(lattice.encode(docs, alpha=50.0)).values())) == 1
 
 
+def test_short_pieces_are_found_by_their_bytes(monkeypatch):
+    p = lattice.load(lattice.model_path())
+    by_bytes = {b: i for i, b in enumerate(p.bytes) if b and p.byte_id[b[0]] != i}
+    words = [b" internationalization", " naïve".encode(), b" a", b" \x00\x00", " 東京é".encode(), b" understanding", b"\n", b" 12345678 "]
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    compared = []
+    same = lattice.same_spans
+    monkeypatch.setattr(lattice, "same_spans", lambda a, b, c, d, n: compared.extend(n.tolist()) or same(a, b, c, d, n))
+    _, base, source, ids, _, _ = lattice._lattice(data, np.cumsum(size) - size, size, p, 0.7)
+    assert min(compared) > 8  # one step looks up and confirms shorter ones
+    got = {(int(s), int(i)) for s, i in zip(source, ids, strict=True) if p.byte_id[p.bytes[i][0]] != i}
+    of = {(int(base[k]) + x, by_bytes[w[x:y]]) for k, w in enumerate(words) for x in range(len(w)) for y in range(x + 1, len(w) + 1) if w[x:y] in by_bytes and b" " not in w[x:y].lstrip(b" ") and b"\n" not in w[x:y]}
+    assert got == of and len(of) > 50
+
+
 def test_sampling_follows_the_lattice():
     p = lattice.load(lattice.model_path())
     of = {}
